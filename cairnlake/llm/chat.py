@@ -13,11 +13,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_rows, table
 
 
 @dataclass(frozen=True)
@@ -126,43 +125,37 @@ def format_conversations(conversations: DataFrame, template: Template = BRACKETS
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns)
 
-    def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for conv_id, got in zip(batch["conv_id"], batch["turns"], strict=True):
-                said = [(t["role"] or "", t["text"] or "") for t in got]
-                bad = check_roles([r for r, _ in said], template)
-                parts = segments_of(said, template)
-                roles = [None, *(role for role, _ in said for _ in range(3))]
-                rows.append((conv_id, len(said), bad is None, bad, [{"text": s, "loss": loss, "role": r} for (s, loss), r in zip(parts, roles, strict=True)]))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "valid", "bad_turn", "segments"])
-            yield out.astype({"conv_id": "Int64", "bad_turn": "Int32"})
+    def formatted(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for conv_id, got in rows:
+            said = [(t["role"] or "", t["text"] or "") for t in got]
+            bad = check_roles([r for r, _ in said], template)
+            roles = [None, *(role for role, _ in said for _ in range(3))]
+            parts = [{"text": s, "loss": loss, "role": r} for (s, loss), r in zip(segments_of(said, template), roles, strict=True)]
+            yield conv_id, len(said), bad is None, bad, parts
 
-    return grouped.mapInPandas(formatted, FORMATTED)
+    return map_rows(grouped, formatted, FORMATTED)
 
 
 def conversation_digests(formatted: DataFrame, template: Template = BRACKETS) -> DataFrame:
     """Digests that are read back from the formatted output: the turns by the template, the loss text by the flags."""
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for conv_id, valid, segments in zip(batch["conv_id"], batch["valid"], batch["segments"], strict=True):
-                whole = "".join(s["text"] for s in segments)
-                turns = read_back(whole, template)
-                told = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = "".join(template.unescaped(s["text"]) for s in segments if s["loss"])
-                rows.append((conv_id, len(turns), _sha256(told), len(loss), _sha256(loss), len(whole), valid))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
-            yield out.astype({"conv_id": "Int64"})
-
-    return formatted.mapInPandas(
-        digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+    def digests(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for conv_id, valid, segments in rows:
+            whole = "".join(s["text"] for s in segments)
+            turns = read_back(whole, template)
+            told = "".join(f"{role}\n{text}\n" for role, text in turns)
+            loss = "".join(template.unescaped(s["text"]) for s in segments if s["loss"])
+            yield conv_id, len(turns), _sha256(told), len(loss), _sha256(loss), len(whole), valid
+
+    return map_rows(
+        formatted.select("conv_id", "valid", "segments"),
+        digests,
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean",
     )
 
 
 def _sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:

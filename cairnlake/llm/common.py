@@ -5,9 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: A word is a maximal run of characters other than blank and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,3 +69,19 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max(F.col(column).cast("int")).alias("y"))
     )
+
+
+def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterable[tuple]], ddl: str, batch_rows: int = 2000) -> DataFrame:
+    """``rows_of`` over the rows of each Arrow batch, as plain Python values: nulls are None, 64-bit ids stay exact.
+
+    Results leave in batches of ``batch_rows``, so a task holds one batch of input and one of output.
+    """
+    arrow = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = iter(rows_of(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            while some := list(islice(made, batch_rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(mapped, ddl)

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .chat import op3_chat
+from .media import op1_media
 from .mixing import OP7_SQL, op7_mixing
+from .packing import op5_packing
+from .warc import op8_warc
 
 QUERIES = {
+    "op1_media": op1_media,
     "op3_chat": op3_chat,
+    "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL = {
