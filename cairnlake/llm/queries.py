@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op3_chat
 from .media import op1_media
 from .mixing import OP7_SQL, op7_mixing
+from .neardup import op10_minhash
 from .packing import op5_packing
 from .warc import op8_warc
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLE_SQL = {
