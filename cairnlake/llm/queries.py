@@ -7,12 +7,16 @@ from .media import op1_media
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_minhash
 from .packing import op5_packing
+from .quality import op4_quality
+from .toxicity import op6_toxicity
 from .warc import op8_warc
 
 QUERIES = {
     "op1_media": op1_media,
     "op3_chat": op3_chat,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
