@@ -13,6 +13,7 @@ others; rows that repeat are packed as often as they occur; an empty table gives
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ CACHE_WORDS = 400_000
 #: Pieces of one length that are ranked together, about.
 RANKED_TOGETHER = 500_000
 
+PUNCTUATION = ".,;:!?%$#&*|"
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -50,14 +53,26 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
+        self.before: dict[str, bytes] = {}  # the words of the last generation: those still in use are kept on
+
     def __missing__(self, word: str) -> bytes:
-        found = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.before.get(word)
+        if found is None:
+            found = self.apart(word)
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
 
+    def apart(self, word: str) -> bytes:
+        """Letters and the punctuation after them are pre-tokens of their own, and capitals of Latin-1 are lowered alike."""
+        core = word.rstrip(PUNCTUATION)
+        if core.isalpha() and max(core) < "\u0100" and core.lower() != word:
+            return self[core.lower()] + (self[word[len(core) :]] if len(core) < len(word) else b"")
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
