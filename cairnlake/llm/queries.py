@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .chat import op3_chat
+from .licenses import op2_licenses
 from .media import op1_media
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_minhash
+from .neighbours import op9_neighbours
 from .packing import op5_packing
 from .quality import op4_quality
 from .toxicity import op6_toxicity
@@ -13,12 +15,14 @@ from .warc import op8_warc
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_licenses": op2_licenses,
     "op3_chat": op3_chat,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
+    "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
 }
 
