@@ -2,7 +2,7 @@
 
 Records longer than ``segment_bytes`` are written as a first segment and ``continuation`` records. The reader groups
 those by origin identifier, orders them by segment number, verifies the total length, joins the blocks and decodes the
-chunked transfer framing. Archives are plain WARC files that Spark's text sink writes (the separator of WARC records is
+chunked transfer framing. Archives are gzipped WARC files that Spark's text sink writes (the separator of WARC records is
 its line separator), so any Hadoop file system holds them; ``records_per_file`` bounds a file, hence what a reading
 task holds.
 
@@ -15,6 +15,7 @@ is kept with a null payload and its ``problem`` named; an empty table gives empt
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -116,7 +117,7 @@ def write_archives(
                 yield (made,)
 
     texts = map_rows(marked, written, "value binary").select(F.col("value").cast("string").alias("value"))
-    texts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    texts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -152,7 +153,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def rows(archives: Iterator[tuple]) -> Iterator[tuple]:
         for (content,) in archives:
-            for h, block in parsed(content):
+            for h, block in parsed(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                 name, refers_to, origin = (h.get(k, "").strip("<>") or None for k in ("warc-record-id", "warc-refers-to", "warc-segment-origin-id"))
                 segment, total = (int(h[k]) if k in h else None for k in ("warc-segment-number", "warc-segment-total-length"))
                 origin = origin or (name if segment else None)
