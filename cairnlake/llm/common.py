@@ -1,10 +1,7 @@
-"""What the operators share: shared-folder tables, word rules and label reading."""
+"""What the operators share: word rules, label reading and row mapping."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
@@ -14,43 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: A word is a maximal run of characters other than blank and U+0009..U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: tempfile.TemporaryDirectory | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where it is unset (tests), an own temporary one."""
-    global _own_folder
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.TemporaryDirectory(prefix="cairnlake-")
-        atexit.register(_own_folder.cleanup)
-    return f"file://{_own_folder.name}"
-
+from cairnlake.sources.scratch import scratch_path, shared_dir, stored
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's file systems close."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
+__all__ = ["WORD", "is_held_out", "map_rows", "one_label", "scratch_path", "shared_dir", "stored", "table"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage, so that a lost executor costs no recomputation of what came before, and fixes row order and any
-    per-row choice made on the way. An empty frame keeps its schema.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of characters other than blank and U+0009..U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
