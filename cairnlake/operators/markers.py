@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scores
 from cairnlake.functions.sets import sorted_tokens
+from cairnlake.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -119,9 +120,12 @@ def gate(rows: DataFrame, least_support: int = 1, least_confidence: float = 0.0)
 
 
 def run_markers(graph: Graph, names: list[str] | None = None, least_support: int = 1, least_confidence: float = 0.0) -> DataFrame:
-    """All (or the named) markers' rows that pass the gate, then the compound marker over them."""
+    """All (or the named) markers' rows that pass the gate, then the compound marker over them.
+
+    The rows are stored once: the compound marker, summaries and risk read them without firing the rules again.
+    """
     some = reduce(DataFrame.unionByName, [MARKERS[n](graph) for n in (names or sorted(MARKERS))])
-    some = gate(some, least_support, least_confidence)
+    some = stored(gate(some, least_support, least_confidence), "markers")
     return some.unionByName(compound(some))
 
 

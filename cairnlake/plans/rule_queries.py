@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cairnlake.functions import scores
 from cairnlake.functions.sets import merge_tokens, sorted_tokens
 from cairnlake.operators import stats
+from cairnlake.operators.leads import merge_state
+from cairnlake.operators.markers import Graph
 from cairnlake.plans.registry import Registry
 from cairnlake.sources.tables import GRAPH_SQL, edges, entities, table
 
@@ -75,9 +77,7 @@ def endpoint_enrichment(spark, sf_dir):
 WITH {GRAPH_SQL}
 SELECT i.entity_id, i.kind, count(*) AS edges, count(DISTINCT i.other) AS others FROM incident i WHERE i.entity_id LIKE 'supplier:%' GROUP BY ALL""")
 def relationship_explorer(spark, sf_dir):
-    from cairnlake.sources.tables import graph
-
-    near = graph(spark, sf_dir).incident().where(F.col("entity_id").startswith("supplier:"))
+    near = Graph(entities(spark, sf_dir), edges(spark, sf_dir)).incident().where(F.col("entity_id").startswith("supplier:"))
     return near.groupBy("entity_id", "kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("other").alias("others"))
 
 
@@ -207,8 +207,6 @@ def source_health(spark, sf_dir):
 @R.query("""
 SELECT o_orderkey, coalesce(s.quality::VARCHAR, 'NEW') AS status, coalesce(s.toxic, 0) AS notes FROM orders LEFT JOIN labels s ON o_orderkey = s.doc_id""")
 def analyst_state_merge(spark, sf_dir):
-    from cairnlake.operators.leads import merge_state
-
     state = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("o_orderkey"), F.col("quality").cast("string").alias("status"), F.col("toxic").alias("notes"))
     return merge_state(table(spark, sf_dir, "orders").select("o_orderkey"), state, "o_orderkey", {"status": "NEW", "notes": 0})
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlake.operators.markers import Graph
+from cairnlake.sources.scratch import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(entities(spark, sf_dir), edges(spark, sf_dir))
+    """The graph, its edges stored: markers read them many times, and the distinct pairs cost a shuffle of all items."""
+    return Graph(entities(spark, sf_dir), stored(edges(spark, sf_dir), "edges"))
 
 
 #: The same views for DuckDB.
