@@ -91,3 +91,17 @@ def capped_sum(terms: Sequence[tuple[Column, float, float]], cap: float = 100.0)
     """The sum over (value, most, weight) of weight * 100 * least(value, most) / most, at most ``cap``."""
     total = sum((F.least(v.cast("double"), F.lit(float(m))) / m * 100 * w for v, m, w in terms), F.lit(0.0))
     return F.least(total, F.lit(float(cap)))
+
+
+def two_smallest_mean(values: Column) -> Column:
+    """A careful compound of several scores: the mean of the two smallest (or of the one there is)."""
+    least = F.slice(F.array_sort(F.filter(values, lambda x: x.isNotNull())), 1, 2)
+    return F.when(F.size(least) > 0, F.aggregate(least, F.lit(0.0), lambda a, x: a + x) / F.size(least))
+
+
+def binned(score: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
+    """The label of the bin (edge, next edge] that holds the score; the last bin has no upper edge."""
+    out = F.lit(None).cast("string")
+    for low, label in zip(edges, labels, strict=True):
+        out = F.when(score > low, F.lit(label)).otherwise(out)
+    return out

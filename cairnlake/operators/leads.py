@@ -53,3 +53,40 @@ def timeline(events: DataFrame, key: str, ts: str, kind: str) -> DataFrame:
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = events.select(key, ts, kind, F.row_number().over(over).cast("long").alias("n"), micros.alias("us"), F.lag(micros).over(over).alias("before"))
     return rows.select(key, ts, kind, "n", gap.alias("days_since"))
+
+
+def lead_type(sources: Column, markers: Column, degree: Column, events: Column) -> Column:
+    """What a lead is about; the first rule that holds."""
+    return (
+        F.when(sources >= 3, "CROSS_SOURCE")
+        .when(markers >= 3, "MULTIPLE_MARKERS")
+        .when(degree >= 10, "DENSE_NETWORK")
+        .when(events >= 5, "TEMPORAL_CLUSTER")
+        .when(markers >= 1, "SINGLE_MARKER")
+        .otherwise("CONTEXT_ONLY")
+    )
+
+
+def why_flagged(markers: Column, sources: Column, degree: Column) -> Column:
+    """A sentence of what speaks for a lead, parts that say nothing left out."""
+    parts = F.array(
+        F.when(markers > 0, F.format_string("%d markers", markers.cast("int"))),
+        F.when(sources > 1, F.format_string("%d sources", sources.cast("int"))),
+        F.when(degree > 0, F.format_string("%d relationships", degree.cast("int"))),
+    )
+    return F.array_join(F.array_compact(parts), ", ")
+
+
+def recommendation(priority_level: Column, completeness: Column) -> Column:
+    return (
+        F.when(priority_level.isin("CRITICAL", "HIGH") & (completeness >= 60), "Review now")
+        .when(priority_level.isin("CRITICAL", "HIGH"), "Collect evidence, then review")
+        .when(priority_level == "MEDIUM", "Review when time allows")
+        .otherwise("Keep for context")
+    )
+
+
+def most_common(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value): the most frequent value of each key; ties go to the one seen first."""
+    counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
+    return counts.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("seen"))).alias(value))

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from cairnlake.functions import text as X
 from cairnlake.functions.sets import merge_tokens, sorted_tokens
+from cairnlake.operators.graph import connected_components
 
 MAXIMUM_BLOCK = 200
 
@@ -99,3 +100,25 @@ def merge_rows(rows: DataFrame, keys: Sequence[str], order: str, merged: Sequenc
     """One row per key: ordered-distinct unions of token columns, first values of the others."""
     aggs = [merge_tokens(F.col(c), F.col(order)).alias(c) for c in merged] + [F.min_by(c, order).alias(c) for c in first]
     return rows.groupBy(*keys).agg(*aggs)
+
+
+def similar_names(rows: DataFrame, block: str, id_col: str, name: str, least: float = 0.86) -> DataFrame:
+    """(left_id, right_id, ratio) of different names at one address that are alike."""
+    out = fuzzy_pairs(rows, [block], id_col, name, least)
+    return out.where("ratio < 1")
+
+
+def resolve(entities: DataFrame, keys: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entities with their clusters: block, decide, join what merges.
+
+    ``entities`` (entity_id, entity_type, name, source_name); ``keys`` (entity_id, key) are block keys; ``evidence``
+    (entity_id, value) secondary values. Returns entities with ``cluster``, the smallest id of each cluster.
+    """
+    pairs = candidate_pairs(keys.withColumnRenamed("entity_id", "id"), ["key"], "id")
+    side = lambda x: entities.select(F.col("entity_id").alias(f"{x}_id"), F.col("entity_type").alias(f"{x}_type"), F.col("name").alias(f"{x}_name"))
+    shared = evidence.select(F.col("entity_id").alias("left_id"), "value").join(evidence.select(F.col("entity_id").alias("right_id"), "value"), "value").where("left_id < right_id").select("left_id", "right_id").distinct().withColumn("shared", F.lit(True))
+    rows = pairs.join(side("left"), "left_id").join(side("right"), "right_id").where("left_type = right_type").join(shared, ["left_id", "right_id"], "left")
+    decision = decide(F.col("left_name") == F.col("right_name"), F.coalesce("shared", F.lit(False)), F.col("left_type").isin("person", "officer", "registered_agent"))["decision"]
+    merged = rows.where(decision == "AUTO_MERGE").select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+    clusters = connected_components(entities.select(F.col("entity_id").alias("id")), merged)
+    return entities.join(clusters.withColumnsRenamed({"id": "entity_id", "component": "cluster"}), "entity_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnlake.functions import parsing as P
 from cairnlake.functions import text as X
 from cairnlake.functions.sets import sorted_tokens
 from cairnlake.operators import resolution
@@ -126,3 +127,31 @@ SELECT p_name AS name, count(DISTINCT p_brand) AS sources, count(DISTINCT p_type
 def owner_in_other_records(spark, sf_dir):
     rows = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"))
     return rows.agg(F.countDistinct("p_brand").alias("sources"), F.countDistinct("p_type").alias("kinds"), F.bool_and(F.col("p_size") > 2).alias("all_larger"), F.min("p_partkey").alias("first_id")).where("sources >= 2")
+
+
+@R.query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey || ' Main St, Miami, FL' WHEN 1 THEN c_custkey || ' Main St' ELSE '' END AS address, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS officers FROM customer""")
+def polymorphic_records(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    street = F.concat(key, F.lit(" Main St"))
+    as_object = F.to_json(F.struct(street.alias("line1"), F.lit("").alias("line2"), F.lit("Miami").alias("city"), F.lit("FL").alias("state")))
+    kind = F.col("c_custkey") % 3
+    address = F.when(kind == 0, as_object).when(kind == 1, street)
+    officers = F.when(kind == 0, F.lit("Ann Lee; Bo Li |")).when(kind == 1, F.lit('[{"name": "Cy Wu", "title": "CEO"}, {"name": ""}]'))
+    return table(spark, sf_dir, "customer").select("c_custkey", P.address_text(address).alias("address"), F.size(P.people(officers)).alias("officers"))
+
+
+@R.query()
+def similar_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_name", "p_brand").distinct()
+    return resolution.similar_names(rows.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("block")), "block", "id", "name", 0.8)
+
+
+@R.query("""
+SELECT p_partkey AS entity_id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS cluster FROM part""")
+def resolved_entities(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    named = parts.select(F.col("p_partkey").alias("entity_id"), F.lit("person").alias("entity_type"), "p_name", F.col("p_brand").alias("source_name"))
+    rows = named.withColumnRenamed("p_name", "name")
+    keys = rows.select("entity_id", F.concat_ws("|", "name", "source_name").alias("key"))
+    return resolution.resolve(rows, keys, keys.withColumnRenamed("key", "value")).select("entity_id", "cluster")

@@ -161,3 +161,27 @@ def weighted_score_bands(spark, sf_dir):
     flags = {"large": F.col("o_totalprice") > 400000, "urgent": F.col("o_orderpriority").startswith("1-"), "pending": F.col("o_orderstatus") == "P"}
     score = scores.weighted_flags(flags, {"large": 0.4, "urgent": 0.3, "pending": 0.35})
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(score, 4).alias("score"), scores.banded(score, scores.MATCH_BANDS, "REJECTED").alias("decision"), scores.explain_flags(flags).alias("why"))
+
+
+@R.query("""
+WITH per AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS kinds, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN kinds >= 3 THEN 'CROSS_SOURCE' WHEN states >= 3 THEN 'MULTIPLE_MARKERS' WHEN n >= 10 THEN 'DENSE_NETWORK' WHEN n >= 5 THEN 'TEMPORAL_CLUSTER' WHEN states >= 1 THEN 'SINGLE_MARKER' ELSE 'CONTEXT_ONLY' END AS lead_type,
+  concat_ws(', ', CASE WHEN states > 0 THEN states || ' markers' END, CASE WHEN kinds > 1 THEN kinds || ' sources' END, CASE WHEN n > 0 THEN n || ' relationships' END) AS why FROM per""")
+def lead_types(spark, sf_dir):
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderpriority").alias("kinds"), F.countDistinct("o_orderstatus").alias("states"))
+    return per.select("o_custkey", leads.lead_type(F.col("kinds"), F.col("states"), F.col("n"), F.col("n")).alias("lead_type"), leads.why_flagged(F.col("states"), F.col("kinds"), F.col("n")).alias("why"))
+
+
+@R.query("""
+WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS seen FROM orders GROUP BY ALL)
+SELECT o_custkey, arg_max(o_orderpriority, (n, -seen)) AS o_orderpriority FROM c GROUP BY o_custkey""")
+def most_common_value(spark, sf_dir):
+    return leads.most_common(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@R.query("""
+SELECT l_orderkey, l_linenumber, (list_sort([l_discount * 100, l_tax * 100, l_quantity])[1] + list_sort([l_discount * 100, l_tax * 100, l_quantity])[2]) / 2 AS compound,
+  CASE WHEN l_quantity > 24 THEN 'high' WHEN l_quantity > 14 THEN 'medium' ELSE 'low' END AS bin FROM lineitem""")
+def compound_score(spark, sf_dir):
+    values = F.array(F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scores.two_smallest_mean(values).alias("compound"), scores.binned(F.col("l_quantity"), (-1, 14, 24), ("low", "medium", "high")).alias("bin"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scores
 from cairnlake.functions.sets import merge_tokens, sorted_tokens
-from cairnlake.operators import stats
+from cairnlake.operators import filters, stats
 from cairnlake.operators.leads import merge_state
 from cairnlake.operators.markers import Graph
 from cairnlake.plans.registry import Registry
@@ -215,3 +215,13 @@ def analyst_state_merge(spark, sf_dir):
 SELECT doc_id, 'document' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def implicit_entities(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").withColumn("kind", F.lit("document"))
+
+
+@R.query("""
+SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') AND p_retailprice >= 905 AND p_brand IN ('Brand#2', 'Brand#3', 'Brand#17') AND p_type <> 'ECONOMY'""")
+def saved_search(spark, sf_dir):
+    text = filters.saved([
+        {"column": "p_name", "op": "contains", "value": "RING"}, {"column": "p_retailprice", "op": "at_least", "value": 905}, {"column": "p_size", "op": "at_most", "value": ""},
+        {"column": "p_brand", "op": "in", "value": ["Brand#2", "Brand#3", "Brand#17"]}, {"column": "p_type", "op": "ne", "value": "ECONOMY"},
+    ])
+    return filters.replay(table(spark, sf_dir, "part"), text).select("p_partkey", "p_name", "p_brand")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import shutil
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
@@ -60,6 +61,22 @@ def report(df: DataFrame, order: Sequence, n: int = 25, title: str = "Leads") ->
     return {"json": json.dumps(rows, indent=2, sort_keys=True, default=str), "md": "\n".join(md) + "\n", "html": page}
 
 
+def reset(root: str, names: Sequence[str]) -> list[str]:
+    """Removes the named files and folders under ``root``; names that lead out of it are refused."""
+    base, gone = Path(root).resolve(), []
+    for name in names:
+        path = (base / name).resolve()
+        if base not in path.parents:
+            raise ValueError(f"outside the workspace: {name}")
+        if path.is_dir():
+            shutil.rmtree(path)
+            gone.append(name)
+        elif path.exists():
+            path.unlink()
+            gone.append(name)
+    return gone
+
+
 def first_filled_frame(*frames: DataFrame) -> DataFrame:
     """The first frame that has rows, or the last."""
     return next((f for f in frames[:-1] if not f.isEmpty()), frames[-1])
