@@ -163,3 +163,24 @@ def op3_chat(spark, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     return conversation_digests(format_conversations(said.unionByName(extra)))
+
+
+#: Turn order as a pattern over role initials; escapes add one character for each control string, escaped ones included.
+OP3_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn::BIGINT AS turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+filled AS (SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(?:INST|ROLE)\]|<\\*<SYS>>|<\\*</SYS>>|\[\\*(?:OUT|END)\]'))
+    + CASE role WHEN 'system' THEN 7 + 8 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 5 + 4 ELSE 6 + 7 + length(role) + 5 END AS chars,
+    CASE role WHEN 'system' THEN 'S' WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE 'X' END AS initial
+  FROM filled)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars))::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(initial, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), 'S?(UA)+') AS valid
+FROM sized GROUP BY conv_id
+"""

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, table
@@ -112,37 +112,42 @@ def band_keys(signatures: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def sketched(docs: DataFrame, n_words: int = N_WORDS, n_permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys, sketch): digest, keys and sketch are null for an empty set.
+    """(doc_id, text_key, n_shingles, digest, keys, sketch): digest, keys and sketch are null for an empty set.
 
     The sketch has a byte of each signature value, for estimates.
     """
 
-    def several(some: list[tuple[int | None, np.ndarray]]) -> Iterator[tuple]:
-        full = [s for _, s in some if len(s)]
+    def several(some: list[tuple[int | None, int, np.ndarray]]) -> Iterator[tuple]:
+        full = [s for *_, s in some if len(s)]
         if full:
             signatures = min_max(full, n_permutations)
             keys, sketches = band_keys(signatures, band_rows), (signatures >> np.uint64(13)).astype(np.uint8)
         at = 0
-        for doc_id, s in some:
+        for doc_id, key, s in some:
             if len(s):
-                yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys[at], sketches[at].tobytes()
+                yield doc_id, key, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys[at], sketches[at].tobytes()
                 at += 1
             else:
-                yield doc_id, 0, None, None, None
+                yield doc_id, key, 0, None, None, None
 
     def rows(got: Iterator[tuple]) -> Iterator[tuple]:
         some, n = [], 0
-        for doc_id, text in got:
-            some.append((doc_id, shingles(text, n_words)))
-            n += len(some[-1][1])
+        for doc_id, key, text in got:
+            some.append((doc_id, key, shingles(text, n_words)))
+            n += len(some[-1][2])
             if n >= AT_ONCE:
                 yield from several(some)
                 some, n = [], 0
         yield from several(some)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_rows(texts, rows, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
+    texts = docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")), F.col("text").cast("string"))
+    return map_rows(texts, rows, "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,7 +279,7 @@ def near_duplicates(
     star_rounds: int = STAR_ROUNDS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id, kept, digest)."""
+    """One row per document: (doc_id, text_key, n_shingles, component_id, digest, kept)."""
     sketches = stored(sketched(docs, n_words, n_permutations, band_rows), "sketches")
     one = sketches.where("digest IS NOT NULL").groupBy("digest")
     classes = one.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
@@ -319,10 +324,40 @@ def near_duplicates(
     named = classes.join(comps, "cid", "left").select("digest", "rep", F.coalesce("comp", "cid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(smallest, "comp").select("digest", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    out = sketches.select("doc_id", "text_key", "n_shingles", "digest").join(by_digest, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def without_copies(docs: DataFrame, **options) -> DataFrame:
+    """Whole rows of ``docs``, one document of each component: that with the smallest id.
+
+    Rows that repeat an id within a component count as one document, as do rows without ids that have one text.
+    """
+    kept = near_duplicates(docs, **options).where("kept")
+    chosen = kept.groupBy("doc_id", F.when(F.col("component_id").isNull(), F.col("text_key")).alias("of")).agg(F.min("text_key").alias("key")).select("doc_id", "key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("key"), F.struct("*").alias("doc"))
+    chosen = chosen.withColumnsRenamed({"doc_id": "c_id", "key": "c_key"})
+    one = rows.join(chosen, (F.col("key") == F.col("c_key")) & F.col("id").eqNullSafe(F.col("c_id")), "left_semi").dropDuplicates(["id", "key"])
+    return one.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: By all pairs that share a shingle: for small tables.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN [array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_in JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+near AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+"""

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from .chat import op3_chat
+from .chat import OP3_SQL, op3_chat
 from .licenses import op2_licenses
 from .media import op1_media
 from .mixing import OP7_SQL, op7_mixing
-from .neardup import op10_minhash
+from .neardup import OP10_SQL, op10_minhash
 from .neighbours import op9_neighbours
 from .packing import op5_packing
 from .quality import op4_quality
 from .toxicity import op6_toxicity
-from .warc import op8_warc
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_media": op1_media,
@@ -27,5 +27,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_chat": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_warc": OP8_SQL,
+    "op10_minhash": OP10_SQL,
 }

@@ -220,3 +220,14 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     revisits = records.where("record_type = 'revisit'").drop("payload_bytes")
     resolved = revisits.join(lengths, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("same")), "left")
     return responses.unionByName(resolved.withColumnRenamed("full", "payload_bytes").drop("of", "same"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - (i % 4) * 5)) & 31) + 1)::BIGINT, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
+"""
