@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ _own_folder: tempfile.TemporaryDirectory | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or, where it is unset (tests), an own temporary folder."""
+    """``spark.checkpoint.dir``, or, where it is unset in local mode (tests), an own temporary folder."""
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.TemporaryDirectory(prefix="cairnlake-")
         atexit.register(_own_folder.cleanup)
