@@ -168,18 +168,18 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, max_
     def bags(rows: Iterator[tuple]) -> Iterator[tuple]:
         for text, y in rows:
             n, some = blank.sentences(text)
-            yield y, n, [sorted(at[f] for f in found) for _, _, found in some]
-
-    y, n, doc, sentence, entry = [], [], [], [], []
-    for r in map_rows(texts, bags, "y long, n long, bags array<array<int>>").collect():
-        for bag in r["bags"]:
-            sentence += [len(doc)] * len(bag)
-            entry += bag
-            doc.append(len(y))
-        y.append(r["y"])
-        n.append(r["n"])
-    as_int = lambda x: np.asarray(x, np.int64)
-    weights, bias = fit_noisy_or(as_int(y), as_int(n), as_int(doc), as_int(sentence), as_int(entry), len(entries))
+            found = [sorted(at[f] for f in entries) for _, _, entries in some]
+            yield y, n, np.array([len(f) for f in found], "<i4").tobytes(), np.array([x for f in found for x in f], "<i4").tobytes()
+
+    # Four bytes an entry and sentence, in a few arrays: lists of lists would take the driver many times that.
+    held = map_rows(texts, bags, "y long, n long, sizes binary, entries binary").toArrow()
+    y, n = (held.column(c).to_numpy() for c in ("y", "n"))
+    sizes, found = (held.column(c).to_pylist() for c in ("sizes", "entries"))
+    doc = np.repeat(np.arange(len(y)), [len(x) // 4 for x in sizes])
+    size = np.frombuffer(b"".join(sizes), "<i4")
+    sentence, entry = np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(found), "<i4")
+    del held, sizes, found
+    weights, bias = fit_noisy_or(y, n, doc, sentence, entry, len(entries))
     return NoisyOr({f: float(w) for f, w in zip(entries, weights, strict=True)}, bias)
 
 
