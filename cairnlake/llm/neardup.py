@@ -8,8 +8,8 @@ similarity on whole sets reaches the threshold are linked.
 Equal sets are one class from the start, and only classes are banded. No bucket is expanded into its pairs: first, in
 ``STAR_ROUNDS`` rounds, the members of a bucket are held against one pivot, and linked ones fall into one component.
 What remains are pairs of a bucket's members that lie in different components. They are compared in blocks of
-signatures, all of them, and those that may reach the threshold are confirmed too. Pairs within one component need no
-comparison. So the components are those of all confirmed candidate pairs.
+signatures and of whole sets, all of them, and links among them are confirmed too. Pairs within one component need no
+comparison, and a block hands on only pairs that hardly miss a link. So the components are those of all confirmed candidate pairs.
 
 Words are split at blanks and U+0009..U+000D after lower-casing A-Z. A set is the distinct ``n_words``-word shingles, or
 the whole sequence where there are fewer words. Shingles are 64-bit hashes of words, sets have 128-bit digests.
@@ -39,7 +39,7 @@ PERMUTATIONS = 95
 BAND_ROWS = 5
 STAR_ROUNDS = 2
 #: Members of a bucket that are compared at a time.
-BLOCK = 2048
+BLOCK = 1024
 #: Estimates below the threshold less so many standard errors are not confirmed.
 MARGIN = 3.5
 #: Shingles whose values are worked on at a time.
@@ -203,8 +203,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * F.col("common") >= threshold * (F.size("w_a") + F.size("w_b") - F.col("common"))).select("a", "b")
 
 
-def remaining_pairs(rows: DataFrame, classes: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """Promising pairs (a, b) of different components among the members (key, cid, comp) of each bucket.
+def remaining_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different components among the members (key, cid, comp) of each bucket that hardly miss a link.
+
+    Sketches leave promising pairs, and for those the upper halves of all shingle hashes bound the intersection from
+    above. What passes is a link but for rare chance, so few pairs leave a task however large the bucket is.
 
     A bucket's largest component is not compared with itself. Its members and the others are dealt into blocks of
     ``block`` rows about, and each pair of blocks is one group of rows, however large the bucket is.
@@ -217,7 +220,7 @@ def remaining_pairs(rows: DataFrame, classes: DataFrame, threshold: int, block:
         F.ceil(F.col("most.n") / block).cast("int").alias("g_main"),
         F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("g_rest"),
     )
-    dealt = rows.join(per_key, "key").join(classes.select("cid", "n", "sketch"), "cid")
+    dealt = rows.join(per_key, "key").join(classes.select("cid", "n", "sketch"), "cid").join(sets.select("cid", "brief"), "cid")
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("comp") == F.col("main"), F.col("g_main")).otherwise(F.col("g_rest"))).cast("int")
     dealt = dealt.withColumn("own", own)
     rest = F.sequence(F.lit(0), F.col("g_rest") - 1)
@@ -227,12 +230,13 @@ def remaining_pairs(rows: DataFrame, classes: DataFrame, threshold: int, block:
     from_main = F.transform(rest, lambda j: F.struct((-F.col("own") - 1).alias("i"), j.alias("j")))
     groups = F.when(F.col("comp") == F.col("main"), from_main).otherwise(F.concat(with_rest, with_main))
     numbered = F.when(F.col("comp") == F.col("main"), -F.col("own") - 1).otherwise(F.col("own"))
-    grouped = dealt.withColumn("g", F.explode(groups)).select("key", "g.i", "g.j", numbered.alias("own"), "cid", "comp", "n", "sketch")
+    grouped = dealt.withColumn("g", F.explode(groups)).select("key", "g.i", "g.j", numbered.alias("own"), "cid", "comp", "n", "sketch", "brief")
 
     def compared(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i, own = group.column("i")[0].as_py(), group.column("own").to_numpy()
         cid, comp, n = (group.column(c).to_numpy() for c in ("cid", "comp", "n"))
         sketch = _fixed(group.column("sketch"))
+        brief = [np.frombuffer(b, "<u4") for b in group.column("brief").to_pylist()]
         least = _least_match(sketch.shape[1], threshold) * sketch.shape[1]
         same = group.column("j")[0].as_py() == i
         right = np.arange(len(cid)) if same else np.flatnonzero(own != i)
@@ -240,6 +244,11 @@ def remaining_pairs(rows: DataFrame, classes: DataFrame, threshold: int, block:
             y = right[right > x] if same else right
             y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
             y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least] if len(y) else y
+            if len(y):
+                theirs = np.concatenate([brief[k] for k in y])
+                mine = brief[x][np.minimum(np.searchsorted(brief[x], theirs), len(brief[x]) - 1)]
+                common = np.add.reduceat(mine == theirs, np.cumsum([0, *n[y[:-1]]]), dtype=np.int64)
+                y = y[100 * common >= threshold * (n[x] + n[y] - common)]
             if len(y):
                 yield np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
 
@@ -294,12 +303,12 @@ def near_duplicates(
         for text, digest, cid in got:
             s = shingles(text, n_words)
             if xxhash.xxh3_128_digest(s.tobytes()) == digest:
-                yield cid, s.view(np.int64)
+                yield cid, s.view(np.int64), (s >> np.uint64(32)).astype("<u4").tobytes()
 
     wanted = involved.select(F.col("rep").alias("wanted"), "digest", "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "digest", "cid")
-    sets = stored(map_rows(texts, whole, "cid long, shingles array<long>", batch_rows=500).dropDuplicates(["cid"]), "sets")
+    sets = stored(map_rows(texts, whole, "cid long, shingles array<long>, brief binary", batch_rows=500).dropDuplicates(["cid"]), "sets")
     classes = classes.select("cid", "rep", "digest", "n", "sketch")
 
     def with_comps(links: DataFrame | None) -> DataFrame:
@@ -316,7 +325,7 @@ def near_duplicates(
         pairs = rows.join(pivots, "key").where("comp <> p_comp").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
         found = stored(confirmed(promising(pairs, classes, threshold), sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
-    rest = stored(remaining_pairs(with_comps(links), classes, threshold, block), "pairs")
+    rest = stored(remaining_pairs(with_comps(links), classes, sets, threshold, block), "pairs")
     found = stored(confirmed(rest, sets, threshold), "links")
     links = found if links is None else links.unionByName(found)
 
