@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 400_000
+TEXTS_AT_ONCE = 64
 #: Pieces of one length that are ranked together, about.
 RANKED_TOGETHER = 500_000
 
@@ -52,6 +54,9 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
         self.before: dict[str, bytes] = {}  # the words of the last generation: those still in use are kept on
 
@@ -66,15 +71,38 @@ class WordEncoder(dict):
             self[word] = found
         return found
 
+    @staticmethod
+    def core(word: str) -> str | None:
+        """The letters of a word before its punctuation, if that is all it is: capitals of Latin-1 are lowered alike."""
+        letters = word.rstrip(PUNCTUATION)
+        return letters.lower() if letters.isalpha() and max(letters) < "\u0100" else None
+
     def apart(self, word: str) -> bytes:
-        """Letters and the punctuation after them are pre-tokens of their own, and capitals of Latin-1 are lowered alike."""
-        core = word.rstrip(PUNCTUATION)
-        if core.isalpha() and max(core) < "\u0100" and core.lower() != word:
-            return self[core.lower()] + (self[word[len(core) :]] if len(core) < len(word) else b"")
+        """Letters and the punctuation after them are pre-tokens of their own."""
+        core = self.core(word)
+        if core is not None and core != word:
+            return self[core] + (self[word[len(core) :]] if len(core) < len(word) else b"")
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def learn(self, words: set[str]) -> None:
+        """Encodes the unknown cores of words in one go: a core is one pre-token, whose last id ends a word."""
+        unknown = {c for w in words if w not in self and w not in self.before and (c := self.core(w)) and len(c) <= 64}
+        unknown = sorted(c for c in unknown if c not in self and c not in self.before)
+        if len(self) + len(unknown) >= CACHE_WORDS or not unknown:
+            return
+        ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
+        stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(stops) == len(unknown):
+            raw = ids.tobytes()
+            self.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(unknown, [0, *stops[:-1]], stops, strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_all([text])[0]
 
 
 def encoder(name: str) -> WordEncoder:
@@ -90,14 +118,15 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ
     """One row per piece of at most ``seq_len`` ids; ``with_ids`` adds the ids themselves."""
 
     def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encode, end = encoder(tokenizer).encode, END_ID.to_bytes(4, "little")
-        for doc_id, text in rows:
-            ids = encode(text) + end if text else end
-            n = len(ids) // 4
-            for start in range(0, n, seq_len):
-                cut = ids[4 * start : 4 * (start + seq_len)]
-                row = (doc_id, start, len(cut) // 4, zlib.crc32(cut), n)
-                yield (*row, np.frombuffer(cut, "<u4").astype("i8")) if with_ids else row
+        end = END_ID.to_bytes(4, "little")
+        while some := list(islice(rows, TEXTS_AT_ONCE)):
+            for (doc_id, _), ids in zip(some, encoder(tokenizer).encode_all([text or "" for _, text in some]), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start in range(0, n, seq_len):
+                    cut = ids[4 * start : 4 * (start + seq_len)]
+                    row = (doc_id, start, len(cut) // 4, zlib.crc32(cut), n)
+                    yield (*row, np.frombuffer(cut, "<u4").astype("i8")) if with_ids else row
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_rows(texts, pieces, PIECE + ", ids array<long>" * with_ids)
