@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.operators import graph, resolution
 from cairnlake.plans.registry import Registry
+from cairnlake.sources.scratch import stored
 from cairnlake.sources.tables import table
 
 R = Registry()
@@ -28,6 +29,12 @@ def _sparse(spark, sf_dir):
     return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
 
 
+def _supplied(spark, sf_dir):
+    """Every distinct supplier-part edge."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
 def _ends(edges):
     return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
 
@@ -37,6 +44,11 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), _same_text(spark, sf_dir))
 
 
+def _summary(components):
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    return sizes.agg(F.count(F.lit(1)).alias("networks"), F.max("members").alias("largest"), F.sum("members").alias("members"), F.max_by("component", "members").alias("largest_component"))
+
+
 _CC_SQL = f"""{_SPARSE_SQL},
 both_ways AS (SELECT src AS id, dst AS nbr FROM sparse UNION SELECT dst, src FROM sparse),
 reach AS (SELECT id, id AS root FROM both_ways UNION SELECT b.id, r.root FROM reach r JOIN both_ways b ON b.nbr = r.id),
@@ -57,8 +69,7 @@ def network_clusters(spark, sf_dir):
 SELECT count(*) AS networks, max(members) AS largest, sum(members)::BIGINT AS members, arg_max(component, members) AS largest_component FROM sizes""")
 def network_summary(spark, sf_dir):
     edges = _sparse(spark, sf_dir)
-    sizes = graph.connected_components(_ends(edges), edges).groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    return sizes.agg(F.count(F.lit(1)).alias("networks"), F.max("members").alias("largest"), F.sum("members").alias("members"), F.max_by("component", "members").alias("largest_component"))
+    return _summary(graph.connected_components(_ends(edges), edges))
 
 
 @R.query(f"""WITH {_SPARSE_SQL}, ends AS (SELECT src AS id, dst AS nbr FROM sparse UNION SELECT dst, src FROM sparse)
@@ -68,16 +79,37 @@ def degree_centrality(spark, sf_dir):
     return graph.degrees(_ends(edges), edges)
 
 
+# Over the whole graph there is no SQL: the recursive closure lists every pair of a component's members.
+def _whole(spark, sf_dir):
+    edges = stored(_supplied(spark, sf_dir), "edges")
+    return edges, stored(graph.connected_components(_ends(edges), edges), "components")
+
+
+@R.query()
+def network_clusters_whole(spark, sf_dir):
+    edges, components = _whole(spark, sf_dir)
+    return graph.network_metrics(components, edges)
+
+
+@R.query()
+def network_summary_whole(spark, sf_dir):
+    return _summary(_whole(spark, sf_dir)[1])
+
+
+@R.query()
+def degree_centrality_whole(spark, sf_dir):
+    edges = stored(_supplied(spark, sf_dir), "edges")
+    return graph.degrees(_ends(edges), edges)
+
+
 @R.query()
 def articulation_points(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    return graph.articulation_points(edges, graph.connected_components(_ends(edges), edges))
+    return graph.articulation_points(*_whole(spark, sf_dir))
 
 
 @R.query()
 def communities(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    return graph.communities(edges, graph.connected_components(_ends(edges), edges))
+    return graph.communities(*_whole(spark, sf_dir))
 
 
 @R.query(f"""WITH {_SAME_SQL}
