@@ -6,7 +6,7 @@ with no dictionary, wins; the winner is confirmed by its exact wording: the word
 within the matched stretch are counted and reported.
 
 Defined results: null and empty texts have no findings; a null id stays null; rows that repeat are scanned each; blocks
-are compared whatever their number, and texts are read whole; ties in gain go to the template first in name; other
+are compared whatever their number, and texts are read whole; ties in what is saved go to the template first in name; other
 columns are ignored; an empty table gives no rows.
 """
 
@@ -26,6 +26,7 @@ from .common import map_rows, table
 
 #: Usual notices of public licenses.
 TEMPLATES = {
+    "All-Rights-Reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -43,8 +44,6 @@ LEAST_GAIN = 0.3
 #: Share of the template's words that may differ.
 MOST_DIFFERENT = 0.25
 WINDOW_WORDS, WINDOW_STEP = 64, 32
-#: Words of a template that a block must share to be a candidate, as a share of the template's distinct words.
-LEAST_SHARED = 0.5
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 LINE = re.compile(r"[^\n]+")
@@ -68,15 +67,27 @@ class Scanner:
         return {name: [w for w, _, _ in words_in(text)] for name, text in sorted(self.templates.items())}
 
     @cached_property
-    def anchors(self) -> list[list[str]]:
-        """For each template the words of which a text must hold enough: a text that doesn't is no candidate."""
-        return [sorted(set(words)) for words in self.wordings.values()]
+    def limits(self) -> dict[str, int]:
+        """How many words of each template may differ."""
+        return {name: int(self.most_different * len(words)) for name, words in self.wordings.items()}
+
+    @cached_property
+    def seeds(self) -> dict[str, list[str]]:
+        """For each template its longest words, more of them than may differ: a stretch within the limit holds one at least."""
+        out = {}
+        for name, words in self.wordings.items():
+            some: list[str] = []
+            for w in sorted(set(words), key=lambda w: (-len(w), w)):
+                if sum(words.count(v) for v in some) <= self.limits[name]:
+                    some.append(w)
+            out[name] = some
+        return out
 
     @cached_property
     def rare(self) -> list[str]:
-        """The two longest words of each template: a text that has none of them is not looked at further."""
-        longest = {w for words in self.wordings.values() for w in sorted(set(words), key=len)[-2:]}
-        return sorted(w for w in longest if not any(v != w and v in w for v in longest))
+        """A text that has none of these is not looked at further."""
+        every = {w for some in self.seeds.values() for w in some}
+        return sorted(w for w in every if not any(v != w and v in w for v in every))
 
     @cached_property
     def compressors(self) -> dict[str | None, zstandard.ZstdCompressor]:
@@ -92,19 +103,20 @@ class Scanner:
                     yield words[at : at + WINDOW_WORDS]
 
     def candidates(self, words: list[tuple[str, int, int]]) -> list[str]:
+        """Templates of which no more words are missing than may differ."""
         have = {w for w, _, _ in words}
-        return [name for name, need in zip(self.wordings, self.anchors, strict=True) if sum(w in have for w in need) >= LEAST_SHARED * len(need)]
+        return [name for name, want in self.wordings.items() if sum(w not in have for w in want) <= self.limits[name]]
 
     def ranked(self, words: list[tuple[str, int, int]], names: list[str]) -> list[tuple[float, str]]:
-        """(gain, template), the largest first. The gain counts what the template's own length could save at most."""
+        """(gain, template), the one that saves most first. The gain counts what the template's own length could save at most."""
         data = " ".join(w for w, _, _ in words).encode()
         plain = len(self.compressors[None].compress(data))
         gains = []
         for name in names:
             own = len(" ".join(self.wordings[name]))
             saved = plain - len(self.compressors[name].compress(data))
-            gains.append((saved / min(plain, own), name))
-        return sorted(gains, key=lambda g: (-g[0], g[1]))
+            gains.append((saved, saved / min(plain, own), name))
+        return [(gain, name) for _, gain, name in sorted(gains, key=lambda g: (-g[0], g[2]))]
 
     def confirm(self, words: list[tuple[str, int, int]], name: str) -> tuple[int, int, int, str] | None:
         """(start, end, differing words, wording differences) of the stretch that the template matches."""
@@ -131,7 +143,7 @@ class Scanner:
             names = self.candidates(words)
             for gain, name in self.ranked(words, names) if names else []:
                 if gain < self.least_gain:
-                    break
+                    continue
                 hit = self.confirm(words, name)
                 if hit:
                     found.setdefault(hit[:2], (*hit[:2], name, gain, *hit[2:]))

@@ -23,3 +23,16 @@ def test_rows(spark, docs):
     got = scan_licenses(docs(rows)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"] and {r["license"] for r in got} == {"MIT"}
     assert scan_licenses(docs([])).count() == 0
+
+
+def test_short_and_reworded_notices_pass_the_prefilter():
+    scan = lambda text: [(h[2], h[4]) for h in Scanner(TEMPLATES).scan(text)]
+    assert scan("some words\nAll rights reserved.\nmore words") == [("All-Rights-Reserved", 0)]
+    assert scan("All rights reserved. No part of this work may be copied without consent") == [("Proprietary", 2)]
+    assert scan(TEMPLATES["Proprietary"]) == [("Proprietary", 0)]
+    for name, words in Scanner(TEMPLATES).wordings.items():  # whichever words differ, as many as may
+        limit = Scanner(TEMPLATES).limits[name]
+        for at in range(len(words) - limit + 1) if limit else ():
+            text = " ".join([*words[:at], *["zzz"] * limit, *words[at + limit :]]).lower()
+            assert any(w in text for w in Scanner(TEMPLATES).rare), text
+            assert name in Scanner(TEMPLATES).candidates([(w, 0, 0) for w in text.split()]), text
