@@ -1,21 +1,24 @@
 """License scans by conditional compression.
 
-Candidate blocks of a text (lines, long ones in overlapping windows) that share words with the license templates are
-compressed with each template as a raw zstandard dictionary. The template that reduces a block's size most, compared
-with no dictionary, wins; the winner is confirmed by its exact wording: the words are aligned, and those that differ
-within the matched stretch are counted and reported.
-
-Defined results: null and empty texts have no findings; a null id stays null; rows that repeat are scanned each; blocks
-are compared whatever their number, and texts are read whole; ties in what is saved go to the template first in name; other
-columns are ignored; an empty table gives no rows.
+Stretches of a text, across lines, that may hold a license template are aligned with it word by word, and those within
+the limit of differing words are compressed with the template as a raw zstandard dictionary. Where stretches of several
+templates overlap, the template that saves most, compared with no dictionary, wins, and what it leaves is searched again.
+The words that differ are counted and reported.
+
+Which stretches may hold a template follows from the limit alone: one of its longest words, of which one more is looked
+for than may differ, stands near its place, and no more words are missing than may differ.
+
+Defined results: null and empty texts have no findings; a null id stays null; rows that repeat are scanned each; a text
+has as many findings as notices, and is read whole; ties in what is saved go to the wording with fewer differences, then
+to the template first in name; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import cached_property
 
 import zstandard
@@ -39,20 +42,50 @@ TEMPLATES = {
     "Proprietary": "All rights reserved. No part of this work may be reproduced without permission.",
 }
 
-#: Share of a block's compressed size that the winner has to save.
+#: Share of a stretch's compressed size that the winner has to save.
 LEAST_GAIN = 0.3
 #: Share of the template's words that may differ.
 MOST_DIFFERENT = 0.25
-WINDOW_WORDS, WINDOW_STEP = 64, 32
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-LINE = re.compile(r"[^\n]+")
 
 
 def words_in(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
+def aligned(want: list[str], have: list[str]) -> tuple[int, int, int, list[tuple[int, int, int, int]]]:
+    """(first, last, n, changes): the stretch of ``have`` that takes fewest changed words to become ``want``.
+
+    ``changes`` are (a, b, c, d): ``want[a:b]`` stands where the text has ``have[c:d]``. Words are replaced rather than
+    left out, also at the ends.
+    """
+    cost = [[0] * (len(have) + 1)]
+    for i, w in enumerate(want):
+        above, row = cost[-1], [i + 1]
+        for j, h in enumerate(have):
+            row.append(min(above[j] + (w != h), above[j + 1] + 1, row[j] + 1))
+        cost.append(row)
+    n = min(cost[-1])
+    last = max(j for j, c in enumerate(cost[-1]) if c == n)
+    i, j, changes = len(want), last, []
+    while i:
+        c = cost[i][j]
+        if j and c == cost[i - 1][j - 1] + (want[i - 1] != have[j - 1]):
+            a, b = i - 1, j - 1
+        elif c == cost[i - 1][j] + 1:
+            a, b = i - 1, j
+        else:
+            a, b = i, j - 1
+        if a == i or b == j or want[a] != have[b]:
+            if changes and changes[-1][0] == i and changes[-1][2] == j:
+                changes[-1] = (a, changes[-1][1], b, changes[-1][3])
+            else:
+                changes.append((a, i, b, j))
+        i, j = a, b
+    return j, last, n, changes[::-1]
+
+
 @dataclass
 class Scanner:
     templates: Mapping[str, str]
@@ -94,61 +127,79 @@ class Scanner:
         raw = {name: zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for name, words in self.wordings.items()}
         return {None: zstandard.ZstdCompressor(level=3), **{name: zstandard.ZstdCompressor(level=3, dict_data=d) for name, d in raw.items()}}
 
-    def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
-        for line in LINE.finditer(text):
-            lowered = line[0].lower()
-            if any(w in lowered for w in self.rare):
-                words = [(w, a + line.start(), b + line.start()) for w, a, b in words_in(line[0])]
-                for at in range(0, max(1, len(words) - WINDOW_WORDS + WINDOW_STEP), WINDOW_STEP):
-                    yield words[at : at + WINDOW_WORDS]
-
-    def candidates(self, words: list[tuple[str, int, int]]) -> list[str]:
-        """Templates of which no more words are missing than may differ."""
-        have = {w for w, _, _ in words}
-        return [name for name, want in self.wordings.items() if sum(w not in have for w in want) <= self.limits[name]]
-
-    def ranked(self, words: list[tuple[str, int, int]], names: list[str]) -> list[tuple[float, str]]:
-        """(gain, template), the one that saves most first. The gain counts what the template's own length could save at most."""
-        data = " ".join(w for w, _, _ in words).encode()
+    @cached_property
+    def places(self) -> dict[str, list[tuple[str, int]]]:
+        """word -> the (template, place) where it is one of the template's seeds."""
+        out: dict[str, list[tuple[str, int]]] = {}
+        for name, words in self.wordings.items():
+            for at, w in enumerate(words):
+                if w in self.seeds[name]:
+                    out.setdefault(w, []).append((name, at))
+        return out
+
+    def stretches(self, words: list[str]) -> set[tuple[str, int, int]]:
+        """(template, from, to): where a template may stand, with room for as many more words as may differ."""
+        out = set()
+        for i, w in enumerate(words):
+            for name, at in self.places.get(w, ()):
+                limit, want = self.limits[name], self.wordings[name]
+                stretch = name, max(0, i - at - limit), min(len(words), i - at + len(want) + limit)
+                if stretch not in out:
+                    have = set(words[stretch[1] : stretch[2]])
+                    if sum(v not in have for v in want) <= limit:
+                        out.add(stretch)
+        return out
+
+    def saved(self, words: list[str], name: str) -> tuple[int, float]:
+        """Bytes that the template saves, and as a share of what its own length could save at most."""
+        data = " ".join(words).encode()
         plain = len(self.compressors[None].compress(data))
-        gains = []
-        for name in names:
-            own = len(" ".join(self.wordings[name]))
-            saved = plain - len(self.compressors[name].compress(data))
-            gains.append((saved, saved / min(plain, own), name))
-        return [(gain, name) for _, gain, name in sorted(gains, key=lambda g: (-g[0], g[2]))]
-
-    def confirm(self, words: list[tuple[str, int, int]], name: str) -> tuple[int, int, int, str] | None:
-        """(start, end, differing words, wording differences) of the stretch that the template matches."""
-        want, have = self.wordings[name], [w for w, _, _ in words]
-        matched = [b for b in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if b.size]
-        if not matched:
+        saved = plain - len(self.compressors[name].compress(data))
+        return saved, saved / min(plain, len(" ".join(self.wordings[name])))
+
+    def confirm(self, words: list[str], name: str, start: int, stop: int) -> tuple | None:
+        """The template's match between two places, the best sorting first, if it is within both limits."""
+        want, have = self.wordings[name], words[start:stop]
+        first, last, n, changes = aligned(want, have)
+        if n > self.limits[name] or first == last:
+            return None
+        saved, gain = self.saved(have[first:last], name)
+        if gain < self.least_gain:
             return None
-        first = max(0, matched[0].b - matched[0].a)
-        last = min(len(have), matched[-1].b + matched[-1].size + len(want) - matched[-1].a - matched[-1].size)
-        stretch, changes, n = have[first:last], [], 0
-        for kind, a, b, c, d in SequenceMatcher(None, want, stretch, autojunk=False).get_opcodes():
-            if kind != "equal":
-                n += max(b - a, d - c)
-                changes.append(f"[-{' '.join(want[a:b])}-]{{+{' '.join(stretch[c:d])}+}}")
-        return (words[first][1], words[last - 1][2], n, " ".join(changes)) if n <= self.most_different * len(want) else None
+        said = " ".join(f"[-{' '.join(want[a:b])}-]{{+{' '.join(have[c:d])}+}}" for a, b, c, d in changes)
+        # Words replaced at either end may be another notice's own.
+        head = changes[0][3] if changes and changes[0][0] == 0 else first
+        tail = changes[-1][2] if changes and changes[-1][1] == len(want) else last
+        return -saved, n, name, start + head, start + tail, start + first, start + last, gain, said, start, stop
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, int, str]]:
-        """(start, end, template, gain, differing words, differences), in order, each stretch once."""
-        found: dict[tuple[int, int], tuple] = {}
+        """(start, end, template, gain, differing words, differences), in order; no two overlap."""
         lowered = (text or "").lower()
         if not any(w in lowered for w in self.rare):
             return []
-        for words in self.blocks(text):
-            names = self.candidates(words)
-            for gain, name in self.ranked(words, names) if names else []:
-                if gain < self.least_gain:
-                    continue
-                hit = self.confirm(words, name)
-                if hit:
-                    found.setdefault(hit[:2], (*hit[:2], name, gain, *hit[2:]))
-                    break
-        return sorted(found.values())
+        placed = words_in(text)
+        words = [w for w, _, _ in placed]
+        hits = [hit for name, start, stop in self.stretches(words) if (hit := self.confirm(words, name, start, stop))]
+        heapq.heapify(hits)
+        taken, found = bytearray(len(words)), []
+        while hits:
+            hit = heapq.heappop(hits)
+            name, head, tail, start, stop = *hit[2:5], *hit[-2:]
+            if not any(taken[head:tail]):
+                taken[head:tail] = b"\1" * (tail - head)
+                found.append(hit)
+                continue
+            for free in re.finditer(rb"\0+", taken[start:stop]):
+                again = self.confirm(words, name, start + free.start(), start + free.end())
+                if again:
+                    heapq.heappush(hits, again)
+        found.sort(key=lambda hit: hit[3])
+        out, end = [], 0
+        for k, hit in enumerate(found):
+            start, stop = max(hit[-2], end), min(hit[-1], found[k + 1][3] if k + 1 < len(found) else len(words))
+            _, n, name, _, _, first, end, gain, said, _, _ = self.confirm(words, name=hit[2], start=start, stop=stop) or hit
+            out.append((placed[first][1], placed[end - 1][2], name, gain, n, said))
+        return out
 
 
 FOUND = "doc_id long, start long, end long, license string, gain double, n_different long, differences string"

@@ -35,4 +35,18 @@ def test_short_and_reworded_notices_pass_the_prefilter():
         for at in range(len(words) - limit + 1) if limit else ():
             text = " ".join([*words[:at], *["zzz"] * limit, *words[at + limit :]]).lower()
             assert any(w in text for w in Scanner(TEMPLATES).rare), text
-            assert name in Scanner(TEMPLATES).candidates([(w, 0, 0) for w in text.split()]), text
+            assert name in {found for found, _, _ in Scanner(TEMPLATES).stretches(text.split())}, text
+
+
+def test_wrapped_notices_and_several_on_a_line():
+    scan = lambda text: [(h[2], h[4]) for h in Scanner(TEMPLATES).scan(text)]
+    assert scan("Licensed under the Apache License,\nVersion 2.0.") == [("Apache-2.0", 0)]
+    wrapped = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"
+    assert scan(wrapped) == [("BSD-3-Clause", 0)]
+    both = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    (first, second) = Scanner(TEMPLATES).scan(both)
+    assert (first[2], second[2]) == ("Apache-2.0", "MIT") and both[second[0] : second[1]] == "Released under the MIT License"
+    assert scan("Licensed under the Apache License, Version. Released under the MIT License.") == [("Apache-2.0", 1), ("MIT", 0)]
+    every = [name for name in sorted(TEMPLATES)]
+    assert scan(" ".join(TEMPLATES[name] for name in every)) == [(name, 0) for name in every]
+    assert scan("\n".join([TEMPLATES["MIT"]] * 50)) == [("MIT", 0)] * 50
