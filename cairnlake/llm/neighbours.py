@@ -4,7 +4,9 @@ Codes are signs of centred vectors under learned rotations: principal axes, turn
 signs (iterative quantisation), several times from different starts until there are ``code_bits`` bits. A code is cut
 into 16-bit substrings and each substring has its own index. A query probes, in every index, all values within
 floor(radius / substrings) bits: by the pigeonhole principle every code within the radius has such a substring, so all
-are found. They are checked by their whole codes and reranked by exact distances on the original vectors.
+are found. They are checked by their whole codes and reranked by exact distances on the original vectors. Where fewer
+than ``LEAST`` candidates lie within the radius, a query takes the nearest codes of the shard, ``LEAST`` of them and those
+that tie with the last, or every candidate: so each has its ``k`` rows wherever there are ``k`` candidates.
 
 The rotations and the radius are learned from a sample of at most ``SAMPLE`` vectors (those whose ids hash lowest): the
 radius is the one that holds ``SAMPLE_RECALL`` of the sample's own nearest neighbours, which in more data only get nearer.
@@ -32,6 +34,8 @@ K = 10
 CODE_BITS = 128
 SAMPLE, SAMPLE_QUERIES, SAMPLE_RECALL = 8192, 256, 0.97
 ROUNDS = 30
+#: Candidates of a shard that are reranked for a query at least.
+LEAST = 1000
 SHARD, QUERY_BLOCK = 16_384, 8_192
 SUBSTRING = 16
 SEED = 7
@@ -109,6 +113,14 @@ class MultiIndex:
         rows = np.flatnonzero(seen)
         return rows[hamming(self.codes[rows], code) <= radius]
 
+    def nearest(self, code: np.ndarray, least: int, allowed: np.ndarray) -> np.ndarray:
+        """The allowed rows with the nearest codes, ``least`` of them and ties with the last, or all."""
+        rows = np.flatnonzero(allowed)
+        if len(rows) <= least:
+            return rows
+        d = hamming(self.codes[rows], code)
+        return rows[d <= np.partition(d, least - 1)[least - 1]]
+
 
 def usable(vector: Column) -> Column:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -141,6 +153,7 @@ def nearest_neighbours(
     dealt = lambda count, name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(name)
     left = vectors.select(dealt(shards, "shard"), every(blocks, "block"), "vec_id", "embedding")
     right = queries.select(every(shards, "shard"), dealt(blocks, "block"), "vec_id", "embedding")
+    least = max(k, LEAST)
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def searched(indexed: pa.Table, asked: pa.Table) -> pa.Table:
@@ -152,7 +165,10 @@ def nearest_neighbours(
         index, found = MultiIndex(codes.encode(x)), []
         for query_id, vector, code in zip(asked.column("vec_id").to_pylist(), q, codes.encode(q), strict=True):
             rows = index.search(code, codes.radius)
-            rows = rows[known[rows] & (ids[rows] != query_id)]
+            allowed = known & (ids != query_id)
+            rows = rows[allowed[rows]]
+            if len(rows) < least:
+                rows = index.nearest(code, least, allowed)
             score = np.sqrt(((x[rows] - vector) ** 2).sum(axis=1))
             order = np.lexsort((ids[rows], score))[:k]
             found.append((np.full(len(order), query_id), ids[rows[order]], score[order]))

@@ -63,3 +63,19 @@ def test_ties_repeats_and_unusable_vectors(spark):
     few = frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])])
     assert [i for i, _ in found(nn.nearest_neighbours(few, few.where("vec_id = 0")))[0]] == [2, 1]
     assert nn.nearest_neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_small_tables_and_sparse_queries_get_all_their_rows(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 5, 8, 11):
+        rows = list(enumerate(rng.normal(size=(n, 64))))
+        vectors = frame(spark, rows)
+        got, want = found(nn.nearest_neighbours(vectors, vectors)), brute(rows, rows, 10)
+        assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in want.items()}
+    centres, sparse = rng.normal(size=(150, 64)), rng.normal(size=(60, 64))
+    x = np.concatenate([centres[np.arange(2940) % 150] + 1e-4 * rng.normal(size=(2940, 64)), sparse])
+    rows = [(i, v / np.linalg.norm(v)) for i, v in enumerate(x)]
+    vectors = frame(spark, rows)
+    got, want = found(nn.nearest_neighbours(vectors, vectors.where("vec_id >= 2940"), shard_rows=1600)), brute(rows, rows[2940:], 10)
+    assert {len(r) for r in got.values()} == {10} and set(got) == set(want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items()) >= 0.95 * 600
