@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scores
 from cairnlake.functions.sets import sorted_tokens
+from cairnlake.functions.text import is_mailbox
 from cairnlake.sources.scratch import stored
 
 
@@ -75,6 +76,42 @@ def mailing_reuse(graph: Graph) -> DataFrame:
     return fired(members_of_shared(edges), "mailing_address_reuse", 0.58, 0.06, 0.88, 14)
 
 
+@marker("mailbox_address_cluster")
+def mailbox_addresses(graph: Graph, least: int = 2) -> DataFrame:
+    """Mailbox-like addresses that ``least`` entities or more use: the address is flagged, evidence is the first that uses it."""
+    addresses = graph.entities.where((F.col("entity_type") == "address") & is_mailbox(F.col("display_name"))).select(F.col("entity_id").alias("dst"))
+    users = graph.edges.where(F.col("kind").contains("ADDRESS") | (F.col("kind") == "LOCATED_AT")).join(addresses, "dst", "left_semi")
+    rows = users.groupBy(F.col("dst").alias("entity_id")).agg(F.countDistinct("src").alias("support"), F.min("src").alias("evidence"))
+    return fired(rows.where(F.col("support") >= least), "mailbox_address_cluster", 0.6, 0.05, 0.92, 16)
+
+
+@marker("business_mailing_address_cluster")
+def business_mailing(graph: Graph) -> DataFrame:
+    edges = graph.typed_edges().where("kind = 'BUSINESS_MAILING_ADDRESS' AND src_type = 'business' AND dst_type = 'address'")
+    return fired(members_of_shared(edges), "business_mailing_address_cluster", 0.62, 0.06, 0.94, 17)
+
+
+def shared_identifier(graph: Graph, name: str, kind: str, target: str, risk: int) -> DataFrame:
+    """Entities of any type that share an identifier."""
+    edges = graph.typed_edges().where((F.col("kind") == kind) & (F.col("dst_type") == target))
+    return fired(members_of_shared(edges), name, 0.6, 0.07, 0.93, risk)
+
+
+@marker("shared_phone")
+def shared_phone(graph: Graph) -> DataFrame:
+    return shared_identifier(graph, "shared_phone", "USES_PHONE", "phone", 14)
+
+
+@marker("shared_email")
+def shared_email(graph: Graph) -> DataFrame:
+    return shared_identifier(graph, "shared_email", "USES_EMAIL", "email", 12)
+
+
+@marker("shared_website")
+def shared_website(graph: Graph) -> DataFrame:
+    return shared_identifier(graph, "shared_website", "HAS_WEBSITE", "website", 10)
+
+
 @marker("officer_controls_many")
 def controls_many(graph: Graph, least: int = 3) -> DataFrame:
     rows = graph.edges.where("kind = 'SUPPLIES'").groupBy(F.col("src").alias("entity_id")).agg(F.countDistinct("dst").alias("support"), F.min("dst").alias("evidence"))

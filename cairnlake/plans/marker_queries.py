@@ -54,6 +54,54 @@ def mailing_reuse(spark, sf_dir):
     return markers.mailing_reuse(graph(spark, sf_dir))
 
 
+#: Customers as businesses with mailing addresses (nations, every other one a mailbox) and what they share: a phone for
+#: each nation and segment, an email for each nation, a website for each segment.
+_SHARED_GRAPH_SQL = """
+edges AS (
+  SELECT 'customer:' || c_custkey AS src, 'phone:' || c_nationkey || '-' || c_mktsegment AS dst, 'USES_PHONE' AS kind FROM customer
+  UNION ALL SELECT 'customer:' || c_custkey, 'email:' || c_nationkey, 'USES_EMAIL' FROM customer
+  UNION ALL SELECT 'customer:' || c_custkey, 'website:' || c_mktsegment, 'HAS_WEBSITE' FROM customer
+  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'BUSINESS_MAILING_ADDRESS' FROM customer),
+mailboxes AS (SELECT 'nation:' || n_nationkey AS dst FROM nation WHERE n_nationkey % 2 = 0)"""
+
+
+def _shared_graph(spark, sf_dir):
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    of = lambda *parts: F.concat(F.lit(parts[0] + ":"), F.concat_ws("-", *[F.col(c).cast("string") for c in parts[1:]]))
+    targets = {"phone": ("USES_PHONE", of("phone", "c_nationkey", "c_mktsegment")), "email": ("USES_EMAIL", of("email", "c_nationkey")), "website": ("HAS_WEBSITE", of("website", "c_mktsegment"))}
+    entity = lambda df, entity_id, kind, name: df.select(entity_id.alias("entity_id"), F.lit(kind).alias("entity_type"), name.alias("display_name"), F.lit("customer").alias("source_name")).distinct()
+    edge = lambda dst, kind: customer.select(of("customer", "c_custkey").alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), F.lit("customer").alias("source"))
+    entities = entity(customer, of("customer", "c_custkey"), "business", F.col("c_name"))
+    display = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("PO Box "), F.col("n_nationkey").cast("string"))).otherwise(F.col("n_name"))
+    entities = entities.unionByName(entity(nation, of("nation", "n_nationkey"), "address", display))
+    edges = edge(of("nation", "c_nationkey"), "BUSINESS_MAILING_ADDRESS")
+    for name, (kind, dst) in targets.items():
+        entities, edges = entities.unionByName(entity(customer, dst, name, dst)), edges.unionByName(edge(dst, kind))
+    return markers.Graph(entities, edges)
+
+
+@R.query(f"""WITH {_SHARED_GRAPH_SQL}
+{_SHARED.format(name="shared_phone", base="0.6::DOUBLE", step="0.07::DOUBLE", cap="0.93::DOUBLE", risk=14, kind="USES_PHONE")}
+UNION ALL {_SHARED.format(name="shared_email", base="0.6::DOUBLE", step="0.07::DOUBLE", cap="0.93::DOUBLE", risk=12, kind="USES_EMAIL")}
+UNION ALL {_SHARED.format(name="shared_website", base="0.6::DOUBLE", step="0.07::DOUBLE", cap="0.93::DOUBLE", risk=10, kind="HAS_WEBSITE")}""")
+def shared_identifier_members(spark, sf_dir):
+    g = _shared_graph(spark, sf_dir)
+    return markers.shared_phone(g).unionByName(markers.shared_email(g)).unionByName(markers.shared_website(g))
+
+
+@R.query(f"""WITH {_SHARED_GRAPH_SQL}
+{_SHARED.format(name="business_mailing_address_cluster", base="0.62::DOUBLE", step="0.06::DOUBLE", cap="0.94::DOUBLE", risk=17, kind="BUSINESS_MAILING_ADDRESS")}""")
+def business_mailing_cluster(spark, sf_dir):
+    return markers.business_mailing(_shared_graph(spark, sf_dir))
+
+
+@R.query(f"""WITH {_SHARED_GRAPH_SQL}
+SELECT dst AS entity_id, 'mailbox_address_cluster' AS marker, count(DISTINCT src) AS support, round(least(0.6::DOUBLE + 0.05::DOUBLE * count(DISTINCT src), 0.92::DOUBLE), 4)::DOUBLE AS confidence, 16::BIGINT AS risk, min(src) AS evidence
+FROM edges JOIN mailboxes USING (dst) WHERE kind = 'BUSINESS_MAILING_ADDRESS' GROUP BY dst HAVING count(DISTINCT src) >= 2""")
+def mailbox_cluster(spark, sf_dir):
+    return markers.mailbox_addresses(_shared_graph(spark, sf_dir))
+
+
 @R.query(f"WITH {GRAPH_SQL}, {_MARKERS} SELECT * FROM controls")
 def many_controls(spark, sf_dir):
     return markers.controls_many(graph(spark, sf_dir))
