@@ -15,6 +15,11 @@ from cairnlake.functions.sets import merge_tokens, sorted_tokens
 from cairnlake.operators.graph import connected_components
 
 MAXIMUM_BLOCK = 200
+#: Entity types whose equal names need shared evidence to merge, and those of persons.
+NEED_EVIDENCE = ("person", "registered_agent", "officer", "business", "owner")
+PERSONS = ("person", "owner", "registered_agent", "officer")
+#: Name ratios from which shared evidence makes a pair one for review (persons, others), and from which names are alike.
+PERSON_RATIO, OTHER_RATIO, ALIKE_RATIO = 0.92, 0.9, 0.75
 
 
 def block_keys(kind: Column, value: Column) -> Column:
@@ -108,17 +113,49 @@ def similar_names(rows: DataFrame, block: str, id_col: str, name: str, least: fl
     return out.where("ratio < 1")
 
 
-def resolve(entities: DataFrame, keys: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Entities with their clusters: block, decide, join what merges.
+def ladder(kind: Column, left: Column, right: Column, same_parcel: Column, shared: Column, ratio: Column) -> Column:
+    """struct(method, score, decision) of a pair of one type: identifiers, addresses, then names."""
+    row = lambda method, score, decision: F.struct(method.alias("method"), F.lit(score).alias("score"), F.lit(decision).alias("decision"))
+    exact = F.coalesce((F.trim(left) != "") & (left == right), F.lit(False))
+    a, b = X.address_key(left), X.address_key(right)
+    other_unit = F.coalesce((a["building"] != "") & (a["building"] == b["building"]) & (a["unit"] != b["unit"]), F.lit(False))
+    enough = F.when(kind.isin(*PERSONS), PERSON_RATIO).otherwise(OTHER_RATIO)
+    return (
+        F.when(kind.isin("phone", "email", "website") & exact, row(F.concat(F.lit("exact_"), kind), 1.0, "AUTO_MERGE"))
+        .when((kind == "property") & same_parcel, row(F.lit("exact_property_parcel"), 1.0, "AUTO_MERGE"))
+        .when((kind == "address") & exact, row(F.lit("exact_address"), 0.99, "AUTO_MERGE"))
+        .when((kind == "address") & other_unit, row(F.lit("shared_building_different_unit"), 0.3, "NO_MERGE"))
+        .when(kind == "address", row(F.lit("candidate_only"), 0.0, "NO_MERGE"))
+        .when(~exact & (ratio >= enough) & shared, row(F.lit("fuzzy_name_plus_secondary"), 0.86, "REVIEW"))
+        .when(~exact & (ratio >= ALIKE_RATIO), row(F.lit("fuzzy_name_only"), 0.45, "NO_MERGE"))
+        .otherwise(decide(exact, shared, kind.isin(*NEED_EVIDENCE)))
+    )
 
-    ``entities`` (entity_id, entity_type, name, source_name); ``keys`` (entity_id, key) are block keys; ``evidence``
-    (entity_id, value) secondary values. Returns entities with ``cluster``, the smallest id of each cluster.
+
+def match_decisions(entities: DataFrame, keys: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(left_id, right_id, entity_type, method, score, decision) of the pairs of one type that share a block.
+
+    The tables are those of ``resolve``. Names are compared letter by letter only where nothing before decides.
     """
+    has_parcel = "parcel" in entities.columns
     pairs = candidate_pairs(keys.withColumnRenamed("entity_id", "id"), ["key"], "id")
-    side = lambda x: entities.select(F.col("entity_id").alias(f"{x}_id"), F.col("entity_type").alias(f"{x}_type"), F.col("name").alias(f"{x}_name"))
+    side = lambda x: entities.select(F.col("entity_id").alias(f"{x}_id"), F.col("entity_type").alias(f"{x}_type"), F.col("name").alias(f"{x}_name"), (F.col("parcel") if has_parcel else F.lit(None).cast("string")).alias(f"{x}_parcel"))
     shared = evidence.select(F.col("entity_id").alias("left_id"), "value").join(evidence.select(F.col("entity_id").alias("right_id"), "value"), "value").where("left_id < right_id").select("left_id", "right_id").distinct().withColumn("shared", F.lit(True))
     rows = pairs.join(side("left"), "left_id").join(side("right"), "right_id").where("left_type = right_type").join(shared, ["left_id", "right_id"], "left")
-    decision = decide(F.col("left_name") == F.col("right_name"), F.coalesce("shared", F.lit(False)), F.col("left_type").isin("person", "officer", "registered_agent"))["decision"]
-    merged = rows.where(decision == "AUTO_MERGE").select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+    same_parcel = F.coalesce((F.trim("left_parcel") != "") & (F.col("left_parcel") == F.col("right_parcel")), F.lit(False))
+    rows = rows.withColumn("same_parcel", same_parcel).withColumn("shared", F.coalesce("shared", F.lit(False)))
+    undecided = (F.col("left_type") != "address") & (F.col("left_name") != F.col("right_name")) & ~F.col("same_parcel")
+    rows = rows.withColumn("l", F.when(undecided, F.col("left_name"))).withColumn("ratio", similarity("l", "right_name"))
+    decision = ladder(F.col("left_type"), F.col("left_name"), F.col("right_name"), F.col("same_parcel"), F.col("shared"), F.col("ratio"))
+    return rows.select("left_id", "right_id", F.col("left_type").alias("entity_type"), decision.alias("d")).select("left_id", "right_id", "entity_type", "d.*")
+
+
+def resolve(entities: DataFrame, keys: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Entities with their clusters: block, decide, join what merges.
+
+    ``entities`` (entity_id, entity_type, name, source_name); ``keys`` (entity_id, key) are block keys; ``evidence``
+    (entity_id, value) secondary values; entities may have a ``parcel``, which properties merge on. Returns entities with ``cluster``, the smallest id of each cluster.
+    """
+    merged = match_decisions(entities, keys, evidence).where("decision = 'AUTO_MERGE'").select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
     clusters = connected_components(entities.select(F.col("entity_id").alias("id")), merged)
     return entities.join(clusters.withColumnsRenamed({"id": "entity_id", "component": "cluster"}), "entity_id")
