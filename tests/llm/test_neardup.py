@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -72,3 +73,12 @@ def test_signatures_estimate_similarity():
     s, t = neardup.min_max([np.unique(np.r_[shared, a]), np.unique(np.r_[shared, b])])
     assert abs((s == t).mean() - 0.8) < 0.12
     assert s[0] == np.unique(np.r_[shared, a] * neardup.permutations(95)[0][0] + neardup.permutations(95)[1][0]).min()
+
+
+def test_sketches_drop_fewer_links_than_bands_miss():
+    n, bands = 2 * neardup.PERMUTATIONS, 2 * neardup.PERMUTATIONS // neardup.BAND_ROWS
+    least = math.ceil(neardup._least_match(n, neardup.THRESHOLD) * n)
+    for j in (0.8, 0.805, 0.81):
+        q = j * 255 / 256 + 1 / 256
+        dropped = sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(least))
+        assert dropped < 2.1e-8 < (1 - 0.8**neardup.BAND_ROWS) ** bands
