@@ -72,15 +72,34 @@ def similarity(left: str, right: str) -> Column:
     return F.pandas_udf(_ratios, DoubleType())(left, right)
 
 
-def fuzzy_pairs(rows: DataFrame, key: Sequence[str], id_col: str, name: str, least: float, most: int = MAXIMUM_BLOCK) -> DataFrame:
-    """Candidate pairs whose names are alike enough: (left_id, right_id, ratio). Only pairs of one block are compared."""
+def block_pairs(rows: DataFrame, key: Sequence[str], id_col: str, part: int = MAXIMUM_BLOCK) -> DataFrame:
+    """(left_id, right_id), left < right, of all rows that share a block, however many those are.
+
+    A block's rows are dealt into parts of ``part`` rows about, and each pair of parts is joined by itself.
+    """
+    distinct = rows.select(*key, F.col(id_col).alias("id")).distinct()
+    parts = distinct.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = distinct.join(parts, list(key)).withColumn("own", own)
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
+    dealt = dealt.withColumn("cell", F.explode(cells)).select(*key, "cell.i", "cell.j", "own", "id")
+    left, right = dealt.withColumnsRenamed({"id": "left_id", "own": "left_own"}), dealt.withColumnsRenamed({"id": "right_id", "own": "right_own"})
+    both = left.join(right, [*key, "i", "j"]).where("left_id < right_id AND (i = j OR left_own <> right_own)")
+    return both.select("left_id", "right_id").distinct()
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, id_col: str, name: str, least: float) -> DataFrame:
     names = rows.select(F.col(id_col).alias("id"), F.col(name).alias("name")).distinct()
-    pairs = candidate_pairs(rows, key, id_col, most)
     left, right = names.withColumnsRenamed({"id": "left_id", "name": "l"}), names.withColumnsRenamed({"id": "right_id", "name": "r"})
     out = pairs.join(left, "left_id").join(right, "right_id").withColumn("ratio", similarity("l", "r"))
     return out.where(F.col("ratio") >= least).select("left_id", "right_id", F.round("ratio", 4).alias("ratio"))
 
 
+def fuzzy_pairs(rows: DataFrame, key: Sequence[str], id_col: str, name: str, least: float, most: int = MAXIMUM_BLOCK) -> DataFrame:
+    """Candidate pairs whose names are alike enough: (left_id, right_id, ratio). Only pairs of one block are compared."""
+    return _alike(candidate_pairs(rows, key, id_col, most), rows, id_col, name, least)
+
+
 def canonical(members: DataFrame) -> DataFrame:
     """One row per cluster from (cluster, entity_id, entity_type, name, source_name): representative, counts, sources, stable id."""
     order = F.struct(F.when(F.trim("name") == "", "~").otherwise(F.col("name")), -F.length("name"), "entity_id")
@@ -108,8 +127,8 @@ def merge_rows(rows: DataFrame, keys: Sequence[str], order: str, merged: Sequenc
 
 
 def similar_names(rows: DataFrame, block: str, id_col: str, name: str, least: float = 0.86) -> DataFrame:
-    """(left_id, right_id, ratio) of different names at one address that are alike."""
-    out = fuzzy_pairs(rows, [block], id_col, name, least)
+    """(left_id, right_id, ratio) of different names at one address that are alike; an address has no limit of names."""
+    out = _alike(block_pairs(rows, [block], id_col), rows, id_col, name, least)
     return out.where("ratio < 1")
 
 

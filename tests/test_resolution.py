@@ -1,5 +1,8 @@
 """The whole ladder of pair decisions, and what it merges."""
 
+from difflib import SequenceMatcher
+from itertools import combinations
+
 from cairnlake.operators import resolution
 
 PAIRS = [  # (type, names, parcels, shared evidence, method, decision)
@@ -31,3 +34,13 @@ def test_every_rung_of_the_ladder(spark):
     assert got == {f"{i:02}a": pair[-2:] for i, pair in enumerate(PAIRS)}
     clusters = {r["entity_id"]: r["cluster"] for r in resolution.resolve(entities, keys, evidence).collect()}
     assert clusters == {f"{i:02}{x}": f"{i:02}a" if pair[-1] == "AUTO_MERGE" else f"{i:02}{x}" for i, pair in enumerate(PAIRS) for x in "ab"}
+
+
+def test_similar_names_of_a_large_block(spark):
+    names = [f"{chr(65 + i % 26)}{chr(65 + i // 26)} HOLDINGS {i:03} OF MIAMI" for i in range(230)]
+    rows = spark.createDataFrame([(n, n, "a") for n in names] + [("ACME ONE", "ACME ONE", "b"), ("ACME ONES", "ACME ONES", "b")], "id string, name string, block string")
+    got = sorted((r["left_id"], r["right_id"], r["ratio"]) for r in resolution.similar_names(rows, "block", "id", "name").collect())
+    want = [(a, b, round(SequenceMatcher(None, a, b).ratio(), 4)) for a, b in combinations(sorted(names), 2)] + [("ACME ONE", "ACME ONES", round(16 / 17, 4))]
+    assert got == sorted(w for w in want if w[2] >= 0.86) and len(got) > 1
+    pairs = resolution.block_pairs(rows, ["block"], "id", part=40).collect()
+    assert {tuple(p) for p in pairs} == {*combinations(sorted(names), 2), ("ACME ONE", "ACME ONES")}
