@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, table
+from .common import map_rows, stored, table, worker_cache
 
 N_WORDS = 4
 #: Links reach this many hundredths of intersection to union.
@@ -45,22 +45,20 @@ BLOCK = 1024
 MARGIN = 6
 #: Shingles whose values are worked on at a time.
 AT_ONCE = 1 << 17
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 SEED = 20240101
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = found
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
-_hashes = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +74,7 @@ def shingles(text: str | None, n_words: int = N_WORDS) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(n_words, len(words))
     out = np.full(len(h) - width + 1, width if len(words) < n_words else 0, np.uint64)
     for k in range(width):

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import is_held_out, map_rows, one_label, stored, table
+from .common import filter_rows, is_held_out, map_rows, one_label, pieces_of, released, stored, table
 
 THRESHOLD = 0.3
 #: Share of the pooled covariance in a class's, and of its own diagonal in the pooled one.
@@ -184,16 +185,31 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
 
 
 def quality_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not rejected, whole rows; statistics ride along with each row, so no join is needed."""
-    stats = stored(statistics(docs), "quality")
-    model = train(stats, labels)
+    """The documents that are not rejected, whole rows.
+
+    Statistics ride along with each row of a stored table: the model is fitted from its two columns, then rows are
+    filtered by theirs, so no text is looked at twice and no row is joined.
+    """
+    at, width = docs.columns.index("text"), len(docs.columns)
+    together = T.StructType([*docs.schema.fields, T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics_of(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(NAMES))
-            yield batch.filter(pa.array(model.score(x) >= threshold if model else np.full(len(x), 0.5 >= threshold)))
+            for piece in pieces_of(batch):
+                stats = pa.array([statistics_of(t) for t in piece.column(at).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*piece.columns, stats], [*piece.schema.names, "stats"])
+        released()
+
+    # Columns are taken by place, and the last is the statistics', whatever the others are called.
+    places = [f"c{i}" for i in range(width)] + ["stats"]
+    held = stored(docs.mapInArrow(with_statistics, together).toDF(*places), "quality")
+    model = train(held.select(F.col(places[docs.columns.index("doc_id")]).alias("doc_id"), "stats"), labels)
+
+    def good(stats: list) -> np.ndarray:
+        x = np.array(stats).reshape(-1, len(NAMES))
+        return model.score(x) >= threshold if model else np.full(len(x), 0.5 >= threshold)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_rows(held, good, "stats", keep=width).toDF(*docs.columns)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

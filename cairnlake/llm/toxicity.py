@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, map_rows, one_label, table
+from .common import filter_rows, is_held_out, map_rows, one_label, table
 
 THRESHOLD = 0.5
 VOCABULARY = 4096
@@ -37,7 +37,7 @@ LEAST_DOCUMENTS = 3
 #: Its toxic documents exceed those expected by so many standard errors.
 LEAST_EXCESS = 4.0
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Features that a counting task holds before it hands them on.
 HELD_FEATURES = 500_000
 
@@ -206,13 +206,7 @@ def detect_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not rejected, whole rows."""
     model = train(docs, labels)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.filter(pa.array([model is None or model.locate(t)[0] < threshold for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_rows(docs, lambda texts: [model is None or model.locate(t)[0] < threshold for t in texts], "text")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
