@@ -4,7 +4,8 @@ Documents become token ids and are cut only where they exceed a sequence. The hi
 ``seq_len`` bins, whatever the input) is packed on the driver: lengths are placed longest first, each into the open
 patterns with the most room, which updates how often each pattern occurs; where none has room, new patterns open,
 holding as many of that length as fit. Patterns then meet the pieces by rank within length. Ranks are counted in salted
-groups of a length, so one length that a third of all rows have is not ranked in one task.
+groups of a length, dealt by a row number that is stored with the pieces, so neither a length that a third of all rows
+have nor one row that repeats without end is ranked in one task.
 
 Defined results: null and empty texts are the one closing id; a null doc_id stays null and its pieces are ranked like
 others; rows that repeat are packed as often as they occur; an empty table gives no pieces; other columns are ignored.
@@ -16,36 +17,48 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, table
+from .common import pieces_of, released, stored, table, worker_cache
 
 SEQ_LEN = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-TEXTS_AT_ONCE = 64
+#: Words whose ids a worker remembers, in each of two generations.
+CACHE_WORDS = 150_000
 #: Pieces of one length that are ranked together, about.
 RANKED_TOGETHER = 500_000
 
+#: Bytes of texts that are encoded at a time.
+TEXT_AT_A_TIME = 4 << 20
+
 PUNCTUATION = ".,;:!?%$#&*|"
+#: The letters of Latin-1: the tokenizer lowers them as Arrow does and changes nothing else.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+LATIN_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+
 
-_encoders: dict[str, WordEncoder] = {}
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else one above U+0100."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class WordEncoder(dict):
     """Ids of blank-separated words as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokens never span white space, its normaliser maps characters on their own but for composition,
-    which a blank ends, and it drops white space. So the ids of a text are those of its words in order; each distinct
-    word goes through the tokenizer once.
+    which a blank ends, and it drops white space. So the ids of a text are those of its words in order, and the ids of
+    Latin-1 letters with punctuation after them are those of the lowered letters and of the punctuation. Arrow splits a
+    batch of texts, numbers its words and takes them apart; only distinct parts are looked up or encoded, and ids are
+    gathered by the numbers. This maps parts to ids; other words are encoded as they are.
     """
 
     def __init__(self, name: str):
@@ -54,61 +67,58 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.characters = byte_characters()
+        self.before: dict[str, bytes] = {}  # the parts of the last generation: those still in use are kept on
 
-        self.before: dict[str, bytes] = {}  # the words of the last generation: those still in use are kept on
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.before.get(word)
+    def __missing__(self, part: str) -> bytes:
+        """A part is what the tokenizer would neither change nor cut before its merges."""
+        found = self.before.get(part)
         if found is None:
-            found = self.apart(word)
-        if len(word) <= 64:
+            plain = part if part.isascii() else part.encode().decode("latin-1").translate(self.characters)
+            found = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        if len(part) <= 64:
             if len(self) >= CACHE_WORDS:
-                self.before = dict(self)
+                self.before = self.copy()
                 self.clear()
-            self[word] = found
+            self[part] = found
         return found
 
-    @staticmethod
-    def core(word: str) -> str | None:
-        """The letters of a word before its punctuation, if that is all it is: capitals of Latin-1 are lowered alike."""
-        letters = word.rstrip(PUNCTUATION)
-        return letters.lower() if letters.isalpha() and max(letters) < "\u0100" else None
-
-    def apart(self, word: str) -> bytes:
-        """Letters and the punctuation after them are pre-tokens of their own."""
-        core = self.core(word)
-        if core is not None and core != word:
-            return self[core] + (self[word[len(core) :]] if len(core) < len(word) else b"")
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the unknown cores of words in one go: a core is one pre-token, whose last id ends a word."""
-        unknown = {c for w in words if w not in self and w not in self.before and (c := self.core(w)) and len(c) <= 64}
-        unknown = sorted(c for c in unknown if c not in self and c not in self.before)
-        if len(self) + len(unknown) >= CACHE_WORDS or not unknown:
-            return
-        ids = np.asarray(self.tokenizer.encode(" ".join(unknown), add_special_tokens=False).ids, "<u4")
-        stops = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-        if len(stops) == len(unknown):
-            raw = ids.tobytes()
-            self.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(unknown, [0, *stops[:-1]], stops, strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+    def ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many each word has)."""
+        letters = pc.utf8_rtrim(words, PUNCTUATION)
+        simple = pc.match_substring_regex(letters, f"^[{LATIN}]*$")
+        cores = pc.utf8_lower(pc.if_else(simple, letters, "")).dictionary_encode()
+        tails = pc.if_else(simple, pc.utf8_ltrim(words, LATIN_LETTERS), "").dictionary_encode()
+        odd = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        found = [self[x] if x else b"" for part in (cores, tails) for x in part.dictionary.to_pylist()]
+        found += [array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes() for w in words.take(pa.array(odd)).to_pylist()]
+        number = np.stack([cores.indices.to_numpy(), tails.indices.to_numpy() + len(cores.dictionary)], axis=1)
+        number[odd] = 0
+        length = np.array([len(x) // 4 for x in found], np.int64)
+        parts = length[number]
+        # A word that is not simple has one part, its second, so the first has no ids.
+        number[odd, 1] = np.arange(len(found) - len(odd), len(found))
+        parts[odd, 0], parts[odd, 1] = 0, length[len(found) - len(odd) :]
+        return gathered(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(length) - length)[number.ravel()], parts.ravel()), parts.sum(axis=1)
+
+    def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's begin and the last one's end)."""
+        words = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        numbered = words.flatten().dictionary_encode()
+        flat, length = self.ids_of_words(numbered.dictionary)
+        number = numbered.indices.to_numpy()
+        n = length[number]
+        stops = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+        return gathered(flat, (np.cumsum(length) - length)[number], n), np.concatenate([[0], np.cumsum(n)])[stops]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tobytes()
 
 
-def encoder(name: str) -> WordEncoder:
-    if name not in _encoders:
-        _encoders[name] = WordEncoder(name)
-    return _encoders[name]
+def gathered(values: np.ndarray, begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` values from each of ``begins``, in a row."""
+    return values[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
@@ -116,20 +126,27 @@ PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, with_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``seq_len`` ids; ``with_ids`` adds the ids themselves."""
+    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
+    arrow = pa.schema(kinds + [("ids", pa.list_(pa.int64()))] * with_ids)
 
-    def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
-        end = END_ID.to_bytes(4, "little")
-        while some := list(islice(rows, TEXTS_AT_ONCE)):
-            for (doc_id, _), ids in zip(some, encoder(tokenizer).encode_all([text or "" for _, text in some]), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, seq_len):
-                    cut = ids[4 * start : 4 * (start + seq_len)]
-                    row = (doc_id, start, len(cut) // 4, zlib.crc32(cut), n)
-                    yield (*row, np.frombuffer(cut, "<u4").astype("i8")) if with_ids else row
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_cache(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
+        end = np.array([END_ID], "<u4")
+        for batch in batches:
+            for some in pieces_of(batch, TEXT_AT_A_TIME):
+                ids, begins = encoder.encode_all(pc.fill_null(some.column("text"), ""))
+                rows = []
+                for doc_id, a, b in zip(some.column("doc_id").to_pylist(), begins[:-1], begins[1:], strict=True):
+                    own = np.append(ids[a:b], end)
+                    for start in range(0, len(own), seq_len):
+                        cut = own[start : start + seq_len]
+                        row = (doc_id, start, len(cut), zlib.crc32(cut.tobytes()), len(own))
+                        rows.append((*row, cut.astype("i8")) if with_ids else row)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        released()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(texts, pieces, PIECE + ", ids array<long>" * with_ids)
+    return texts.mapInArrow(pieces, PIECE + ", ids array<long>" * with_ids)
 
 
 def pack_histogram(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -175,19 +192,19 @@ def slots_of(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.
 
 
 def pack_pieces(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Reads its input several times: pass a stored table.
+    """``pieces`` with sequence_id and offset.
 
     The slots that tasks get are bounded by the histogram: a few runs for each of at most ``seq_len`` lengths.
     """
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    numbered = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r["length"]: r["n"] for r in numbered.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = max(32, sum(histogram.values()) // RANKED_TOGETHER)
     slots = slots_of(pack_histogram(histogram, seq_len))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = numbered.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     counts = counts.select("length", "salt", before.alias("before"))
-    in_salt = W.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = salted.withColumn("in_salt", F.row_number().over(in_salt).cast("long") - 1).join(counts, ["length", "salt"])
+    ranked = salted.withColumn("in_salt", F.row_number().over(W.partitionBy("length", "salt").orderBy("row")).cast("long") - 1).join(counts, ["length", "salt"])
     ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("in_salt")).alias("rank"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +227,7 @@ def pack_pieces(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents and where they lie; ``with_ids`` keeps the ids."""
-    return pack_pieces(stored(token_pieces(docs, tokenizer, seq_len, with_ids), "pieces"), seq_len)
+    return pack_pieces(token_pieces(docs, tokenizer, seq_len, with_ids), seq_len)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -18,12 +18,33 @@ def reference_ids(text):
 ODD = ["", " ", "Ab, cd!", "don't's 'S", "a\tb\x0bc d e\x1cf", "É È ſ ﬁ ΑΣ", "é ́x", "a<|endoftext|>b", "ÀB.C", "12.5%%", "x" * 200 + "...", "  two\n\nlines ", "ßẞİ", "日本語 text"]
 
 
+ENCODER = packing.WordEncoder("word_bpe_49k.json")
+
+
 def test_words_are_encoded_as_the_whole_text_is():
-    encoder = packing.encoder("word_bpe_49k.json")
+    encoder = ENCODER
     for text in ODD + [" ".join(ODD)]:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference_ids(text), text
 
 
+ALPHABET = "aAzZéÉßµªº\u00c0\u00de\u00fe .,;:!?%$#&*|'’stT012<>|\u0327\u0301ﬁǅ漢Ω\t\n\x1c\u0085\u200b-_()"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*ALPHABET, "<|endoftext|>", "word"]), max_size=30).map("".join), min_size=1, max_size=4))
+def test_batches_of_odd_texts_are_encoded_as_each_is(texts):
+    ids, begins = ENCODER.encode_all(texts)
+    for text, a, b in zip(texts, begins[:-1], begins[1:], strict=True):
+        assert ids[a:b].tolist() == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    encoder = packing.WordEncoder("word_bpe_49k.json")
+    for text in ["one two three four five six", "six one, Two... seven"] * 2:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference_ids(text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_patterns_place_every_length_once(histogram):

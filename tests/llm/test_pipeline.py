@@ -37,9 +37,9 @@ def by_hand(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, s) for i, (t, s) in docs.items()])
-    pieces = Counter()
+    pieces, encoder = Counter(), packing.WordEncoder(packing.TOKENIZER)
     for doc_id, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({mixing.OP7_SQL})").fetchall():
-        ids = packing.encoder(packing.TOKENIZER).encode(docs[doc_id][0]) + (1).to_bytes(4, "little")
+        ids = encoder.encode(docs[doc_id][0] or "") + (1).to_bytes(4, "little")
         for start in range(0, len(ids) // 4, 2048):
             cut = ids[4 * start : 4 * (start + 2048)]
             pieces[(doc_id, start, len(cut) // 4, zlib.crc32(cut))] += taken // size if size else 1
