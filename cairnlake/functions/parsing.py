@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnlake.functions.text import address_key, is_mailbox
+from cairnlake.functions.text import address_key, address_line
 
 _PARTS = ("line1", "line2", "city", "state", "zip")
 
@@ -29,9 +32,46 @@ def people(c: Column) -> Column:
     return F.filter(F.coalesce(found, F.array().cast(kind)), lambda p: F.coalesce(p["name"], F.lit("")) != "")
 
 
-def address_record(c: Column) -> Column:
-    """struct(text, building, unit, zip, complete, scope) of an address text."""
-    a = address_key(c)
-    complete = a["house_number"].isNotNull() & a["zip"].isNotNull()
-    scope = F.when(is_mailbox(c), "PO_BOX").when(~complete, "INCOMPLETE").when(a["unit"].isNotNull(), "EXACT_UNIT").otherwise("EXACT_BUILDING")
-    return F.struct(a["text"].alias("text"), a["building"].alias("building"), a["unit"].alias("unit"), a["zip"].alias("zip"), complete.alias("complete"), scope.alias("scope"))
+def address_record(c: Column, mailing: Column | None = None) -> Column:
+    """struct(text, building, unit, zip, box, completeness, scope) of an address text; a mailing address is no more exact than that."""
+    a, line = address_key(c), address_line(c)
+    box = line.contains("PO BOX") | line.contains("P O BOX")
+    hidden = reduce(lambda x, y: x | y, [line.contains(w) for w in ("GENERAL DELIVERY", "UNKNOWN", "REDACTED", "PRIVATE")])
+    whole = a["house_number"].isNotNull() & (a["building"] != "")
+    exact = F.when(a["unit"].isNotNull(), "EXACT_UNIT").otherwise("EXACT_BUILDING")
+    exact = exact if mailing is None else F.when(mailing, "MAILING_ONLY").otherwise(exact)
+    scope = F.when(box, "PO_BOX").when(hidden, "GENERALIZED").when(~whole, "INCOMPLETE").otherwise(exact)
+    completeness = F.when(box | hidden, "limited").when(~whole, "incomplete").otherwise("complete")
+    return F.struct(line.alias("text"), a["building"].alias("building"), a["unit"].alias("unit"), a["zip"].alias("zip"), box.alias("box"), completeness.alias("completeness"), scope.alias("scope"))
+
+
+_PERSON = "struct<name:string,title:string>"
+FILING = f"corporation_number string, corporation_name string, status string, file_date string, principal_address string, mailing_address string, registered_agent struct<name:string,address:string>, officers array<{_PERSON}>"
+
+
+def filings(rows: DataFrame) -> DataFrame:
+    """Flat rows of filings (``FILING``): what is missing in each is named, and the first of each corporation number counts.
+
+    Addresses may be objects or text. Officers of one name and title are numbered.
+    """
+    line = lambda c: address_text(F.col(c))
+    flat = rows.select(
+        F.trim(F.coalesce("corporation_number", F.lit(""))).alias("corporation_number"), F.trim(F.coalesce("corporation_name", F.lit(""))).alias("corporation_name"), "status", "file_date",
+        line("principal_address").alias("principal_address"), line("mailing_address").alias("mailing_address"), F.trim(F.coalesce("registered_agent.name", F.lit(""))).alias("agent"),
+        F.filter(F.coalesce("officers", F.array().cast(f"array<{_PERSON}>")), lambda p: F.trim(F.coalesce(p["name"], F.lit(""))) != "").alias("officers"),
+    )
+    missing = F.array_compact(F.array(*[F.when(F.col(c) == "", F.lit(c)) for c in ("corporation_number", "corporation_name", "principal_address")]))
+    flat = flat.withColumn("missing", F.array_join(missing, "|")).withColumn("incomplete", F.size(missing) > 0)
+    rest = [c for c in flat.columns if c != "corporation_number"]
+    order = F.struct(F.coalesce("file_date", F.lit("")), "corporation_name", "principal_address", "agent")
+    return flat.groupBy("corporation_number").agg(F.min_by(F.struct(*rest), order).alias("r")).select("corporation_number", "r.*")
+
+
+def officers(flat: DataFrame) -> DataFrame:
+    """(corporation_number, officer_id, name, title, nth): officers of ``filings``, those that are alike numbered in their order."""
+    one = flat.select("corporation_number", F.posexplode("officers").alias("at", "o")).select("corporation_number", "at", F.trim("o.name").alias("name"), F.trim(F.coalesce("o.title", F.lit(""))).alias("title"))
+    fingerprint = F.substring(F.sha1(F.concat_ws("|", F.upper("name"), F.upper("title")).cast("binary")), 1, 12)
+    one = one.withColumn("fingerprint", fingerprint)
+    nth = F.row_number().over(W.partitionBy("corporation_number", "fingerprint").orderBy("at"))
+    one = one.withColumn("nth", nth.cast("long"))
+    return one.select("corporation_number", F.concat_ws(":", F.lit("officer"), "corporation_number", "fingerprint", F.col("nth").cast("string")).alias("officer_id"), "name", "title", "nth")

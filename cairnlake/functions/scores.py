@@ -23,21 +23,18 @@ def severity(score: Column) -> Column:
 
 
 def poisson_at_least(k: Column, rate: Column) -> Column:
-    """P(X >= k) for a Poisson variable: one less the sum of the terms below k, each from the one before.
-
-    Terms are summed relative to exp(-rate), which stays representable for rates up to 700.
-    """
-    whole = F.round(k).cast("int")
-    start = F.named_struct(F.lit("s"), F.lit(0.0), F.lit("t"), F.exp(-rate))
-    step = lambda acc, v: F.named_struct(F.lit("s"), acc["s"] + acc["t"], F.lit("t"), acc["t"] * rate / (v + 1))
-    below = F.aggregate(F.sequence(F.lit(0), whole - 1), start, step)["s"]
-    tail = F.greatest(F.lit(0.0), F.lit(1.0) - below)
+    """P(X >= k) for a Poisson variable: one less the sum of the terms below k, each from the one before, as logarithms."""
+    whole = F.greatest(F.round(k).cast("int"), F.lit(0))
+    start = F.named_struct(F.lit("s"), F.lit(0.0), F.lit("t"), -rate)
+    step = lambda acc, v: F.named_struct(F.lit("s"), acc["s"] + F.exp(acc["t"]), F.lit("t"), acc["t"] + F.log(rate) - F.log(v + F.lit(1.0)))
+    below = F.aggregate(F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0))), start, step)["s"]
+    tail = F.least(F.greatest(F.lit(1.0) - below, F.lit(0.0)), F.lit(1.0))
     return F.when(rate <= 0, F.when(whole <= 0, F.lit(1.0))).when(whole <= 0, F.lit(1.0)).otherwise(tail)
 
 
 def rarity(probability: Column, percentile: Column, z: Column) -> Column:
     """0 to 100: the largest of what the probability, the percentile and the robust z say."""
-    by_probability = F.when(probability > 0, F.least(F.greatest(-25 * F.log10(probability), F.lit(0.0)), F.lit(100.0)))
+    by_probability = F.when(probability > 0, F.least(F.greatest(-25 * F.log10(F.greatest(probability, F.lit(1e-9))), F.lit(0.0)), F.lit(100.0)))
     by_percentile = F.greatest((percentile - 0.5) * 200, F.lit(0.0))
     by_z = F.least(F.greatest(z / 6 * 100, F.lit(0.0)), F.lit(100.0))
     return F.greatest(F.coalesce(by_probability, F.lit(0.0)), F.coalesce(by_percentile, F.lit(0.0)), F.coalesce(by_z, F.lit(0.0)))
@@ -63,6 +60,7 @@ def banded(score: Column, bands: Sequence[tuple[float, str]], otherwise: str) ->
     return out.otherwise(otherwise)
 
 
+CONFIDENCE_BANDS = ((0.9, "Very High"), (0.75, "High"), (0.55, "Medium"), (0.35, "Low"))
 RISK_BANDS = ((70, "High"), (35, "Medium"), (1, "Low"))
 PRIORITY_BANDS = ((85, "CRITICAL"), (65, "HIGH"), (45, "MEDIUM"), (20, "LOW"))
 MATCH_BANDS = ((0.9, "ACCEPTED_EXACT"), (0.72, "REVIEW_STRONG"), (0.45, "REVIEW_WEAK"))

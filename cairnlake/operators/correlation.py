@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +16,112 @@ PROVIDER_WEIGHTS = {
     "association_bonus": 0.22, "multiple_sources": 0.12, "common_name": -0.16, "po_box": -0.28, "missing": -0.12,
 }
 
+GENERALIZED = ("PRIVATE", "REDACTED", "UNKNOWN", "WITHHELD", "GENERAL DELIVERY")
+
+
+def place(c: Column) -> Column:
+    """struct(line, building, unit, house_number) of an address text, for the scopes below."""
+    key = X.address_key(c)
+    return F.struct(X.address_line(c).alias("line"), key["building"].alias("building"), key["unit"].alias("unit"), key["house_number"].alias("house_number"))
+
 
 def address_scope(left: Column, right: Column, mailing: Column) -> Column:
-    """How two addresses (structs of ``text.address_key``) match."""
+    """How two places match: by their whole lines, then by building and unit."""
+    a, b = left["line"], right["line"]
+    either = lambda words: a.contains(words) | b.contains(words)
+    units = left["unit"].isNotNull() & right["unit"].isNotNull()
+    same = F.when(mailing, "MAILING_ONLY").otherwise("EXACT_BUILDING")
+    return (
+        F.when((a == "") | (b == ""), "INCOMPLETE")
+        .when(either("PO BOX"), "PO_BOX")
+        .when(either("GENERAL DELIVERY"), "GENERALIZED")
+        .when((a == b) & units, "EXACT_UNIT")
+        .when(a == b, same)
+        .when((left["building"] != "") & (left["building"] == right["building"]), F.when(units & (left["unit"] != right["unit"]), "GENERALIZED").otherwise(same))
+        .otherwise("INCOMPLETE")
+    )
+
+
+def registry_scope(left: Column, right: Column) -> Column:
+    """How a registry's place and a parcel's match. Buildings need a number and a street to be compared."""
+    hidden = lambda p: reduce(lambda x, y: x | y, [p["line"].contains(w) for w in GENERALIZED])
+    whole = lambda p: p["house_number"].isNotNull() & p["building"].contains(" ")
+    units = left["unit"].isNotNull() & right["unit"].isNotNull()
+    building = left["building"] == right["building"]
     return (
-        F.when(X.is_mailbox(left["text"]) | X.is_mailbox(right["text"]), "PO_BOX")
-        .when(left["building"].isNull() | (left["building"] == "") | (right["building"] == ""), "INCOMPLETE")
-        .when(left["building"] != right["building"], "GENERALIZED")
-        .when(mailing, "MAILING_ONLY")
-        .when(left["unit"].eqNullSafe(right["unit"]) & left["unit"].isNotNull(), "EXACT_UNIT")
-        .otherwise("EXACT_BUILDING")
+        F.when((left["line"] == "") | (right["line"] == ""), "INCOMPLETE")
+        .when(is_box(left) | is_box(right), "PO_BOX")
+        .when(hidden(left) | hidden(right), "GENERALIZED")
+        .when(~whole(left) | ~whole(right), "INCOMPLETE")
+        .when((left["line"] == right["line"]) & units, "EXACT_UNIT")
+        .when(left["line"] == right["line"], "EXACT_BUILDING")
+        .when(building & units & (left["unit"] != right["unit"]), "GENERALIZED")
+        .when(building, "EXACT_BUILDING")
+        .otherwise("MAILING_ONLY")
     )
 
 
+def is_box(p: Column) -> Column:
+    return p["line"].contains("PO BOX") | p["line"].contains("P O BOX")
+
+
+def registry_decision(method: Column, scope: Column, frequency: Column, box: Column, redacted: Column, incomplete: Column) -> Column:
+    """struct(decision, confidence, downgraded, corroborating, conflicting) of a registry and parcel match, by the first rule that holds."""
+    person, business = method == "parcel_owner_matches_person_with_secondary", method == "parcel_owner_matches_business_name"
+    common = frequency >= 2
+    row = lambda decision, confidence, downgraded, corroborating, conflicting: F.struct(
+        (F.lit(decision) if isinstance(decision, str) else decision).alias("decision"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"),
+        downgraded.alias("downgraded"), F.lit(corroborating).alias("corroborating"), F.lit(conflicting).alias("conflicting"),
+    )
+    no, either = F.lit(False), lambda a, b: F.when(common, F.lit(a)).otherwise(F.lit(b))
+    return (
+        F.when(redacted, row("INSUFFICIENT_DATA", 0.2, no, 0, 0))
+        .when(incomplete, row("INSUFFICIENT_DATA", 0.25, no, 0, 0))
+        .when(box & (method == "property_situs_matches_business_address"), row("REJECTED", 0.05, no, 0, 1))
+        .when(person & (scope == "EXACT_UNIT"), row(either("REVIEW_STRONG", "ACCEPTED_EXACT"), either(0.82, 0.97), common, 2, 0))
+        .when(person & (scope == "EXACT_BUILDING"), row("REVIEW_STRONG", either(0.72, 0.8), common, 2, 0))
+        .when(business & scope.isin("EXACT_UNIT", "EXACT_BUILDING"), row("REVIEW_STRONG", 0.78, no, 2, 0))
+        .when(person & scope.isin("MAILING_ONLY", "GENERALIZED"), row("REVIEW_WEAK", either(0.42, 0.5), common, 1, 0))
+        .when(person, row("REVIEW_WEAK", either(0.3, 0.36), common, 1, 0))
+        .otherwise(row("REJECTED", 0.1, no, 0, 1))
+    )
+
+
+REGISTRY_METHODS = ("property_situs_matches_business_address", "property_mailing_matches_business_address", "parcel_owner_matches_person_with_secondary", "parcel_owner_matches_business_name")
+
+
+def registry_matches(matches: DataFrame, registry: DataFrame, parcels: DataFrame, source: str) -> DataFrame:
+    """Cross-source ``matches`` of one source with parcels, decided by names and addresses.
+
+    ``registry`` (entity_id, name, address, redacted, incomplete) and ``parcels`` (entity_id, address) describe both
+    ends. A name is common if the registry has it twice.
+    """
+    ours = matches.where(F.col("method").isin(*REGISTRY_METHODS) & ((F.col("left_source") == source) | (F.col("right_source") == source)))
+    on_left = F.col("left_source") == source
+    ours = ours.dropDuplicates(["match_id"]).select("match_id", "method", F.when(on_left, F.col("left_id")).otherwise(F.col("right_id")).alias("entity_id"), F.when(on_left, F.col("right_id")).otherwise(F.col("left_id")).alias("parcel_id"))
+    frequency = registry.where(F.trim("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("frequency"))
+    rows = ours.join(registry, "entity_id", "left").join(frequency, "name", "left").join(parcels.select(F.col("entity_id").alias("parcel_id"), F.col("address").alias("parcel_address")), "parcel_id", "left")
+    rows = rows.na.fill(0, ["frequency"]).na.fill(False, ["redacted", "incomplete"]).withColumn("l", place(F.col("address"))).withColumn("r", place(F.col("parcel_address")))
+    rows = rows.withColumn("scope", registry_scope(F.col("l"), F.col("r")))
+    rows = rows.withColumn("d", registry_decision(F.col("method"), F.col("scope"), F.col("frequency"), is_box(F.col("l")) | is_box(F.col("r")), F.col("redacted"), F.col("incomplete")))
+    return rows.select("match_id", "method", "entity_id", "parcel_id", "scope", "frequency", "d.*")
+
+
+def registry_quality(rows: DataFrame) -> DataFrame:
+    """One row of counts over decided matches."""
+    n = lambda condition, name: F.count_if(condition).alias(name)
+    d, person = F.col("decision"), F.col("method") == "parcel_owner_matches_person_with_secondary"
+    return rows.agg(
+        F.count(F.lit(1)).alias("candidates"), n(F.col("scope").startswith("EXACT_"), "exact"), n(d == "ACCEPTED_EXACT", "accepted"), n(d == "REVIEW_STRONG", "strong"), n(d == "REVIEW_WEAK", "weak"), n(d == "REJECTED", "rejected"),
+        n(d == "INSUFFICIENT_DATA", "insufficient"), n((d == "REVIEW_WEAK") & person & F.col("scope").isin("INCOMPLETE", "GENERALIZED", "MAILING_ONLY"), "name_only"), n(F.col("downgraded"), "downgraded"), n(person & (F.col("scope") == "GENERALIZED"), "unit_conflicts"),
+    )
+
+
+def with_cross_source(matches: DataFrame, decided: DataFrame) -> DataFrame:
+    """Cross-source matches with what the registry ladder decided on them."""
+    return matches.join(decided.select("match_id", F.col("decision").alias("registry_decision"), F.col("confidence").alias("registry_confidence"), F.col("scope").alias("registry_scope")), "match_id", "left")
+
+
 def provider_decision(score: Column, scope: Column, active: Column) -> Column:
     """The band of a score; a mailbox is rejected and a provider that is not active is not accepted."""
     band = scores.banded(score, scores.MATCH_BANDS, "REJECTED")
@@ -34,26 +129,56 @@ def provider_decision(score: Column, scope: Column, active: Column) -> Column:
 
 
 def provider_matches(providers: DataFrame, registry: DataFrame) -> DataFrame:
-    """(npi, entity_id, scope, score, decision) of providers (npi, name, address, active) and registry rows (entity_id, name, address).
+    """(npi, entity_id, scope, score, decision) of providers (npi, name, address, active[, organization, mailing]) and registry rows (entity_id, name, address).
 
-    Candidates share the normalised name or the building; both are equi-joins.
+    Candidates share the normalised name or the address line or building; all are equi-joins. Persons' names are
+    compared as persons'. A name is common if two providers have it.
     """
-    side = lambda df, key: df.select(F.col(key), X.business_name(F.col("name")).alias("name"), X.address_key(F.col("address")).alias("a"), *([F.col("active")] if "active" in df.columns else []))
-    left, right = side(providers, "npi"), side(registry, "entity_id")
-    keyed = lambda df: df.withColumn("k", F.explode(F.array_distinct(F.array_compact(F.array(F.concat(F.lit("n:"), F.nullif("name", F.lit(""))), F.concat(F.lit("a:"), F.nullif("a.building", F.lit(""))))))))
-    ids = keyed(left).select("npi", "k").join(keyed(right).select("entity_id", "k"), "k").select("npi", "entity_id").distinct()
-    pairs = ids.join(left.withColumnsRenamed({"name": "l_name", "a": "l"}), "npi").join(right.withColumnsRenamed({"name": "r_name", "a": "r"}), "entity_id")
-    common = registry.groupBy(X.business_name(F.col("name")).alias("r_name")).agg((F.count(F.lit(1)) > 5).alias("common"))
-    pairs = pairs.join(common, "r_name", "left").withColumn("scope", address_scope(F.col("l"), F.col("r"), F.lit(False)))
-    same_name, same_place = F.col("l_name") == F.col("r_name"), F.col("scope").isin("EXACT_UNIT", "EXACT_BUILDING")
+    has = lambda c, otherwise: F.coalesce(c, F.lit(otherwise)) if c in providers.columns else F.lit(otherwise)
+    left = providers.select("npi", F.col("name").alias("l_said"), F.col("address").alias("l_address"), F.coalesce("active", F.lit(True)).alias("active"), has("organization", True).alias("firm"), has("mailing", False).alias("mailing"))
+    as_firm, as_person = lambda c: F.nullif(X.business_name(F.col(c)), F.lit("")), lambda c: F.nullif(X.person_name(F.col(c))["full"], F.lit(""))
+    left = left.withColumns({"l": place(F.col("l_address")), "l_name": F.when(F.col("firm"), as_firm("l_said")).otherwise(as_person("l_said"))})
+    right = registry.select("entity_id", F.col("name").alias("r_said"), place(F.col("address")).alias("r")).withColumns({"r_firm": as_firm("r_said"), "r_person": as_person("r_said")})
+    places = lambda p: [F.concat(F.lit("l:"), F.nullif(F.col(f"{p}.line"), F.lit(""))), F.concat(F.lit("b:"), F.nullif(F.col(f"{p}.building"), F.lit("")))]
+    l_keys = F.array(*places("l"), F.concat(F.when(F.col("firm"), "f:").otherwise("p:"), F.col("l_name")))
+    r_keys = F.array(*places("r"), F.concat(F.lit("f:"), F.col("r_firm")), F.concat(F.lit("p:"), F.col("r_person")))
+    keyed = lambda df, key, keys: df.select(key, F.explode(F.array_distinct(F.array_compact(keys))).alias("k"))
+    ids = keyed(left, "npi", l_keys).join(keyed(right, "entity_id", r_keys), "k").select("npi", "entity_id").distinct()
+    common = providers.groupBy(F.col("name").alias("l_said")).agg((F.count(F.lit(1)) > 1).alias("common"))
+    pairs = ids.join(left, "npi").join(right, "entity_id").join(common, "l_said", "left")
+    pairs = pairs.withColumn("scope", address_scope(F.col("l"), F.col("r"), F.col("mailing")))
+    pairs = pairs.withColumn("same_name", F.coalesce(F.col("l_name") == F.when(F.col("firm"), F.col("r_firm")).otherwise(F.col("r_person")), F.lit(False)))
+    exact = F.col("scope").isin("EXACT_UNIT", "EXACT_BUILDING") & ~F.col("mailing")
+    missing = (F.trim(F.coalesce("l_said", F.lit(""))) == "") | (F.trim(F.coalesce("l_address", F.lit(""))) == "")
     flags = {
-        "exact_business_name": same_name, "exact_person_name": F.lit(False), "exact_address": same_place, "exact_unit": F.col("scope") == "EXACT_UNIT",
-        "building_only": F.col("scope") == "EXACT_BUILDING", "mailing_only": F.col("scope") == "MAILING_ONLY", "association_bonus": same_place & ~same_name,
-        "multiple_sources": same_name & same_place, "common_name": same_name & F.col("common"), "po_box": F.col("scope") == "PO_BOX", "missing": F.col("scope") == "INCOMPLETE",
+        "exact_business_name": F.col("same_name") & F.col("firm"), "exact_person_name": F.col("same_name") & ~F.col("firm"), "exact_address": exact, "exact_unit": F.col("scope") == "EXACT_UNIT",
+        "building_only": F.col("scope").isin("EXACT_BUILDING", "MAILING_ONLY"), "mailing_only": F.col("scope") == "MAILING_ONLY", "association_bonus": exact & ~F.col("same_name"),
+        "multiple_sources": F.lit(True), "common_name": F.coalesce("common", F.lit(False)), "po_box": F.col("scope") == "PO_BOX", "missing": missing,
     }
-    score = F.round(scores.weighted_flags(flags, PROVIDER_WEIGHTS), 4)
-    out = pairs.withColumn("score", score).withColumn("decision", provider_decision(F.col("score"), F.col("scope"), F.coalesce("active", F.lit(True))))
-    return out.where(~((F.col("decision") == "REJECTED") & (F.col("scope") == "INCOMPLETE") & ~same_name)).select("npi", "entity_id", "scope", "score", "decision")
+    score = scores.weighted_flags(flags, PROVIDER_WEIGHTS)
+    decision = F.when(missing & (F.col("scope") != "PO_BOX"), "INSUFFICIENT_DATA").otherwise(provider_decision(F.col("exact_score"), F.col("scope"), F.col("active")))
+    out = pairs.withColumn("exact_score", score).withColumn("decision", decision)
+    return out.where(~((F.col("decision") == "REJECTED") & (F.col("scope") == "INCOMPLETE") & ~F.col("same_name"))).select("npi", "entity_id", "scope", F.round("exact_score", 4).alias("score"), "decision")
+
+
+def parcel_matches(providers: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(npi, property_id, via) of providers (npi, name, address): two hops, from an address or an owner that is the provider's to the properties at its edges.
+
+    ``entities`` (entity_id, entity_type, display_name) and ``edges`` (src, dst) are the parcels'.
+    """
+    place, person = X.address_line(F.col("display_name")), X.person_name(F.col("display_name"))["full"]
+    known = entities.where(F.col("entity_type").isin("address", "owner")).select("entity_id", F.col("entity_type").alias("via"), F.nullif(F.when(F.col("entity_type") == "address", place).otherwise(person), F.lit("")).alias("value"))
+    asked = F.explode(F.array(F.struct(F.lit("address").alias("via"), X.address_line(F.col("address")).alias("value")), F.struct(F.lit("owner").alias("via"), X.person_name(F.col("name"))["full"].alias("value")))).alias("a")
+    ends = providers.select("npi", asked).select("npi", "a.*").join(known, ["via", "value"])
+    incident = edges.select(F.col("src").alias("entity_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("entity_id"), F.col("src").alias("other")))
+    properties = entities.where("entity_type = 'property'").select(F.col("entity_id").alias("other"))
+    return ends.join(incident, "entity_id").join(properties, "other", "left_semi").select("npi", F.col("other").alias("property_id"), "via").distinct()
+
+
+def taxonomy_text(taxonomies: DataFrame, most: int = 3) -> DataFrame:
+    """(npi, taxonomy): the first descriptions of each provider of (npi, ordinal, description), joined."""
+    first = taxonomies.groupBy("npi").agg(F.array_sort(F.collect_set(F.struct("ordinal", "description"))).alias("all"))
+    return first.select("npi", F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["description"]), "|").alias("taxonomy"))
 
 
 def paths(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -64,6 +189,11 @@ def paths(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 
 def agent_context(edges: DataFrame) -> DataFrame:
-    """Distinct businesses and addresses per registered agent of edges (src, dst, kind)."""
-    of = lambda pattern: F.countDistinct(F.when(F.col("kind").rlike(pattern), F.col("dst")))
-    return edges.where(F.col("src").startswith("registered_agent:")).groupBy("src").agg(of("^REGISTERED_AGENT_FOR$").alias("businesses"), of("ADDRESS$").alias("addresses"))
+    """Per end of an edge of (src, dst, kind, record): agencies, agents' addresses, other edges, and record prefixes; five agencies make a likely service."""
+    ends = edges.select(F.col("src").alias("entity_id"), "dst", "kind", "record").unionByName(edges.where("src <> dst").select(F.col("dst").alias("entity_id"), "dst", "kind", "record"))
+    agency, place = F.col("kind") == "REGISTERED_AGENT_FOR", F.col("kind").isin("REGISTERED_AGENT_AT_ADDRESS", "REGISTERED_AGENT_ASSOCIATED_WITH_ADDRESS")
+    out = ends.groupBy("entity_id").agg(
+        F.countDistinct(F.when(agency, F.col("dst"))).alias("businesses"), F.countDistinct(F.when(place, F.col("dst"))).alias("addresses"), F.count_if(~agency & ~place).alias("other"),
+        F.countDistinct(F.nullif(F.substring_index("record", ":", 1), F.lit(""))).alias("records"),
+    )
+    return out.withColumn("service", F.col("businesses") >= 5)

@@ -6,10 +6,10 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnlake.sources.scratch import stored
+from cairnlake.operators import stats
+from cairnlake.sources.scratch import Rounds, stored
 
 
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -24,15 +24,15 @@ def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "i
     Smallest labels go along edges and labels jump to their labels' labels until none changes; each round is a table in
     the shared folder, so plans stay short.
     """
-    both = stored(undirected(edges, a, b), "edges")
+    both, rounds = stored(undirected(edges, a, b), "edges"), Rounds(edges.sparkSession, "labels")
     first = vertices.select(F.col(id_col).alias("id")).distinct()
     near = both.groupBy("id").agg(F.min("nbr").alias("near"))
-    labels = stored(first.join(near, "id", "left").select("id", F.least("id", "near").alias("component")), "labels")
+    labels = rounds.store(first.join(near, "id", "left").select("id", F.least("id", "near").alias("component")))
     while True:
         said = both.join(labels.select(F.col("id").alias("nbr"), F.col("component").alias("said")), "nbr").groupBy("id").agg(F.min("said").alias("said"))
         nearer = labels.join(said, "id", "left").select("id", F.least("component", "said").alias("step"), F.col("component").alias("was"))
         heads = labels.select(F.col("id").alias("step"), F.col("component").alias("beyond"))
-        after = stored(nearer.join(heads, "step", "left").select("id", F.least("step", "beyond").alias("component"), "was"), "labels")
+        after = rounds.store(nearer.join(heads, "step", "left").select("id", F.least("step", "beyond").alias("component"), "was"))
         labels = after.select("id", "component")
         if after.where("component <> was").isEmpty():
             return labels
@@ -124,8 +124,9 @@ def communities(edges: DataFrame, components: DataFrame, a: str = "src", b: str
 
 def numbered(components: DataFrame) -> DataFrame:
     """(component, network_id, members): ids go over all components by their smallest member, single ones too."""
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    return sizes.withColumn("network_id", F.concat(F.lit("network:"), F.lpad(F.row_number().over(W.orderBy("component")).cast("string"), 4, "0")))
+    sizes = stats.numbered(components.groupBy("component").agg(F.count(F.lit(1)).alias("members")), ["component"])
+    digits = F.lpad(F.col("nth").cast("string"), F.greatest(F.lit(4), F.length(F.col("nth").cast("string"))), F.lit("0"))
+    return sizes.select("component", "members", F.concat(F.lit("network:"), digits).alias("network_id"))
 
 
 def network_metrics(components: DataFrame, edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

@@ -14,8 +14,14 @@ QUERIES, ORACLE_SQL = R.queries, R.sql
 
 #: Documents are joined to the first document with the same text: a star per text, however many copies it has.
 _SAME_SQL = "same AS (SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY md5(text)) AS dst FROM documents)"
-#: A sparse graph: suppliers and the parts of their largest orders.
-_SPARSE_SQL = "sparse AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)"
+#: Every distinct supplier-part edge, and the components of that graph by keyed recursion: each vertex keeps its smallest label.
+_SUPPLIED_SQL = """supplied AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
+both_ways AS (SELECT src AS id, dst AS nbr FROM supplied UNION SELECT dst, src FROM supplied)"""
+_CC_SQL = f"""{_SUPPLIED_SQL},
+cc(id, component) USING KEY (id) AS (
+  SELECT id, min(least(id, nbr)) FROM both_ways GROUP BY id
+  UNION SELECT b.nbr, min(c.component) FROM cc c JOIN both_ways b ON b.id = c.id JOIN recurring.cc r ON r.id = b.nbr WHERE c.component < r.component GROUP BY b.nbr),
+sizes AS (SELECT component, count(*) AS members FROM cc GROUP BY 1)"""
 
 
 def _same_text(spark, sf_dir):
@@ -24,11 +30,6 @@ def _same_text(spark, sf_dir):
     return keyed.join(firsts, "digest").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst")
 
 
-def _sparse(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1")
-    return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
-
-
 def _supplied(spark, sf_dir):
     """Every distinct supplier-part edge."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
@@ -46,58 +47,39 @@ def connected_components(spark, sf_dir):
 
 def _summary(components):
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    return sizes.agg(F.count(F.lit(1)).alias("networks"), F.max("members").alias("largest"), F.sum("members").alias("members"), F.max_by("component", "members").alias("largest_component"))
+    largest = F.min_by("component", F.struct(-F.col("members"), F.col("component")))
+    return sizes.agg(F.count(F.lit(1)).alias("networks"), F.max("members").alias("largest"), F.sum("members").alias("members"), largest.alias("largest_component"))
 
 
-_CC_SQL = f"""{_SPARSE_SQL},
-both_ways AS (SELECT src AS id, dst AS nbr FROM sparse UNION SELECT dst, src FROM sparse),
-reach AS (SELECT id, id AS root FROM both_ways UNION SELECT b.id, r.root FROM reach r JOIN both_ways b ON b.nbr = r.id),
-cc AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"""
+def _whole(spark, sf_dir):
+    edges = stored(_supplied(spark, sf_dir), "edges")
+    return edges, stored(graph.connected_components(_ends(edges), edges), "components")
 
 
 @R.query(f"""WITH RECURSIVE {_CC_SQL},
-sizes AS (SELECT component, count(*) AS members FROM cc GROUP BY 1), rel AS (SELECT c.component, count(*) AS relationships FROM sparse s JOIN cc c ON s.src = c.id GROUP BY 1)
+rel AS (SELECT c.component, count(*) AS relationships FROM supplied s JOIN cc c ON s.src = c.id GROUP BY 1)
 SELECT component, network_id, members, relationships, round(2 * relationships / (members * greatest(members - 1, 1)), 4)::DOUBLE AS density,
   CASE WHEN members >= 25 THEN 'LARGE' WHEN members >= 10 THEN 'MEDIUM' ELSE 'SMALL' END AS size_label
 FROM (SELECT *, 'network:' || lpad(row_number() OVER (ORDER BY component)::VARCHAR, 4, '0') AS network_id FROM sizes) JOIN rel USING (component)""")
 def network_clusters(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    return graph.network_metrics(graph.connected_components(_ends(edges), edges), edges)
-
-
-@R.query(f"""WITH RECURSIVE {_CC_SQL}, sizes AS (SELECT component, count(*) AS members FROM cc GROUP BY 1)
-SELECT count(*) AS networks, max(members) AS largest, sum(members)::BIGINT AS members, arg_max(component, members) AS largest_component FROM sizes""")
-def network_summary(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    return _summary(graph.connected_components(_ends(edges), edges))
-
-
-@R.query(f"""WITH {_SPARSE_SQL}, ends AS (SELECT src AS id, dst AS nbr FROM sparse UNION SELECT dst, src FROM sparse)
-SELECT id, count(*) AS degree, round(count(*) / greatest((SELECT count(DISTINCT id) FROM ends) - 1, 1), 4)::DOUBLE AS centrality FROM ends GROUP BY id""")
-def degree_centrality(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
-    return graph.degrees(_ends(edges), edges)
-
-
-# Over the whole graph there is no SQL: the recursive closure lists every pair of a component's members.
-def _whole(spark, sf_dir):
-    edges = stored(_supplied(spark, sf_dir), "edges")
-    return edges, stored(graph.connected_components(_ends(edges), edges), "components")
-
-
-@R.query()
-def network_clusters_whole(spark, sf_dir):
     edges, components = _whole(spark, sf_dir)
     return graph.network_metrics(components, edges)
 
 
-@R.query()
-def network_summary_whole(spark, sf_dir):
+@R.query(f"WITH RECURSIVE {_CC_SQL} SELECT count(*) AS networks, max(members) AS largest, sum(members)::BIGINT AS members, arg_min(component, (-members, component)) AS largest_component FROM sizes")
+def network_summary(spark, sf_dir):
     return _summary(_whole(spark, sf_dir)[1])
 
 
-@R.query()
-def degree_centrality_whole(spark, sf_dir):
+@R.query("WITH same AS (SELECT min(doc_id) AS component, count(*) AS members FROM documents GROUP BY md5(text)) SELECT count(*) AS networks, max(members) AS largest, sum(members)::BIGINT AS members, arg_min(component, (-members, component)) AS largest_component FROM same")
+def copies_summary(spark, sf_dir):
+    """Of many components, several may be the largest: the one with the smallest id counts."""
+    return _summary(connected_components(spark, sf_dir))
+
+
+@R.query(f"""WITH {_SUPPLIED_SQL}
+SELECT id, count(*) AS degree, round(count(*) / greatest((SELECT count(DISTINCT id) FROM both_ways) - 1, 1), 4)::DOUBLE AS centrality FROM both_ways GROUP BY id""")
+def degree_centrality(spark, sf_dir):
     edges = stored(_supplied(spark, sf_dir), "edges")
     return graph.degrees(_ends(edges), edges)
 
@@ -114,7 +96,7 @@ def communities(spark, sf_dir):
 
 @R.query(f"""WITH {_SAME_SQL}
 SELECT dst AS cluster, 'document' AS entity_type, min(d.lang) AS display_name, count(*) AS aliases, count(DISTINCT d.source) AS sources, string_agg(DISTINCT d.source, '|' ORDER BY d.source) AS source_names,
-  'canonical:document:' || substr(sha1('document|' || min(d.lang)), 1, 16) AS canonical_id FROM same JOIN documents d ON d.doc_id = src GROUP BY dst""")
+  'canonical:document:' || substr(sha1('document|' || arg_min(d.lang, (d.lang, d.lang, upper(d.lang), d.source, d.doc_id))), 1, 16) AS canonical_id FROM same JOIN documents d ON d.doc_id = src GROUP BY dst""")
 def canonical_entities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     clusters = connected_components(spark, sf_dir).withColumnsRenamed({"id": "entity_id", "component": "cluster"})

