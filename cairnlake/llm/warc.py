@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, scratch_path, table
+from .common import map_rows, scratch_path, stored, table
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
@@ -215,6 +215,7 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
         "record_type",
         id_of("refers_to").alias("refers_to"),
     )
+    records = stored(records, "warc-records")  # the archives are read once, for responses and revisits
     responses = records.where("record_type = 'response'")
     lengths = responses.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("same")).agg(F.max("payload_bytes").alias("full"))
     revisits = records.where("record_type = 'revisit'").drop("payload_bytes")
