@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -31,43 +32,64 @@ WIDTH = 64
 DIGEST_SRC = re.compile(r"digest:sha256-([0-9a-f]{64})$")
 
 ELEMENT = "struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>"
-SKIPPED = frozenset({"script", "style", "template", "noscript", "head"})
+#: Elements whose content isn't shown. ``head`` needs no rule: it holds nothing else, closed or not.
+HIDDEN = frozenset({"script", "style", "template", "noscript", "title"})
 MEDIA = frozenset({"img", "video", "audio", "source", "embed"})
+#: Elements whose end tag also ends what was left open inside them.
+CONTAINERS = HIDDEN | {"html", "body", "div", "section", "article", "main", "nav", "aside", "header", "footer", "ul", "ol", "table", "blockquote", "figure", "figcaption"}
 BLOCKS = frozenset(
-    {"p", "div", "section", "article", "main", "nav", "aside", "header", "footer", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "br", "hr", "body"}
+    {"p", "div", "section", "article", "main", "nav", "aside", "header", "footer", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "figcaption", "br", "hr", "body"}
 )
 
 
 class SequenceParser(HTMLParser):
-    """Collects elements in document order. A caption belongs to every medium of its figure, before or after it."""
+    """Collects elements in document order. A caption belongs to every medium of its figure, before or after it.
+
+    Any text parses: an end tag closes whatever was left open inside its element, one without an open element is
+    ignored, and the end of the text closes the rest, so captions and figures end where what holds them ends.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.hidden = 0
         self.figures: list[dict] = []
-        self.skipped: list[str] = []
+        #: Open captions, the innermost last: what is said goes to it.
+        self.captions: list[tuple[dict, list[str]] | None] = []
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` begins a comment that ends at the next ``>``, as browsers read it; the base class refuses some."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def said(self) -> list[str]:
+        return next((c[1] for c in reversed(self.captions) if c), self.text)
 
     def flush(self) -> None:
+        """A block begins or ends: words before and after it are apart."""
+        if any(self.captions):
+            self.said().append(" ")
+            return
         said = " ".join("".join(self.text).split())
         self.text = []
         if said:
             self.elements.append({"kind": "text", "text": said, "src": None, "digest": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SKIPPED:
-            self.skipped.append(tag)
-        if self.skipped:
-            return
-        if tag in BLOCKS or tag in MEDIA:
+        if not self.hidden and (tag in BLOCKS or tag in MEDIA):
             self.flush()
-        if tag == "figure":
+        if tag in CONTAINERS:
+            self.open.append(tag)
+            self.count[tag] += 1
+        if tag in HIDDEN:
+            self.hidden += 1
+        elif tag == "figure":
             self.figures.append({"media": [], "caption": None})
-        elif tag == "figcaption" and self.figures:
-            self.flush()
-            self.caption = []
-        elif tag in MEDIA:
+        elif tag == "figcaption":
+            self.captions.append((self.figures[-1], []) if self.figures and not self.hidden else None)
+        elif tag in MEDIA and not self.hidden:
             named = dict(attrs)
             src = named.get("src")
             if src:
@@ -77,39 +99,51 @@ class SequenceParser(HTMLParser):
                     self.figures[-1]["media"].append(self.elements[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in SKIPPED:
-            self.handle_endtag(tag)
+        if tag not in HIDDEN:  # else it holds nothing
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag == self.skipped[-1]:
-                self.skipped.pop()
-            return
-        if tag == "figcaption" and self.caption is not None:
-            self.figures[-1]["caption"] = " ".join("".join(self.caption).split())
-            self.caption = None
-        elif tag == "figure" and self.figures:
+        if tag in CONTAINERS:
+            while self.count[tag]:
+                if self.end_innermost() == tag:
+                    break
+        if not self.hidden and tag in BLOCKS:
+            self.flush()
+
+    def end_innermost(self) -> str:
+        tag = self.open.pop()
+        self.count[tag] -= 1
+        if tag in HIDDEN:
+            self.hidden -= 1
+            return tag
+        if not self.hidden and tag in BLOCKS:
             self.flush()
+        if tag == "figcaption":
+            caption = self.captions.pop()
+            if caption and caption[0]["caption"] is None:
+                caption[0]["caption"] = " ".join("".join(caption[1]).split())
+        elif tag == "figure":
             figure = self.figures.pop()
             for medium in figure["media"]:
                 medium["caption"] = figure["caption"] if figure["caption"] is not None else medium["caption"]
-        elif tag in BLOCKS:
-            self.flush()
+        return tag
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            (self.text if self.caption is None else self.caption).append(data)
+        if not self.hidden:
+            self.said().append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.open:
+            self.end_innermost()
+        self.flush()
+        return [{"position": i, **e} for i, e in enumerate(self.elements)]
 
 
 def sequence_of(html: str) -> list[dict]:
     parser = SequenceParser()
     parser.feed(html)
-    parser.close()
-    while parser.figures:
-        parser.handle_endtag("figure")
-    parser.flush()
-    return [{"position": i, **e} for i, e in enumerate(parser.elements)]
+    return parser.finish()
 
 
 def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
