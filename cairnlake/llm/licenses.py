@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
 Stretches of a text, across lines, that may hold a license template are aligned with it word by word, and those within
-the limit of differing words are compressed with the template as a raw zstandard dictionary. Where stretches of several
-templates overlap, the template that saves most, compared with no dictionary, wins, and what it leaves is searched again.
+the limit of differing words are compressed with the template as a raw zstandard dictionary; of overlapping ones of one
+template that with the fewest differences counts. Where stretches of several templates overlap, the template that saves
+most, compared with no dictionary, wins, and what it leaves is searched again.
 The words that differ are counted and reported.
 
 Which stretches may hold a template follows from the limit alone: one of its longest words, of which one more is looked
@@ -27,17 +28,36 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-#: Usual notices of public licenses.
+#: Usual notices of public licenses, from one line to whole texts.
 TEMPLATES = {
     "All-Rights-Reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-Notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+    "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-Notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+    "notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+    "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+    "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+    "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
+    "MIT-Notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to "
+    "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+    "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+    "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+    "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without permission.",
 }
@@ -172,6 +192,19 @@ class Scanner:
         tail = changes[-1][2] if changes and changes[-1][1] == len(want) else last
         return -saved, n, name, start + head, start + tail, start + first, start + last, gain, said, start, stop
 
+    @staticmethod
+    def apart(hits: list[tuple], n_words: int) -> list[tuple]:
+        """Of one template's hits that overlap, those with the fewest differences: several stretches hold one notice."""
+        taken: dict[str, bytearray] = {}
+        out = []
+        for hit in sorted(hits, key=lambda h: (h[1], h)):
+            name, first, last = hit[2], *hit[5:7]
+            own = taken.setdefault(name, bytearray(n_words))
+            if not any(own[first:last]):
+                own[first:last] = b"\1" * (last - first)
+                out.append(hit)
+        return out
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, int, str]]:
         """(start, end, template, gain, differing words, differences), in order; no two overlap."""
         lowered = (text or "").lower()
@@ -179,7 +212,7 @@ class Scanner:
             return []
         placed = words_in(text)
         words = [w for w, _, _ in placed]
-        hits = [hit for name, start, stop in self.stretches(words) if (hit := self.confirm(words, name, start, stop))]
+        hits = self.apart([hit for name, start, stop in self.stretches(words) if (hit := self.confirm(words, name, start, stop))], len(words))
         heapq.heapify(hits)
         taken, found = bytearray(len(words)), []
         while hits:

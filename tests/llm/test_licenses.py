@@ -1,4 +1,79 @@
-from cairnlake.llm.licenses import TEMPLATES, Scanner, scan_licenses
+import random
+
+import pytest
+import zstandard
+
+from cairnlake.llm.licenses import LEAST_GAIN, MOST_DIFFERENT, TEMPLATES, Scanner, scan_licenses, words_in
+
+
+#: Those that brute force can go through.
+SHORT = {name: text for name, text in TEMPLATES.items() if len(text.split()) < 30}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+def size(words, template=None):
+    data = template and zstandard.ZstdCompressionDict(" ".join(template).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=3, dict_data=data or None).compress(" ".join(words).encode()))
+
+
+def brute(text):
+    """Every window that some template confirms: (start, end, template, differing words, saved), with no prefilter."""
+    words, out = words_in(text), []
+    said = [w for w, _, _ in words]
+    for name, wording in SHORT.items():
+        want = [w for w, _, _ in words_in(wording)]
+        limit = int(MOST_DIFFERENT * len(want))
+        for start in range(len(said)):
+            for stop in range(start + max(1, len(want) - limit), min(len(said), start + len(want) + limit) + 1):
+                have = said[start:stop]
+                n = distance(want, have)
+                if n <= limit:
+                    plain = size(have)
+                    saved = plain - size(have, want)
+                    if saved >= LEAST_GAIN * min(plain, len(" ".join(want))):
+                        out.append((words[start][1], words[stop - 1][2], name, n, saved))
+    return out
+
+
+def notices(seed):
+    """Filler with notices between, some with words changed, left out or put in, wrapped and in other case."""
+    rng = random.Random(seed)
+    filler = "the of river license version permission under rights stone general public work is in and software this was".split()
+    parts = []
+    for _ in range(rng.randint(1, 3)):
+        parts += rng.choices(filler, k=rng.randint(0, 8))
+        words = rng.choice(list(SHORT.values())).split()
+        for _ in range(rng.randint(0, max(1, len(words) // 5))):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["other"], [words[at], "more"]])
+        parts += words
+    parts += rng.choices(filler, k=4)
+    return "".join(w + rng.choice([" ", " ", " ", "\n", "\n * "]) for w in parts)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_findings_are_those_of_all_windows_and_templates(seed):
+    text = notices(seed)
+    every, got = brute(text), Scanner(SHORT).scan(text)
+    meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    assert all(not meets(a, b) for a, b in zip(got, got[1:], strict=False))
+    for start, end, name, _, n, _ in got:  # each finding is a window that confirms, and none there has fewer differences
+        alike = [w[3] for w in every if w[2] == name and meets(w, (start, end)) and not any(meets(w, o) for o in got if o[:3] != (start, end, name))]
+        assert any(w[:3] == (start, end, name) and w[3] == n for w in every)
+        assert n <= min(alike, default=n)
+    for window in every:  # nothing that confirms lies apart from all findings
+        assert any(meets(window, g) for g in got), window
+    if every:  # what saves most of all is found, or what beats it where they overlap
+        best = max(every, key=lambda w: w[4])
+        assert any(meets(best, g) and (g[2] == best[2] or g[3] > 0) for g in got)
 
 
 def test_exact_altered_and_unrelated_wordings():
@@ -30,12 +105,13 @@ def test_short_and_reworded_notices_pass_the_prefilter():
     assert scan("some words\nAll rights reserved.\nmore words") == [("All-Rights-Reserved", 0)]
     assert scan("All rights reserved. No part of this work may be copied without consent") == [("Proprietary", 2)]
     assert scan(TEMPLATES["Proprietary"]) == [("Proprietary", 0)]
-    for name, words in Scanner(TEMPLATES).wordings.items():  # whichever words differ, as many as may
-        limit = Scanner(TEMPLATES).limits[name]
+    scanner = Scanner(TEMPLATES)
+    for name, words in scanner.wordings.items():  # whichever words differ, as many as may
+        limit = scanner.limits[name]
         for at in range(len(words) - limit + 1) if limit else ():
             text = " ".join([*words[:at], *["zzz"] * limit, *words[at + limit :]]).lower()
-            assert any(w in text for w in Scanner(TEMPLATES).rare), text
-            assert name in {found for found, _, _ in Scanner(TEMPLATES).stretches(text.split())}, text
+            assert any(w in text for w in scanner.rare), text
+            assert name in {found for found, _, _ in scanner.stretches(text.split())}, text
 
 
 def test_wrapped_notices_and_several_on_a_line():
@@ -50,3 +126,14 @@ def test_wrapped_notices_and_several_on_a_line():
     every = [name for name in sorted(TEMPLATES)]
     assert scan(" ".join(TEMPLATES[name] for name in every)) == [(name, 0) for name in every]
     assert scan("\n".join([TEMPLATES["MIT"]] * 50)) == [("MIT", 0)] * 50
+
+
+def test_whole_texts_are_found_with_words_changed():
+    scan = Scanner(TEMPLATES).scan
+    for name in ("MIT-Notice", "ISC", "GPL-3.0-Notice", "Apache-2.0-Notice"):
+        words = TEMPLATES[name].split()
+        for k in range(7, len(words), 11):
+            words[k] = "altered"
+        text = "# " + "\n# ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+        (hit,) = scan(f"Some header words\n{text}\nint main() {{ return 0; }}")
+        assert hit[2] == name and hit[4] == len(range(7, len(words), 11))
