@@ -2,25 +2,37 @@
 
 Codes are signs of centred vectors under learned rotations: principal axes, turned until they lie nearest to their own
 signs (iterative quantisation), several times from different starts until there are ``code_bits`` bits. A code is cut
-into 16-bit substrings and each substring has its own index. A query probes, in every index, all values within
-floor(radius / substrings) bits: by the pigeonhole principle every code within the radius has such a substring, so all
-are found. They are checked by their whole codes and reranked by exact distances on the original vectors. Where fewer
-than ``LEAST`` candidates lie within the radius, a query takes the nearest codes of the shard, ``LEAST`` of them and those
-that tie with the last, or every candidate: so each has its ``k`` rows wherever there are ``k`` candidates.
-
-The rotations and the radius are learned from a sample of at most ``SAMPLE`` vectors (those whose ids hash lowest): the
-radius is the one that holds ``SAMPLE_RECALL`` of the sample's own nearest neighbours, which in more data only get nearer.
-Every vector is indexed. Vectors are dealt into shards of ``SHARD`` rows about, queries into blocks of ``QUERY_BLOCK``;
-a task holds one shard's index and one block and hands on the ``k`` nearest of each query only.
+into 16-bit substrings and each substring has its own index. A query probes, in every index, all values within a few
+bits: with radius = s * substrings + a, those within s bits in the first a + 1 indexes and within s - 1 in the others.
+By the pigeonhole principle every code within the radius is among them. They are checked by their whole codes and
+reranked by exact distances on the original vectors. Where the probes would mark more than ``SCAN_FROM`` of all values,
+the codes are compared one after another instead, which gives the same rows for less. Where fewer than ``LEAST``
+candidates of a shard lie within the radius, a query takes its nearest codes, ``LEAST`` of them and those that tie with
+the last, or every candidate.
+
+Vectors are dealt into cells by their nearest centre, so that a query meets only the cells that are near to it: as many
+as hold ``CELL_RECALL`` of the neighbours within the sample. Cells are split into shards of ``SHARD`` rows
+about, however large one is, and the queries of a cell into blocks of ``QUERY_BLOCK``; a task holds one shard's index and
+one block and hands on the ``k`` nearest of each query only. So rows are copied once for each block of queries that asks
+their cell, and queries once for each shard of their cells. A query that finds fewer than ``k`` rows in its cells asks
+all of them.
+
+The rotations, the centres and the radius are learned from a sample of at most ``SAMPLE`` vectors (those whose ids hash
+lowest): the radius is the one that holds ``SAMPLE_RECALL`` of the sample's own nearest neighbours, which in more data
+only get nearer. Every vector is indexed. Vectors without any structure are the worst case: their neighbours are hardly
+nearer than others, so the radius is wide and all cells are near.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components or have another dimension than
 most take no part, as query or as candidate; rows with the query's id are its own and no candidates; rows that repeat
-are candidates each, and repeated queries count once; ties go to the smaller id; an empty table gives no rows.
+are candidates each, and repeated queries count once; ties go to the smaller id; a query has ``k`` rows wherever there
+are ``k`` candidates, else all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 K = 10
 CODE_BITS = 128
@@ -36,8 +48,13 @@ SAMPLE, SAMPLE_QUERIES, SAMPLE_RECALL = 8192, 256, 0.97
 ROUNDS = 30
 #: Candidates of a shard that are reranked for a query at least.
 LEAST = 1000
-SHARD, QUERY_BLOCK = 16_384, 8_192
+SHARD, QUERY_BLOCK = 16_384, 32_768
 SUBSTRING = 16
+#: Share of a substring's values that probes would mark from which codes are compared one after another.
+SCAN_FROM = 0.25
+#: Cells are so many at most, and each has so many sample rows at least.
+MOST_CELLS, SAMPLE_PER_CELL = 512, 16
+CELL_RECALL, CELL_ROUNDS = 0.99, 10
 SEED = 7
 
 
@@ -87,30 +104,79 @@ def learn(sample: np.ndarray, k: int = K, code_bits: int = CODE_BITS) -> Codes:
     return Codes(centre, rotation, int(np.ceil(np.quantile(found, SAMPLE_RECALL))) if len(found) else code_bits)
 
 
+def learn_centres(sample: np.ndarray, cells: int, rounds: int = CELL_ROUNDS) -> np.ndarray:
+    """Centres by k-means; a centre that loses all its rows stays where it was."""
+    rng = np.random.default_rng(SEED)
+    centres = sample[rng.choice(len(sample), cells, replace=False)]
+    for _ in range(rounds):
+        of = near_cells(sample, centres, 1)[:, 0]
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, sample)
+        n = np.bincount(of, minlength=cells)[:, None]
+        centres = np.where(n > 0, sums / np.maximum(n, 1), centres)
+    return centres
+
+
+def near_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest cells of each row, nearest first."""
+    out = np.empty((len(x), n), np.int64)
+    for at in range(0, len(x), 4096):
+        d = (centres**2).sum(axis=1) - 2 * x[at : at + 4096] @ centres.T
+        out[at : at + 4096] = np.argsort(d, axis=1, kind="stable")[:, :n]
+    return out
+
+
+def learn_probes(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many cells hold ``CELL_RECALL`` of the neighbours that rows of the sample have there."""
+    some = sample[:SAMPLE_QUERIES]
+    order = near_cells(some, centres, len(centres))
+    place = np.argsort(order, axis=1, kind="stable")
+    of, ranks = near_cells(sample, centres, 1)[:, 0], []
+    for q, x in enumerate(some):
+        d = ((sample - x) ** 2).sum(axis=1)
+        d[q] = np.inf
+        ranks.append(place[q, of[np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]]])
+    return int(np.ceil(np.quantile(np.concatenate(ranks), CELL_RECALL))) + 1
+
+
 class MultiIndex:
     """One index per substring: rows sorted by its value, and where each value begins."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        columns = range(codes.shape[1])
-        self.rows = [np.argsort(codes[:, m], kind="stable") for m in columns]
-        self.begins = [np.searchsorted(codes[r, m], np.arange((1 << SUBSTRING) + 1)) for m, r in zip(columns, self.rows, strict=True)]
         everything = np.arange(1 << SUBSTRING, dtype=np.uint16)
         self.flips = everything[np.argsort(np.bitwise_count(everything), kind="stable")]
+        #: How many values lie within each number of bits of a value.
         self.within = np.searchsorted(np.bitwise_count(self.flips), np.arange(SUBSTRING + 1), "right")
 
-    def search(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows of all codes within the radius."""
-        flips = self.flips[: self.within[min(SUBSTRING, radius // len(code))]]
+    @cached_property
+    def indexes(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        rows = [np.argsort(c, kind="stable") for c in self.codes.T]
+        return [(r, np.searchsorted(c[r], np.arange((1 << SUBSTRING) + 1))) for c, r in zip(self.codes.T, rows, strict=True)]
+
+    def probes(self, radius: int) -> list[int]:
+        """How many values are probed in each index: those within s bits in the first a + 1, within s - 1 in the others."""
+        parts = self.codes.shape[1]
+        s, a = divmod(min(radius, SUBSTRING * parts), parts)
+        bits = [s if m <= a else s - 1 for m in range(parts)]
+        return [int(self.within[b]) if b >= 0 else 0 for b in bits]
+
+    def marked(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The rows that the probes of a query meet."""
         seen = np.zeros(len(self.codes), bool)
-        for m, value in enumerate(code):
-            probed = flips ^ value
-            start, stop = self.begins[m][probed], self.begins[m][probed.astype(np.int64) + 1]
+        for (rows, begins), value, n_probes in zip(self.indexes, code, self.probes(radius), strict=True):
+            probed = self.flips[:n_probes] ^ value
+            start, stop = begins[probed], begins[probed.astype(np.int64) + 1]
             full = stop > start
             start, n = start[full], (stop - start)[full]
-            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            seen[self.rows[m][at]] = True
-        rows = np.flatnonzero(seen)
+            seen[rows[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(seen)
+
+    def search(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows of all codes within the radius."""
+        if max(self.probes(radius)) > SCAN_FROM * len(self.flips):
+            return np.flatnonzero(hamming(self.codes, code) <= radius)
+        rows = self.marked(code, radius)
         return rows[hamming(self.codes[rows], code) <= radius]
 
     def nearest(self, code: np.ndarray, least: int, allowed: np.ndarray) -> np.ndarray:
@@ -132,8 +198,29 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _with_cells(vectors: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """Adds ``cells``, the nearest ones of each row."""
+    if len(centres) == 1:
+        return vectors.withColumn("cells", F.array(F.lit(0)))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                near = near_cells(_matrix(batch.column("embedding"), centres.shape[1]), centres, n)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * n, pa.int32()), pa.array(near.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), cells], ["vec_id", "embedding", "cells"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(dealt, "vec_id long, embedding array<double>, cells array<int>")
+
+
+def _parts(rows: DataFrame, cells: int, size: int) -> list[int]:
+    """Into how many parts of ``size`` rows each cell's rows go; there are ``MOST_CELLS`` counts at most."""
+    found = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [max(1, -(-found.get(c, 0) // size)) for c in range(cells)]
+
+
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int = K, code_bits: int = CODE_BITS, sample_rows: int = SAMPLE, shard_rows: int = SHARD, query_block: int = QUERY_BLOCK
+    vectors: DataFrame, queries: DataFrame, k: int = K, code_bits: int = CODE_BITS, sample_rows: int = SAMPLE, shard_rows: int = SHARD, query_block: int = QUERY_BLOCK, most_cells: int = MOST_CELLS
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each of ``queries`` among ``vectors``, both (vec_id, embedding)."""
     plain = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")))
@@ -145,25 +232,42 @@ def nearest_neighbours(
     vectors, queries = (df.where(F.size("embedding") == dim) for df in (vectors, queries))
     queries = queries.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()
-    codes = learn(_matrix(sample.column("embedding"), dim), k, code_bits)
-
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-queries.count() // query_block))
-    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    dealt = lambda count, name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(name)
-    left = vectors.select(dealt(shards, "shard"), every(blocks, "block"), "vec_id", "embedding")
-    right = queries.select(every(shards, "shard"), dealt(blocks, "block"), "vec_id", "embedding")
+    sample = _matrix(sample.column("embedding"), dim)
+    codes = learn(sample, k, code_bits)
+    cells = max(1, min(most_cells, n // shard_rows, len(sample) // SAMPLE_PER_CELL))
+    centres = learn_centres(sample, cells) if cells > 1 else sample.mean(axis=0)[None]
+    probes = learn_probes(sample, centres, k) if cells > 1 else 1
+
+    indexed = _with_cells(vectors, centres, 1).select("vec_id", "embedding", F.col("cells")[0].alias("cell"))
+    if cells > 1:
+        indexed = stored(indexed, "cells")
+    shards = _parts(indexed, cells, shard_rows)
+
+    def asked(some: DataFrame, n_cells: int) -> DataFrame:
+        """The nearest of each of some queries in as many of its cells."""
+        to = _with_cells(some, centres, n_cells).select("vec_id", "embedding", F.explode("cells").alias("cell"))
+        blocks = _parts(to, cells, query_block)
+        of = lambda counts: F.element_at(F.array(*[F.lit(c) for c in counts]), F.col("cell") + 1)
+        every = lambda counts, name: F.explode(F.sequence(F.lit(0), of(counts) - 1)).alias(name)
+        dealt = lambda counts, name: F.pmod(F.xxhash64("vec_id"), of(counts)).cast("int").alias(name)
+        left = indexed.select("cell", dealt(shards, "shard"), every(blocks, "block"), "vec_id", "embedding")
+        right = to.select("cell", every(shards, "shard"), dealt(blocks, "block"), "vec_id", "embedding")
+        key = ["cell", "shard", "block"]
+        near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(searched, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+        return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
     least = max(k, LEAST)
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def searched(indexed: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(indexed) or not len(asked):
+    def searched(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(held) or not len(wanted):
             return out.empty_table()
-        x, q = _matrix(indexed.column("embedding"), dim), _matrix(asked.column("embedding"), dim)
-        ids = indexed.column("vec_id").to_pandas().to_numpy()
-        known = indexed.column("vec_id").is_valid().to_numpy()
+        x, q = _matrix(held.column("embedding"), dim), _matrix(wanted.column("embedding"), dim)
+        ids = held.column("vec_id").to_pandas().to_numpy()
+        known = held.column("vec_id").is_valid().to_numpy()
         index, found = MultiIndex(codes.encode(x)), []
-        for query_id, vector, code in zip(asked.column("vec_id").to_pylist(), q, codes.encode(q), strict=True):
+        for query_id, vector, code in zip(wanted.column("vec_id").to_pylist(), q, codes.encode(q), strict=True):
             rows = index.search(code, codes.radius)
             allowed = known & (ids != query_id)
             rows = rows[allowed[rows]]
@@ -174,9 +278,14 @@ def nearest_neighbours(
             found.append((np.full(len(order), query_id), ids[rows[order]], score[order]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)).cast(t.type) for c, t in zip(zip(*found, strict=True), out, strict=True)], schema=out)
 
-    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(searched, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if probes >= cells:
+        return asked(queries, cells)
+    near = stored(asked(queries, probes), "neighbours")
+    full = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+    short = stored(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    return near.join(full, "query_id", "left_semi").unionByName(asked(short, cells))
 
 
 def op9_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -33,10 +33,11 @@ def test_probing_finds_every_code_within_the_radius():
     codes = rng.integers(0, 1 << 16, (3000, 4), dtype=np.uint16)
     codes[:500] = codes[0] ^ (rng.random((500, 64)) < 0.1).astype(np.uint8).reshape(500, 4, 16).dot(1 << np.arange(16)).astype(np.uint16)
     index = nn.MultiIndex(codes)
-    for radius in (0, 3, 9, 20):
+    for radius in (0, 3, 9, 20, 30, 64, 99):
         for q in (0, 1, 2999):
             want = np.flatnonzero(nn.hamming(codes, codes[q]) <= radius)
             assert index.search(codes[q], radius).tolist() == want.tolist()
+            assert set(want) <= set(index.marked(codes[q], radius))
 
 
 def test_recall_and_exact_scores(spark):
@@ -79,3 +80,24 @@ def test_small_tables_and_sparse_queries_get_all_their_rows(spark):
     got, want = found(nn.nearest_neighbours(vectors, vectors.where("vec_id >= 2940"), shard_rows=1600)), brute(rows, rows[2940:], 10)
     assert {len(r) for r in got.values()} == {10} and set(got) == set(want)
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items()) >= 0.95 * 600
+
+
+def test_clustered_vectors_meet_few_others(spark):
+    """Cells and probes leave out most rows; outliers and a cluster that holds a third of all rows get all their rows."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    of = np.where(np.arange(4000) % 3 == 0, 0, np.arange(4000) % 40)
+    x = centres[of] + 0.15 * rng.normal(size=(4000, 32))
+    x[100], x[1300] = 9 * rng.normal(size=32), -7 * rng.normal(size=32)
+    rows = list(enumerate(x))
+    vectors = frame(spark, rows)
+    got = found(nn.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), shard_rows=200, query_block=8))
+    want = brute(rows, [r for r in rows if r[0] % 100 == 0], 10)
+    assert set(got) == set(want) and {len(r) for r in got.values()} == {10}
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items()) >= 0.95 * 400
+    codes = nn.learn(x)
+    index = nn.MultiIndex(codes.encode(x))
+    others = [q for q in range(1, 4000, 100) if of[q]]
+    assert np.mean([len(index.marked(index.codes[q], codes.radius)) for q in others]) < 0.1 * 4000
+    cells = nn.learn_centres(x, 16)
+    assert nn.learn_probes(x, cells, 10) <= 4
