@@ -6,8 +6,9 @@ sentences that make a document toxic are found in passing; ``locate`` reports th
 
 The vocabulary (``VOCABULARY`` words and beginnings whose document counts differ most between the classes) and the
 weights are learned from at most ``MAX_LABELLED`` labelled documents of each class that are not held out, those whose
-ids hash lowest: a table of bounded size, the only thing that is broadcast. Whole texts are read, in learning and in
-scoring.
+ids hash lowest: a table of bounded size, the only thing that is broadcast. What the driver fits the weights on, the
+vocabulary's entries by sentence, is held to ``MAX_BAG_BYTES`` by taking fewer of those documents, again by hash, should
+they be very long. Whole texts are read, in learning and in scoring.
 
 Defined results: null and empty texts count as one empty sentence; a document with several labels has the largest; null
 ids are held out; rows that repeat are rows of the result; without labelled rows of both classes every score is 0;
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, is_held_out, map_rows, one_label, table
+from .common import filter_rows, is_held_out, map_rows, one_label, stored, table
 
 THRESHOLD = 0.5
 VOCABULARY = 4096
 MAX_LABELLED = 25_000
+MAX_BAG_BYTES = 64 << 20
 #: Lengths of the word beginnings that count beside whole words.
 BEGINNINGS = (3, 4, 5, 6)
 #: Documents of the toxic class that a vocabulary entry must occur in.
@@ -155,10 +157,10 @@ def select_vocabulary(texts: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [r["entry"] for r in counts.where(excess >= LEAST_EXCESS).orderBy(excess.desc(), "entry").limit(size).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, max_labelled: int = MAX_LABELLED) -> NoisyOr | None:
+def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, max_labelled: int = MAX_LABELLED, max_bag_bytes: int = MAX_BAG_BYTES) -> NoisyOr | None:
     """The model; None without documents of both classes."""
     sample = F.broadcast(labelled_sample(labels, max_labelled))  # at most twice max_labelled rows of two numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "y")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "y")
     entries = select_vocabulary(texts, vocabulary)
     if not entries:
         return None
@@ -166,13 +168,17 @@ def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, max_
     blank = NoisyOr(dict.fromkeys(entries, 0.0), 0.0)
 
     def bags(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for text, y in rows:
+        for doc_id, text, y in rows:
             n, some = blank.sentences(text)
             found = [sorted(at[f] for f in entries) for _, _, entries in some]
-            yield y, n, np.array([len(f) for f in found], "<i4").tobytes(), np.array([x for f in found for x in f], "<i4").tobytes()
+            yield doc_id, y, n, np.array([len(f) for f in found], "<i4").tobytes(), np.array([x for f in found for x in f], "<i4").tobytes()
 
     # Four bytes an entry and sentence, in a few arrays: lists of lists would take the driver many times that.
-    held = map_rows(texts, bags, "y long, n long, sizes binary, entries binary").toArrow()
+    made = stored(map_rows(texts, bags, "doc_id long, y long, n long, sizes binary, entries binary"), "bags")
+    size = made.agg(F.sum(16 + F.length("sizes") + F.length("entries")).alias("bytes")).first()["bytes"] or 0
+    if size > max_bag_bytes:
+        made = made.where(F.pmod(F.xxhash64(F.lit("bag"), "doc_id"), F.lit(1 << 20)) < int(max_bag_bytes / size * (1 << 20)))
+    held = made.select("y", "n", "sizes", "entries").toArrow()
     y, n = (held.column(c).to_numpy() for c in ("y", "n"))
     sizes, found = (held.column(c).to_pylist() for c in ("sizes", "entries"))
     doc = np.repeat(np.arange(len(y)), [len(x) // 4 for x in sizes])
