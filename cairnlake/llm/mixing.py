@@ -3,9 +3,11 @@
 Each document gets an exponential key ``-ln(u) / w`` from a uniform hash ``u`` of its id and its quality weight ``w``;
 the documents of a source, taken in key order, are a weighted sample without replacement of any size. A source whose
 target is ``t`` words out of ``S`` goes in ``floor(t / S)`` complete times, and the rest of the target is the key-order
-prefix whose words come nearest to it. Prefix sums are two-level: keys fall into ``key_buckets`` ranges, range sums
-give the one range in which a source's budget ends, and only that range is sorted, so a source that holds a third of
-all rows is neither gathered nor sorted in one task.
+prefix whose words come nearest to it. Prefix sums are two-level: keys fall into ranges of about ``RANGE_ROWS`` rows,
+range sums give the one range in which a source's budget ends, and only that range is sorted, so a source that holds a
+third of all rows is neither gathered nor sorted in one task. Rows that are alike in key, id and size are one group
+there, and how many of them go in follows from the sums; where that is some of them, they are told apart by their row
+numbers, in salted parts.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; a null id draws its key
 from the text; rows that repeat are rows of their own (ties in key go by id, then size); an empty table gives an empty
@@ -26,7 +28,9 @@ from .common import WORD, stored, table
 SOURCE_WEIGHTS = (5, 2, 1)
 BUDGET_FACTOR = 1.5
 MAX_EPOCHS = 2
-KEY_BUCKETS = 4096
+#: Rows of a key range, about; fewer ranges than ``LEAST_RANGES`` are not made.
+RANGE_ROWS, LEAST_RANGES = 20_000, 4096
+SALTS = 64
 SEED = "mix-1"
 
 
@@ -79,17 +83,14 @@ def source_targets(
     return levelled.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * best), F.col("cap")).alias("target"))
 
 
-def mix(
-    rows: DataFrame,
-    weights: Sequence[float] = SOURCE_WEIGHTS,
-    budget_factor: float = BUDGET_FACTOR,
-    max_epochs: float = MAX_EPOCHS,
-    key_buckets: int = KEY_BUCKETS,
-) -> DataFrame:
+def mix(rows: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS, budget_factor: float = BUDGET_FACTOR, max_epochs: float = MAX_EPOCHS, ranges: int | None = None) -> DataFrame:
     """(id, source, size, doc, source_size, target, copies, taken) for rows as ``rows_to_mix`` gives them."""
-    bucket = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * key_buckets), F.lit(key_buckets - 1)).cast("int")
+    # Stored once: words are counted once, and row numbers stay what they are.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    n_ranges = max(LEAST_RANGES, rows.count() // RANGE_ROWS) if ranges is None else ranges
+    bucket = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * n_ranges), F.lit(n_ranges - 1)).cast("int")
     rows = rows.withColumn("bucket", bucket)
-    sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-ranges")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget_factor, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -103,17 +104,31 @@ def mix(
     )
     edge = stored(edge, "mix-edges").withColumnRenamed("source", "of")
     placed = rows.join(edge, rows["source"].eqNullSafe(edge["of"])).drop("of")
-    at = F.coalesce(F.col("edge.bucket"), F.lit(key_buckets))
+    at = F.coalesce(F.col("edge.bucket"), F.lit(n_ranges))
     sure = placed.where(F.col("bucket") != at).withColumn("extra", (F.col("bucket") < at) & (F.col("size") > 0))
-    by_key = W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.col("edge.before") + F.sum("size").over(by_key)
-    split = placed.where(F.col("bucket") == at).withColumn("extra", (2 * upto - F.col("size") <= 2 * F.col("rest")) & (F.col("size") > 0))
+    split = placed.where(F.col("bucket") == at)
+    alike = split.groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first("edge.before").alias("start"))
+    upto = F.sum(F.col("n") * F.col("size")).over(W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    alike = alike.withColumn("before", F.col("start") + upto - F.col("n") * F.col("size"))
+    # The i-th of n alike rows goes in if the sum is nearer to the rest with it: before + size * (2 * i + 1) / 2 <= rest.
+    room = 2 * F.col("rest") - 2 * F.col("before") - F.col("size")
+    fit = F.when(F.col("n") == 1, (room >= 0).cast("long")).otherwise(F.least(F.greatest(F.floor(room / F.nullif(2 * F.col("size"), F.lit(0))) + 1, F.lit(0)), F.col("n")))
+    alike = alike.select("source", "key", "id", "size", "n", F.when(F.col("size") > 0, fit).otherwise(F.lit(0)).cast("long").alias("fit"))
+    ours = ("source", "key", "id", "size")
+    named = alike.withColumnsRenamed({c: f"a_{c}" for c in ours})
+    told = split.join(named, [split[c].eqNullSafe(named[f"a_{c}"]) for c in ours]).drop(*[f"a_{c}" for c in ours])
+    whole = told.where("fit = 0 OR fit = n").withColumn("extra", F.col("fit") > 0).drop("n", "fit")
+    some = told.where("fit > 0 AND fit < n").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    parts = some.groupBy(*ours, "salt").agg(F.count(F.lit(1)).alias("k"))
+    below = F.sum("k").over(W.partitionBy(*ours).orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")
+    parts = parts.select(*[F.col(c).alias(f"p_{c}") for c in (*ours, "salt")], below.alias("below"))
+    nth = F.row_number().over(W.partitionBy(*ours, "salt").orderBy("row"))
+    some = some.withColumn("nth", nth).join(parts, [some[c].eqNullSafe(parts[f"p_{c}"]) for c in (*ours, "salt")])
+    some = some.withColumn("extra", F.col("below") + F.col("nth") <= F.col("fit"))
+    columns = ["id", "source", "size", "doc", "source_size", "target", "epochs", "extra"]
+    out = sure.select(columns).unionByName(whole.select(columns)).unionByName(some.select(columns))
     copies = F.col("epochs") + F.col("extra").cast("long")
-    return (
-        sure.unionByName(split)
-        .select("id", "source", "size", "doc", "source_size", "target", copies.alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
+    return out.select("id", "source", "size", "doc", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -124,8 +139,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    rows = stored(rows_to_mix(table(spark, sf_dir, "documents")), "mix-rows")
-    return mix(rows).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+    return mix(rows_to_mix(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
 OP7_SQL = r"""

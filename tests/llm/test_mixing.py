@@ -60,6 +60,22 @@ def test_the_mix_repeats_whole_rows(spark, docs):
     assert got["count"].sum() == want.sum() and (got["count"] <= 6).all()
 
 
+def test_rows_that_repeat_one_id_are_split(spark, docs):
+    # The rows of one id and text are alike, most of a source, and the budget ends among them.
+    rows = [(1, "a b c", "hot")] * 500 + [(None, "no id", "hot")] * 40 + [(10 + i, "d e", "hot") for i in range(30)] + [(100 + i, "w " * 60, "other") for i in range(30)]
+    for ranges in (1, 7, None):
+        got = mixing.mix(mixing.rows_to_mix(docs(rows)), ranges=ranges).toPandas()
+        assert len(got) == len(rows)
+        for s, part in got.groupby("source"):
+            assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max() / 2
+            assert part["copies"].max() - part["copies"].min() <= 1 and (part["taken"] <= 2 * part["size"]).all()
+        split = got[got["id"] == 1]["copies"].nunique(), got[got["id"].isna()]["copies"].nunique()
+        assert split == (2, 1) or split == (1, 2) or split == (1, 1)
+        if ranges == 1:
+            first = sorted(got["taken"])
+        assert sorted(got["taken"]) == first
+
+
 def test_empty_and_light_keys(spark, docs):
     assert mixing.mix(mixing.rows_to_mix(docs([]))).count() == 0
     # Heavier documents come earlier far more often.
