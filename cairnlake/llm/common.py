@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from cairnlake.sources.scratch import scratch_path, shared_dir, stored
+from cairnlake.sources.scratch import Rounds, scratch_path, shared_dir, stored
 
-__all__ = ["WORD", "filter_rows", "is_held_out", "map_rows", "one_label", "pieces_of", "released", "scratch_path", "shared_dir", "stored", "table", "worker_cache"]
+__all__ = ["WORD", "Rounds", "filter_rows", "is_held_out", "map_rows", "one_label", "pieces_of", "released", "scratch_path", "shared_dir", "stored", "table", "worker_cache"]
 
 #: A word is a maximal run of characters other than blank and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -6,7 +6,8 @@ shingles: two signature values for one evaluation. The values are banded ``BAND_
 similarity on whole sets reaches the threshold are linked.
 
 Equal sets are one class from the start, and only classes are banded. No bucket is expanded into its pairs: first, in
-``STAR_ROUNDS`` rounds, the members of a bucket are held against one pivot, and linked ones fall into one component.
+``STAR_ROUNDS`` rounds and in more as long as a round links ``FRUITFUL`` of the members, the members of a bucket are held
+against one pivot, and linked ones fall into one component.
 What remains are pairs of a bucket's members that lie in different components. They are compared in blocks of
 signatures and of whole sets, all of them, and links among them are confirmed too. Pairs within one component need no
 comparison, and a block hands on only pairs that hardly miss a link. So the components are those of all confirmed
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, table, worker_cache
+from .common import Rounds, map_rows, stored, table, worker_cache
 
 N_WORDS = 4
 #: Links reach this many hundredths of intersection to union.
@@ -39,6 +40,8 @@ THRESHOLD = 80
 PERMUTATIONS = 95
 BAND_ROWS = 5
 STAR_ROUNDS = 2
+#: A round of stars that links so large a share of the members is followed by another one.
+FRUITFUL = 0.02
 #: Members of a bucket that are compared at a time.
 BLOCK = 1024
 #: Estimates below the threshold less so many standard errors are not confirmed.
@@ -155,14 +158,14 @@ def components(links: DataFrame) -> DataFrame:
     Smallest labels go along links and each label is replaced by its own label, until none changes.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stored(both, "cc-links")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("comp")), "cc-labels")
+    both, rounds = stored(both, "cc-links"), Rounds(links.sparkSession, "cc-labels")
+    labels = rounds.store(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("comp")))
     while True:
         heard = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("said")), "b").groupBy(F.col("a").alias("id")).agg(F.min("said").alias("said"))
         nearer = labels.join(heard, "id").select("id", F.least("comp", "said").alias("next"), "comp")
         heads = labels.select(F.col("id").alias("next"), F.col("comp").alias("beyond"))
         jumped = nearer.join(heads, "next", "left").select("id", F.least("next", "beyond").alias("comp"), F.col("comp").alias("was"))
-        after = stored(jumped, "cc-labels")
+        after = rounds.store(jumped)
         if after.where("comp <> was").isEmpty():
             return after.select("id", "comp")
         labels = after.select("id", "comp")
@@ -316,14 +319,15 @@ def near_duplicates(
         comps = components(links).withColumnRenamed("id", "cid")
         return members.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
 
-    links = None
-    for turn in range(star_rounds):
+    links, turn, fruitful = None, 0, FRUITFUL * involved.count() + 1
+    while turn < star_rounds or (turn and fresh >= fruitful):
         rows = with_comps(links)
         first = F.min_by(F.struct(F.col("cid").alias("p"), F.col("comp").alias("p_comp")), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("first")
         pivots = rows.groupBy("key").agg(first, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "first.*")
         pairs = rows.join(pivots, "key").where("comp <> p_comp").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
         found = stored(confirmed(promising(pairs, classes, threshold), sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
+        turn, fresh = turn + 1, found.count()
     rest = stored(remaining_pairs(with_comps(links), classes, sets, threshold, block), "pairs")
     found = stored(confirmed(rest, sets, threshold), "links")
     links = found if links is None else links.unionByName(found)
