@@ -346,7 +346,7 @@ def entity_risk(graph: Graph, rows: DataFrame) -> DataFrame:
     """Per entity: its markers' risk, up to 20 for edges, 5 for three sources, up to 10 for confidence; at most 100, with a band."""
     said = F.when(F.col("confidence_label") == "Very High", 1.0).when(F.col("confidence_label") == "High", 0.85).when(F.col("confidence_label") == "Medium", 0.65).when(F.col("confidence_label") == "Low", 0.45).otherwise(0.25)
     by_marker = rows.withColumn("said", said).groupBy("entity_id").agg(
-        F.sum("risk").alias("marker_risk"), F.count(F.lit(1)).alias("markers"), F.avg("said").alias("mean_confidence"), all_tokens(F.col("sources")).alias("theirs"),
+        F.sum("risk").alias("marker_risk"), F.count(F.lit(1)).alias("markers"), F.round(F.avg("said"), 6).alias("mean_confidence"), all_tokens(F.col("sources")).alias("theirs"),
         F.array_join(F.array_sort(F.collect_set("marker")), "|").alias("rules"), F.max(F.struct("risk", "confidence", "marker"))["marker"].alias("top_marker"),
     )
     by_edge = graph.profile.select("entity_id", "degree")

@@ -160,7 +160,7 @@ def anomaly_view(spark, sf_dir):
 _RISK = f"""{GRAPH_SQL}, {_FIRED},
 said AS (SELECT *, CASE confidence_label WHEN 'Very High' THEN 1.0 WHEN 'High' THEN 0.85 WHEN 'Medium' THEN 0.65 WHEN 'Low' THEN 0.45 ELSE 0.25 END::DOUBLE AS s FROM fired),
 by_marker AS (
-  SELECT entity_id, sum(risk)::BIGINT AS marker_risk, count(*) AS markers, avg(s) AS mean, string_agg(DISTINCT marker, '|' ORDER BY marker) AS rules, arg_max(marker, (risk, confidence, marker)) AS top_marker FROM said GROUP BY entity_id),
+  SELECT entity_id, sum(risk)::BIGINT AS marker_risk, count(*) AS markers, round(avg(s), 6) AS mean, string_agg(DISTINCT marker, '|' ORDER BY marker) AS rules, arg_max(marker, (risk, confidence, marker)) AS top_marker FROM said GROUP BY entity_id),
 backing AS (SELECT entity_id, unnest(string_split(sources, '|')) AS source FROM fired UNION SELECT entity_id, source_name FROM entities),
 by_source AS (SELECT entity_id, count(*) AS sources, string_agg(source, '|' ORDER BY source) AS source_names FROM backing GROUP BY entity_id),
 risk AS (

@@ -18,7 +18,7 @@ _HALF, _QUARTER = "cast(floor(c_custkey / 2) AS bigint)", "cast(floor(c_custkey
 
 #: Suppliers are businesses, customers owners, persons, officers and registered agents, parts properties; addresses, phones, e-mail addresses and websites go by customers' keys.
 _ENTITIES = f"""
-  SELECT 'b:' || s_suppkey AS entity_id, 'business' AS entity_type, s_name AS display_name, substr(md5('n' || (s_suppkey % 500)), 1, 12) AS normalized_value, 'registry' AS source_name, 'api' AS source_type FROM {{supplier}}
+  SELECT 'b:' || s_suppkey AS entity_id, 'business' AS entity_type, s_name AS display_name, substr(md5('n' || cast(floor(s_suppkey / 2) AS bigint)), 1, 12) AS normalized_value, 'registry' AS source_name, 'api' AS source_type FROM {{supplier}}
   UNION ALL SELECT 'c:' || c_custkey, CASE c_custkey % 5 WHEN 1 THEN 'person' WHEN 2 THEN 'officer' WHEN 3 THEN 'registered_agent' ELSE 'owner' END, c_name, substr(md5('n' || (c_custkey % 500)), 1, 12), {_SOURCE}, {_SOURCE_TYPE} FROM {{customer}}
   UNION ALL SELECT 'p:' || p_partkey, 'property', p_name, 'P' || p_partkey, 'parcels', 'arcgis' FROM {{part}}
   UNION ALL SELECT DISTINCT 'a:' || (c_custkey % 40), 'address',
