@@ -14,16 +14,26 @@ QUERIES, ORACLE_SQL = R.queries, R.sql
 
 #: Documents are joined to the first document with the same text: a star per text, however many copies it has.
 _SAME_SQL = "same AS (SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY md5(text)) AS dst FROM documents)"
-#: Every distinct supplier-part edge, and the components of that graph by keyed recursion: each vertex keeps its smallest label.
-_SUPPLIED_SQL = """supplied AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem),
+
+def both_ways_sql(edges: str) -> str:
+    return f"""supplied AS ({edges}),
 both_ways AS (SELECT src AS id, dst AS nbr FROM supplied UNION SELECT dst, src FROM supplied)"""
-_CC_SQL = f"""{_SUPPLIED_SQL},
+
+
+def components_sql(edges: str) -> str:
+    """The components of a graph by keyed recursion: each vertex keeps its smallest label."""
+    return f"""{both_ways_sql(edges)},
 cc(id, component) USING KEY (id) AS (
   SELECT id, min(least(id, nbr)) FROM both_ways GROUP BY id
   UNION SELECT b.nbr, min(c.component) FROM cc c JOIN both_ways b ON b.id = c.id JOIN recurring.cc r ON r.id = b.nbr WHERE c.component < r.component GROUP BY b.nbr),
 sizes AS (SELECT component, count(*) AS members FROM cc GROUP BY 1)"""
 
 
+#: Every distinct supplier-part edge, and the components of that graph.
+_EDGES_SQL = "SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem"
+_SUPPLIED_SQL, _CC_SQL = both_ways_sql(_EDGES_SQL), components_sql(_EDGES_SQL)
+
+
 def _same_text(spark, sf_dir):
     keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
