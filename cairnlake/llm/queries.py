@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat
 from .licenses import op2_licenses
+from .linededup import OP12_SQL, op12_lines
 from .media import op1_media
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import OP10_SQL, op10_minhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
+    "op12_lines": op12_lines,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op10_minhash": OP10_SQL,
+    "op12_lines": OP12_SQL,
 }
