@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP3_SQL, op3_chat
+from .lexical import OP13_SQL, op13_lexical
 from .licenses import op2_licenses
 from .linededup import OP12_SQL, op12_lines
 from .media import op1_media
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
     "op12_lines": op12_lines,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op8_warc": OP8_SQL,
     "op10_minhash": OP10_SQL,
     "op12_lines": OP12_SQL,
+    "op13_lexical": OP13_SQL,
 }
