@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .chat import OP3_SQL, op3_chat
 from .lexical import OP13_SQL, op13_lexical
 from .licenses import op2_licenses
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_neighbours": op9_neighbours,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
     "op12_lines": op12_lines,
     "op13_lexical": op13_lexical,
 }
