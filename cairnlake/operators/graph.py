@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.operators import stats
+from cairnlake.operators import biconnected, propagation, stats
 from cairnlake.sources.scratch import Rounds, stored
 
+#: Neighbours of a component that one task may hold.
+LOCAL_EDGES = 200_000
+
 
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, nbr): each edge seen from both ends, without loops and repeats."""
@@ -79,17 +83,41 @@ def articulation_groups(adjacent: dict) -> dict:
     return {v: n + 1 for v, n in found.items() if n > 0}
 
 
-def articulation_points(edges: DataFrame, components: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(component, id, groups, score) of bridge vertices; a component is one group of rows."""
-    adjacent = undirected(edges, a, b).join(components, "id")
-    kind = components.schema["id"].dataType.simpleString()
+def _by_size(both: DataFrame, components: DataFrame, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """Stored neighbours (id, nbr, component) of components with up to ``most`` of them, in parts of about so many; and of the others."""
+    tied = stored(both.join(components, "id").select("id", "nbr", "component"), "adjacent")
+    sizes = tied.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    few, many = (tied.join(sizes.where(F.col("n") <= most if low else F.col("n") > most), "component", "left_semi") for low in (True, False))
+    return few, many, 1 + few.count() // max(most, 1)
+
+
+def _in_parts(few: DataFrame, parts: int, found: Callable[[dict], Iterable[tuple]], names: str) -> DataFrame:
+    """``found`` on the neighbours of whole small components, many at a time."""
+    kind = few.schema["id"].dataType.simpleString()
+    ddl = names.replace("KIND", kind)
+    columns = [c.split()[0] for c in ddl.split(", ")]
 
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        by = _neighbours(frame)
-        rows = [(frame["component"].iloc[0], v, n, 10 * n + len(by[v])) for v, n in sorted(articulation_groups(by).items())]
-        return pd.DataFrame(rows, columns=["component", "id", "groups", "score"])
+    def rows(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(found(_neighbours(frame))), columns=columns)
 
-    return adjacent.groupBy("component").applyInPandas(found, f"component {kind}, id {kind}, groups long, score long")
+    return few.groupBy(F.pmod(F.xxhash64("component"), F.lit(parts)).alias("part")).applyInPandas(rows, ddl)
+
+
+def articulation_points(edges: DataFrame, components: DataFrame, a: str = "src", b: str = "dst", local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(component, id, groups, score) of bridge vertices.
+
+    A component with more than ``local_edges`` neighbours goes through ``biconnected.blocks``, which no task holds whole:
+    a vertex holds as many groups together as blocks meet in it. Smaller ones are searched in depth, many to a task.
+    """
+    few, many, parts = _by_size(undirected(edges, a, b), components, local_edges)
+    points = _in_parts(few, parts, lambda by: [(v, n) for v, n in articulation_groups(by).items()], "id KIND, groups long")
+    if not many.isEmpty():
+        names = stored(stats.numbered(many.select("id").distinct(), ["id"], "number").select("id", "number"), "numbers")
+        ends = many.where("id < nbr").join(names.withColumnRenamed("number", "a"), "id").join(names.select(F.col("id").alias("nbr"), F.col("number").alias("b")), "nbr")
+        met = biconnected.blocks(stored(ends.select("a", "b"), "numbered-edges"), connected_components).groupBy("id").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        points = points.unionByName(met.withColumnRenamed("id", "number").join(names, "number").select("id", "groups"))
+    degree = undirected(edges, a, b).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return points.join(components, "id").join(degree, "id").select("component", "id", "groups", (10 * F.col("groups") + F.col("degree")).alias("score"))
 
 
 def spread_labels(adjacent: dict, rounds: int = 20) -> dict:
@@ -107,19 +135,19 @@ def spread_labels(adjacent: dict, rounds: int = 20) -> dict:
     return labels
 
 
-def communities(edges: DataFrame, components: DataFrame, a: str = "src", b: str = "dst", rounds: int = 20) -> DataFrame:
-    """(component, id, community): the community is named by its smallest member."""
-    adjacent = undirected(edges, a, b).join(components, "id")
-    kind = components.schema["id"].dataType.simpleString()
+def communities(edges: DataFrame, components: DataFrame, a: str = "src", b: str = "dst", rounds: int = 20, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(component, id, community): the community is named by its smallest member.
 
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        labels = spread_labels(_neighbours(frame), rounds)
-        least: dict = {}
-        for v, label in labels.items():
-            least[label] = min(v, least.get(label, v))
-        return pd.DataFrame([(frame["component"].iloc[0], v, least[x]) for v, x in labels.items()], columns=["component", "id", "community"])
-
-    return adjacent.groupBy("component").applyInPandas(found, f"component {kind}, id {kind}, community {kind}")
+    Vertices hear each other one after another in both ways; components of more than ``local_edges`` neighbours do so by
+    the waves of ``propagation.spread``.
+    """
+    few, many, parts = _by_size(undirected(edges, a, b), components, local_edges)
+    labels = _in_parts(few, parts, lambda by: spread_labels(by, rounds).items(), "id KIND, label KIND")
+    if not many.isEmpty():
+        labels = labels.unionByName(propagation.spread(stored(many.select("id", "nbr"), "hearing"), rounds))
+    labels = stored(labels.join(components, "id"), "spread")
+    named = labels.groupBy("component", "label").agg(F.min("id").alias("community"))
+    return labels.join(named, ["component", "label"]).select("component", "id", "community")
 
 
 def numbered(components: DataFrame) -> DataFrame:
@@ -134,5 +162,5 @@ def network_metrics(components: DataFrame, edges: DataFrame, a: str = "src", b:
     rows = edges.select(F.col(a).alias("id")).join(components, "id").groupBy("component").agg(F.count(F.lit(1)).alias("relationships"))
     out = numbered(components).where("members > 1").join(rows, "component", "left")
     density = F.round(2 * F.col("relationships") / (F.col("members") * F.greatest(F.col("members") - 1, F.lit(1))), 4)
-    size = F.when(F.col("members") >= 25, "LARGE").when(F.col("members") >= 10, "MEDIUM").otherwise("SMALL")
+    size = F.when(F.col("members") >= 25, "Large").when(F.col("members") >= 10, "Medium").otherwise("Small")
     return out.select("component", "network_id", "members", F.coalesce("relationships", F.lit(0)).alias("relationships"), F.coalesce(density, F.lit(0.0)).alias("density"), size.alias("size_label"))

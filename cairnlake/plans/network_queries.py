@@ -69,7 +69,7 @@ def _whole(spark, sf_dir):
 @R.query(f"""WITH RECURSIVE {_CC_SQL},
 rel AS (SELECT c.component, count(*) AS relationships FROM supplied s JOIN cc c ON s.src = c.id GROUP BY 1)
 SELECT component, network_id, members, relationships, round(2 * relationships / (members * greatest(members - 1, 1)), 4)::DOUBLE AS density,
-  CASE WHEN members >= 25 THEN 'LARGE' WHEN members >= 10 THEN 'MEDIUM' ELSE 'SMALL' END AS size_label
+  CASE WHEN members >= 25 THEN 'Large' WHEN members >= 10 THEN 'Medium' ELSE 'Small' END AS size_label
 FROM (SELECT *, 'network:' || lpad(row_number() OVER (ORDER BY component)::VARCHAR, 4, '0') AS network_id FROM sizes) JOIN rel USING (component)""")
 def network_clusters(spark, sf_dir):
     edges, components = _whole(spark, sf_dir)
