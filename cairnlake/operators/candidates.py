@@ -11,6 +11,7 @@ from cairnlake.functions import scores
 from cairnlake.functions import text as X
 from cairnlake.functions.sets import tokens
 from cairnlake.operators.markers import all_tokens
+from cairnlake.sources.provenance import is_real
 
 #: Fixed values.
 LEAD_TYPES = {"address": "ADDRESS_CLUSTER", "property": "PROPERTY_CLUSTER", "phone": "COMMUNICATION_CLUSTER", "email": "COMMUNICATION_CLUSTER", "website": "COMMUNICATION_CLUSTER", "business": "BUSINESS_CLUSTER"}
@@ -34,7 +35,7 @@ def _candidates(rows: DataFrame, **said: Column) -> DataFrame:
 def _kinds(source_types: Column) -> dict[str, Column]:
     """Whether there are real sources, and synthetic ones."""
     found = tokens(source_types)
-    return {"contains_real": F.size(F.array_remove(found, "synthetic")) > 0, "contains_synthetic": F.array_contains(found, "synthetic")}
+    return {"contains_real": is_real(source_types), "contains_synthetic": F.array_contains(found, "synthetic")}
 
 
 def marker_lookup(records: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.functions.sets import has_token
+from cairnlake.functions.sets import has_token, tokens
 from cairnlake.functions.text import source_kind
 
 PROVENANCE = ("source_name", "source_type", "source_record_id", "connector_name", "import_batch_id", "imported_at", "jurisdiction", "is_synthetic")
@@ -25,6 +25,11 @@ def with_provenance(df: DataFrame, hints: Mapping[str, str], record_id: str | No
     return out.withColumn("is_synthetic", F.when(has_token(F.col("source_type"), "synthetic"), "true").otherwise("false"))
 
 
+def is_real(source_types: Column) -> Column:
+    """Whether one of the tokens, by its standard name, is the type of a real source; blank and unknown ones are not."""
+    return F.exists(tokens(source_types), lambda token: source_kind(token).isin(*REAL))
+
+
 def in_scope(df: DataFrame, scope: str) -> DataFrame:
     """REAL_ONLY, SYNTHETIC_ONLY or ALL rows by their source type tokens."""
     if scope == "REAL_ONLY":
