@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import scores
 from cairnlake.functions.sets import has_token, tokens
 from cairnlake.functions.text import is_mailbox
-from cairnlake.operators.resolution import alike_names, block_pairs
+from cairnlake.operators.similarity import alike
 from cairnlake.sources.scratch import stored
 
 
@@ -184,7 +184,7 @@ def similar_names(graph: Graph, least: float = 0.86) -> DataFrame:
     """
     at = graph.ends.where(F.col("kind").isin(*PLACES) & (F.col("src_type") == "business") & (F.col("dst_type") == "address")).select("dst", F.col("src").alias("entity_id")).distinct()
     names = graph.entities.select("entity_id", F.coalesce(F.nullif("normalized_value", F.lit("")), "display_name").alias("name"), "source_name")
-    pairs = alike_names(block_pairs(at, ["dst"], "entity_id", keep_key=True), names, "entity_id", "name", least).select("dst", "left_id", "right_id")
+    pairs = alike(at.join(names, "entity_id"), "dst", "entity_id", "name", least).select("dst", "left_id", "right_id")
     lefts = pairs.select("dst", "left_id").distinct().select("dst", "left_id", F.col("left_id").alias("entity_id"))
     members = stored(pairs.select("dst", "left_id", F.col("right_id").alias("entity_id")).unionByName(lefts), "alike")
     clusters = members.join(names.select("entity_id", "source_name"), "entity_id").groupBy("dst", "left_id").agg(F.count(F.lit(1)).alias("support"), all_tokens(F.col("source_name")).alias("sources"))

@@ -179,11 +179,6 @@ def merge_rows(rows: DataFrame, keys: Sequence[str], order: str, merged: Sequenc
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def similar_names(rows: DataFrame, block: str, id_col: str, name: str, least: float = 0.86) -> DataFrame:
-    """(left_id, right_id, ratio) of different names at one address that are alike; an address has no limit of names."""
-    return alike_names(block_pairs(rows, [block], id_col), rows, id_col, name, least).where("ratio < 1")
-
-
 def ladder(kind: Column, left: Column, right: Column, same_parcel: Column, shared: Column, ratio: Column) -> Column:
     """struct(method, score, decision) of a pair of one type: identifiers, addresses, then names."""
     row = lambda method, score, decision: F.struct(method.alias("method"), F.lit(score).alias("score"), F.lit(decision).alias("decision"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import parsing as P
 from cairnlake.functions import text as X
 from cairnlake.functions.sets import sorted_tokens
-from cairnlake.operators import correlation, cross_source, markers, resolution
+from cairnlake.operators import correlation, cross_source, markers, resolution, similarity
 from cairnlake.plans.registry import Registry
 from cairnlake.sources.tables import GRAPH_SQL, edges, entities, table
 
@@ -197,7 +197,7 @@ def polymorphic_records(spark, sf_dir):
 @R.query()
 def similar_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_name", "p_brand").distinct()
-    return resolution.similar_names(rows.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("block")), "block", "id", "name", 0.8)
+    return similarity.alike(rows.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("block")), "block", "id", "name", 0.8).drop("block").distinct()
 
 
 #: For each customer a pair for every outcome of the ladder: (case, type, left name, right name, whether evidence is shared).

@@ -1,9 +1,12 @@
 """The whole ladder of pair decisions, and what it merges."""
 
+import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
-from cairnlake.operators import resolution
+import pytest
+
+from cairnlake.operators import resolution, similarity
 
 PAIRS = [  # (type, names, parcels, shared evidence, method, decision)
     ("phone", "3055550101", "3055550101", "", "", False, "exact_phone", "AUTO_MERGE"),
@@ -39,8 +42,36 @@ def test_every_rung_of_the_ladder(spark):
 def test_similar_names_of_a_large_block(spark):
     names = [f"{chr(65 + i % 26)}{chr(65 + i // 26)} HOLDINGS {i:03} OF MIAMI" for i in range(230)]
     rows = spark.createDataFrame([(n, n, "a") for n in names] + [("ACME ONE", "ACME ONE", "b"), ("ACME ONES", "ACME ONES", "b")], "id string, name string, block string")
-    got = sorted((r["left_id"], r["right_id"], r["ratio"]) for r in resolution.similar_names(rows, "block", "id", "name").collect())
+    got = sorted((r["left_id"], r["right_id"], r["ratio"]) for r in similarity.alike(rows, "block", "id", "name", 0.86).collect())
     want = [(a, b, round(SequenceMatcher(None, a, b).ratio(), 4)) for a, b in combinations(sorted(names), 2)] + [("ACME ONE", "ACME ONES", round(16 / 17, 4))]
     assert got == sorted(w for w in want if w[2] >= 0.86) and len(got) > 1
     pairs = resolution.block_pairs(rows, ["block"], "id", part=40).collect()
     assert {tuple(p) for p in pairs} == {*combinations(sorted(names), 2), ("ACME ONE", "ACME ONES")}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.75, 0.8, 0.86, 0.95])
+def test_alike_names_are_those_of_all_pairs(spark, least):
+    draw = random.Random(7)
+    stems = ["ACME HOLDINGS", "BLUE OCEAN TRADING", "GULF COAST REALTY", "A", "AB", "ABC", "QZ", "SUNSHINE STATE LLC", "ÉTÉ", "", "AAAA", "AAAAAA"]
+    def spoiled(s):
+        s = list(s)
+        for _ in range(draw.randint(0, 3)):
+            at = draw.randint(0, len(s))
+            s[at:at + draw.randint(0, 1)] = draw.choice(["", "X", "AB", " ", "Q"])
+        return "".join(s)
+    rows = [(f"e{i:03}", spoiled(draw.choice(stems)), f"b{i % 3}") for i in range(330)] + [("e000", "TWO NAMES", "b0"), ("e999", "two blocks", "b0"), ("e999", "two blocks", "b1")]
+    frame = spark.createDataFrame(rows, "id string, name string, block string")
+    got = {(r["block"], r["left_id"], r["right_id"]): r["ratio"] for r in similarity.alike(frame, "block", "id", "name", least).collect()}
+    want = {}
+    for (i, a, x), (j, b, y) in combinations(sorted(set(rows)), 2):
+        if x == y and i != j and a and b and (r := SequenceMatcher(None, a, b).ratio()) >= least:
+            want[x, i, j] = max(want.get((x, i, j), 0), round(r, 4))
+    assert got == want and len(got) > 100
+
+
+def test_few_pairs_are_compared(spark):
+    draw = random.Random(9)
+    names = sorted({"".join(draw.choices("ABCDEFGHIJKLMNOPRSTUVWY", k=draw.randint(6, 10))) + " " + draw.choice(["TRADING", "HOLDINGS", "REALTY", "SERVICES"]) for _ in range(1500)})
+    frame = spark.createDataFrame([("b", n) for n in names], "block string, name string")
+    share = similarity.candidates(frame, 0.86).count() / (len(names) * (len(names) - 1) / 2)
+    assert share < 0.2  # names of random letters; rare tokens part real ones better
