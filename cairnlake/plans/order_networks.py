@@ -46,13 +46,13 @@ numbered AS (SELECT *, 'network:' || lpad((row_number() OVER (ORDER BY least))::
 
 @R.query(f"""{_SQL},
 shaped AS (SELECT *, inner_edges + tied AS relationships, holding + CASE WHEN tied > 1 THEN 1 ELSE 0 END AS bridges FROM numbered),
-dense AS (SELECT *, round(2 * relationships / (members * (members - 1)), 4)::DOUBLE AS density, CASE WHEN n_lines > 0 THEN 2 ELSE 1 END AS sources, 1 + (tied > 0)::INTEGER + (n_lines > 0)::INTEGER AS diversity FROM shaped)
+dense AS (SELECT *, round(2 * relationships / (members * (members - 1)), 4)::DOUBLE AS density FROM shaped)
 SELECT network_id, members::BIGINT AS members, orders::BIGINT AS businesses, relationships::BIGINT AS relationships, density, bridges::BIGINT AS bridges,
-  round(least(density, 1) * 30 + sources * 5 + diversity * 3 + least(bridges, 5) * 5, 2)::DOUBLE AS risk_score, CASE WHEN members >= 25 THEN 'Large' WHEN members >= 10 THEN 'Medium' ELSE 'Small' END AS size_label FROM dense""")
+  CASE WHEN members >= 25 THEN 'Large' WHEN members >= 10 THEN 'Medium' ELSE 'Small' END AS size_label FROM dense""")
 def order_network_profiles(spark, sf_dir):
     g, components = _order_graph(spark, sf_dir)
     got = networks.profiles(components, g.entities, g.edges, spark.createDataFrame([], _BLANK_MARKERS), bridges=graph.articulation_points(g.edges, components))
-    return got.select("network_id", "members", "businesses", "relationships", "density", "bridges", "risk_score", "size_label")
+    return got.select("network_id", "members", "businesses", "relationships", "density", "bridges", "size_label")
 
 
 @R.query(f"""{_SQL},
