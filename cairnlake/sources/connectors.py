@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.functions import text as X
 from cairnlake.sources.files import canonical_headers, read_csv, trimmed
 from cairnlake.sources.provenance import with_provenance
 
@@ -81,24 +80,3 @@ MANUAL = Connector(
     [("business_name", "address", "LOCATED_AT", 1.0), ("business_name", "phone", "USES_PHONE", 1.0), ("business_name", "email", "USES_EMAIL", 1.0), ("business_name", "website", "HAS_WEBSITE", 1.0)],
 )
 CONNECTORS = {c.name: c for c in (REGISTRY, PARCELS, COURT, MANUAL)}
-
-
-def bulk_filter(df: DataFrame, state: str = "", city: str = "", zip_prefix: str = "", taxonomy: str = "", kind: str = "", active_only: bool = False) -> DataFrame:
-    """Optional conjuncts over provider rows; those that are set reach the scan as filters."""
-    if state:
-        df = df.where(F.col("state") == state.upper())
-    if city:
-        df = df.where(F.upper("city") == city.upper())
-    if zip_prefix:
-        df = df.where(F.col("zip").startswith(zip_prefix))
-    if taxonomy:
-        is_code = len(taxonomy) <= 12 and taxonomy.isalnum()
-        df = df.where(F.col("taxonomy_code") == taxonomy) if is_code else df.where(F.lower("taxonomy_desc").contains(taxonomy.lower()))
-    if kind:
-        df = df.where(F.col("enumeration_type") == kind)
-    return df.where(F.coalesce(X.blank_to_null(F.col("deactivated")), F.lit("")) == "") if active_only else df
-
-
-def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
