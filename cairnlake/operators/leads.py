@@ -55,35 +55,62 @@ def timeline(events: DataFrame, key: str, ts: str, kind: str) -> DataFrame:
     return rows.select(key, ts, kind, "n", gap.alias("days_since"))
 
 
-def lead_type(sources: Column, markers: Column, degree: Column, events: Column) -> Column:
-    """What a lead is about; the first rule that holds."""
-    return (
-        F.when(sources >= 3, "CROSS_SOURCE")
-        .when(markers >= 3, "MULTIPLE_MARKERS")
-        .when(degree >= 10, "DENSE_NETWORK")
-        .when(events >= 5, "TEMPORAL_CLUSTER")
-        .when(markers >= 1, "SINGLE_MARKER")
-        .otherwise("CONTEXT_ONLY")
-    )
-
-
-def why_flagged(markers: Column, sources: Column, degree: Column) -> Column:
-    """A sentence of what speaks for a lead, parts that say nothing left out."""
-    parts = F.array(
-        F.when(markers > 0, F.format_string("%d markers", markers.cast("int"))),
-        F.when(sources > 1, F.format_string("%d sources", sources.cast("int"))),
-        F.when(degree > 0, F.format_string("%d relationships", degree.cast("int"))),
-    )
-    return F.array_join(F.array_compact(parts), ", ")
-
-
-def recommendation(priority_level: Column, completeness: Column) -> Column:
-    return (
-        F.when(priority_level.isin("CRITICAL", "HIGH") & (completeness >= 60), "Review now")
-        .when(priority_level.isin("CRITICAL", "HIGH"), "Collect evidence, then review")
-        .when(priority_level == "MEDIUM", "Review when time allows")
-        .otherwise("Keep for context")
-    )
+#: Kinds of leads, what each is recommended, and what a lead with little evidence is told besides.
+KINDS_BY_ENTITY = {"address": "ADDRESS_CLUSTER", "property": "PROPERTY_CLUSTER", "phone": "COMMUNICATION_CLUSTER", "email": "COMMUNICATION_CLUSTER", "website": "COMMUNICATION_CLUSTER", "business": "BUSINESS_CLUSTER"}
+ENABLED = ("ENTITY", "NETWORK", "CROSS_SOURCE_CLUSTER", "ADDRESS_CLUSTER", "BUSINESS_CLUSTER", "PROPERTY_CLUSTER", "COMMUNICATION_CLUSTER", "TEMPORAL_CLUSTER")
+RECOMMENDED = {
+    "ADDRESS_CLUSTER": "Verify whether the address is residential, commercial, mailbox, virtual office, shelter, or multifamily; review businesses, owners, officers, phones, websites, and filing dates connected to the address.",
+    "PROPERTY_CLUSTER": "Compare parcel owner, mailing address, business officers, registered agents, and related filings; confirm whether shared infrastructure explains the property-business correlation.",
+    "COMMUNICATION_CLUSTER": "Review all entities sharing the same phone, email, domain, or website and determine whether the identifier appears to belong to a service provider or facilitator.",
+    "TEMPORAL_CLUSTER": "Review formation, filing, transaction, and source dates for coordinated activity and confirm whether the timing reflects a legitimate batch process or unusual concentration.",
+    "NETWORK": "Identify central and bridge entities, review the shortest paths connecting high-risk members, and determine whether shared infrastructure explains the network legitimately.",
+    "CROSS_SOURCE_CLUSTER": "Compare records across independent sources, validate whether the matched entity attributes resolve to the same party, and review any conflicting source values before escalation.",
+    "": "Review the primary entity, linked fraud markers, connected relationships, and supporting public sources before taking further action.",
+}
+VALIDATE_FIRST = " Lead requires evidence validation before any referral or enforcement action."
+REVIEW_ACTIONS = {
+    "shared address": "Review shared address connections and validate ownership.",
+    "shared phone": "Verify phone ownership and call history for connected entities.",
+    "shared website": "Inspect website registration and linked entity relationships.",
+    "keyword": "Review suspicious keywords and associated entity filings.",
+    "": "Conduct a manual review of this high-risk entity and its relationships.",
+}
+LEAST_COMPLETE, TEMPORAL_EVENTS = 60, 5
+
+
+def lead_type(entity_type: Column, matches: Column, events: Column, enabled: Sequence[str] = ENABLED) -> Column:
+    """What a lead is about, by the first rule that holds among the kinds that are enabled."""
+    kind = F.lower(F.coalesce(entity_type, F.lit("")))
+    rules = [(matches > 0, "CROSS_SOURCE_CLUSTER"), *((kind == e, k) for e, k in KINDS_BY_ENTITY.items()), (events >= TEMPORAL_EVENTS, "TEMPORAL_CLUSTER")]
+    return F.coalesce(*[F.when(condition, F.lit(name)) for condition, name in rules if name in enabled], F.lit("ENTITY"))
+
+
+def recommendation(lead_kind: Column, entity_type: Column, markers: Column, completeness: Column) -> Column:
+    """What to review; the kind counts, then the entity's type or words of its markers."""
+    kind, entity, said = F.upper(F.coalesce(lead_kind, F.lit(""))), F.lower(F.coalesce(entity_type, F.lit(""))), F.lower(F.coalesce(markers, F.lit("")))
+    contact = said.contains("phone") | said.contains("email") | said.contains("website")
+    also = {"ADDRESS_CLUSTER": entity == "address", "PROPERTY_CLUSTER": entity == "property", "COMMUNICATION_CLUSTER": contact}
+    text = F.coalesce(*[F.when((kind == k) | also.get(k, F.lit(False)), F.lit(t)) for k, t in RECOMMENDED.items() if k], F.lit(RECOMMENDED[""]))
+    return F.concat(text, F.when(F.coalesce(completeness, F.lit(0)) < LEAST_COMPLETE, VALIDATE_FIRST).otherwise(""))
+
+
+def why_flagged(rules: Column, evidence: Column, anomalies: Column) -> Column:
+    """Rules, evidence and anomalies that speak for a lead, parts that say nothing left out."""
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    parts = F.concat_ws(" | ", F.concat(F.lit("Rules: "), filled(rules)), F.concat(F.lit("Evidence: "), filled(evidence)), F.when(anomalies > 0, F.concat(F.lit("Matched "), anomalies.cast("string"), F.lit(" anomaly findings"))))
+    return F.coalesce(F.nullif(parts, F.lit("")), F.lit("High-risk entity identified by rule-based scoring"))
+
+
+def review_action(rules: Column) -> Column:
+    said = F.lower(F.coalesce(rules, F.lit("")))
+    return F.coalesce(*[F.when(said.contains(word), F.lit(text)) for word, text in REVIEW_ACTIONS.items() if word], F.lit(REVIEW_ACTIONS[""]))
+
+
+def risk_explanation(rules: Column, relationships: Column, sources: Column, cross_source: Column, top_marker: Column) -> Column:
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    count = lambda name, c: F.when(c > 0, F.concat(F.lit(f"{name}: "), c.cast("string")))
+    parts = F.concat_ws(" | ", F.concat(F.lit("Markers: "), filled(rules)), count("Relationships", relationships), count("Sources", sources), F.when(cross_source, "Cross-source correlation detected"), F.concat(F.lit("Top marker: "), filled(top_marker)))
+    return F.coalesce(F.nullif(parts, F.lit("")), F.lit("Rule-based lead generated for manual review."))
 
 
 def most_common(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

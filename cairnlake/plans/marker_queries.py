@@ -310,13 +310,29 @@ def weighted_score_bands(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(score, 4).alias("score"), scores.banded(score, scores.MATCH_BANDS, "REJECTED").alias("decision"), scores.explain_flags(flags).alias("why"))
 
 
-@R.query("""
-WITH per AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS kinds, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY o_custkey)
-SELECT o_custkey, CASE WHEN kinds >= 3 THEN 'CROSS_SOURCE' WHEN states >= 3 THEN 'MULTIPLE_MARKERS' WHEN n >= 10 THEN 'DENSE_NETWORK' WHEN n >= 5 THEN 'TEMPORAL_CLUSTER' WHEN states >= 1 THEN 'SINGLE_MARKER' ELSE 'CONTEXT_ONLY' END AS lead_type,
-  concat_ws(', ', CASE WHEN states > 0 THEN states || ' markers' END, CASE WHEN kinds > 1 THEN kinds || ' sources' END, CASE WHEN n > 0 THEN n || ' relationships' END) AS why FROM per""")
+_LEAD_KINDS = "(VALUES (0, 'address'), (1, 'Property'), (2, 'phone'), (3, 'email'), (4, 'website'), (5, 'business'), (6, 'person'), (7, 'officer')) AS kinds(k, entity_type)"
+
+
+@R.query(f"""
+WITH per AS (SELECT c_custkey, entity_type, count(*) FILTER (o_orderstatus = 'P') AS matches, count(o_orderkey) AS events, coalesce(string_agg(DISTINCT CASE WHEN o_totalprice > 450000 THEN 'shared_phone' END, '|'), '') AS markers
+  FROM customer JOIN {_LEAD_KINDS} ON k = c_custkey % 8 LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+typed AS (SELECT *, CASE WHEN matches > 0 THEN 'CROSS_SOURCE_CLUSTER' WHEN entity_type = 'address' THEN 'ADDRESS_CLUSTER' WHEN entity_type = 'Property' THEN 'PROPERTY_CLUSTER' WHEN entity_type IN ('phone', 'email', 'website') THEN 'COMMUNICATION_CLUSTER'
+  WHEN entity_type = 'business' THEN 'BUSINESS_CLUSTER' WHEN events >= 5 THEN 'TEMPORAL_CLUSTER' ELSE 'ENTITY' END AS lead_type FROM per)
+SELECT c_custkey, lead_type, CASE WHEN lead_type = 'ADDRESS_CLUSTER' OR entity_type = 'address' THEN 'Verify whether the address' WHEN lead_type = 'PROPERTY_CLUSTER' OR entity_type = 'Property' THEN 'Compare parcel owner, mail' WHEN lead_type = 'COMMUNICATION_CLUSTER' OR markers <> '' THEN 'Review all entities sharin'
+    WHEN lead_type = 'TEMPORAL_CLUSTER' THEN 'Review formation, filing, ' WHEN lead_type = 'CROSS_SOURCE_CLUSTER' THEN 'Compare records across ind' ELSE 'Review the primary entity,' END AS review, events * 10 < 60 AS validate,
+  coalesce(nullif(concat_ws(' | ', 'Rules: ' || nullif(markers, ''), CASE WHEN events > 0 THEN 'Matched ' || events || ' anomaly findings' END), ''), 'High-risk entity identified by rule-based scoring') AS why,
+  coalesce(nullif(concat_ws(' | ', 'Markers: ' || nullif(markers, ''), CASE WHEN events > 0 THEN 'Relationships: ' || events END, CASE WHEN matches > 0 THEN 'Sources: ' || matches END, CASE WHEN matches > 1 THEN 'Cross-source correlation detected' END, 'Top marker: ' || nullif(markers, '')), ''),
+    'Rule-based lead generated for manual review.') AS explanation FROM typed""")
 def lead_types(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderpriority").alias("kinds"), F.countDistinct("o_orderstatus").alias("states"))
-    return per.select("o_custkey", leads.lead_type(F.col("kinds"), F.col("states"), F.col("n"), F.col("n")).alias("lead_type"), leads.why_flagged(F.col("states"), F.col("kinds"), F.col("n")).alias("why"))
+    """Kinds, recommendations and texts of a lead per customer, whose type goes by key and whose orders are its events."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("matches"), F.count(F.lit(1)).alias("events"), F.max(F.when(F.col("o_totalprice") > 450000, "shared_phone")).alias("markers"))
+    kinds = spark.sql(f"SELECT * FROM {_LEAD_KINDS}")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 8).alias("k")).join(kinds, "k").join(orders, "c_custkey", "left").na.fill(0).na.fill("", ["markers"])
+    rows = rows.withColumn("lead_type", leads.lead_type(F.col("entity_type"), F.col("matches"), F.col("events")))
+    said = leads.recommendation(F.col("lead_type"), F.col("entity_type"), F.col("markers"), F.col("events") * 10)
+    why = leads.why_flagged(F.col("markers"), F.lit(None).cast("string"), F.col("events"))
+    explained = leads.risk_explanation(F.col("markers"), F.col("events"), F.col("matches"), F.col("matches") > 1, F.col("markers"))
+    return rows.select("c_custkey", "lead_type", F.substring(said, 1, 26).alias("review"), said.endswith(leads.VALIDATE_FIRST).alias("validate"), why.alias("why"), explained.alias("explanation"))
 
 
 @R.query("""

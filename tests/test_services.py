@@ -150,6 +150,7 @@ def test_bulk_filters_reach_the_scan(spark, file):
     rows = spark.read.option("header", True).csv(file)
     for condition in bulk.wanted({"postal_prefix": "336", "enumeration_type": "NPI-2"}):
         rows = rows.where(condition)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     pushed = rows._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1]
     assert "StringStartsWith" in pushed and "EqualTo(Entity Type Code,2)" in pushed and "IsNotNull(NPI)" in pushed
 
