@@ -226,15 +226,21 @@ def match_ladder(spark, sf_dir):
 _PEOPLE = """SELECT 'x:' || c_custkey AS entity_id, CASE c_custkey % 3 WHEN 0 THEN 'business' ELSE 'person' END AS entity_type, CASE c_custkey % 3 WHEN 0 THEN 'FIRM ' || (c_custkey % 100) || ' LLC' ELSE 'ANN' || (c_custkey % 70) || ' LEE' || (c_custkey % 70) END AS display_name, c_mktsegment AS source_name FROM {customer}"""
 
 
-@R.query(f"""WITH e AS ({_PEOPLE.format(customer="customer")}), n AS (SELECT *, replace(display_name, ' LLC', '') AS name, 'p' || (substr(entity_id, 3)::BIGINT // 200) AS phone FROM e)
-SELECT entity_id, min(entity_id) OVER (PARTITION BY entity_type, name, phone) AS cluster, count(*) OVER (PARTITION BY entity_type, name, phone) > 1 AS merged FROM n""")
-def resolved_entities(spark, sf_dir):
-    """Names merge where they share a phone, which goes by ranges of keys: blocks, evidence, decisions and clusters from raw rows."""
+def people_and_phones(spark, sf_dir):
+    """(people, phones, edges between them)."""
     customers = table(spark, sf_dir, "customer")
     people = spark.sql(_PEOPLE, customer=customers)
     phone = F.concat(F.lit("ph:305555"), F.lpad((F.floor(F.col("c_custkey") / 200)).cast("string"), 4, "0"))
     edges = customers.select(F.concat(F.lit("x:"), "c_custkey").alias("src"), phone.alias("dst"), F.lit("USES_PHONE").alias("kind"), F.lit(1.0).alias("confidence"), F.lit("s").alias("source_name"))
     phones = edges.select(F.col("dst").alias("entity_id"), F.lit("phone").alias("entity_type"), F.regexp_replace("dst", "^ph:", "").alias("display_name"), F.lit("s").alias("source_name")).distinct()
+    return people, phones, edges
+
+
+@R.query(f"""WITH e AS ({_PEOPLE.format(customer="customer")}), n AS (SELECT *, replace(display_name, ' LLC', '') AS name, 'p' || (substr(entity_id, 3)::BIGINT // 200) AS phone FROM e)
+SELECT entity_id, min(entity_id) OVER (PARTITION BY entity_type, name, phone) AS cluster, count(*) OVER (PARTITION BY entity_type, name, phone) > 1 AS merged FROM n""")
+def resolved_entities(spark, sf_dir):
+    """Names merge where they share a phone, which goes by ranges of keys: blocks, evidence, decisions and clusters from raw rows."""
+    people, phones, edges = people_and_phones(spark, sf_dir)
     found = resolution.resolve_graph(people.unionByName(phones), edges).aliases
     return found.where(F.col("entity_id").startswith("x:")).select("entity_id", "cluster", (F.col("method") != "identity").alias("merged"))
 
