@@ -18,11 +18,10 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, table
@@ -42,34 +41,87 @@ BLOCKS = frozenset(
 )
 
 
-class SequenceParser(HTMLParser):
+#: The name of a tag, one attribute with what stands before it, and the end of a tag.
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:'([^']*)'|"([^"]*)"|(?!['"])([^\s>]*)))?""")
+OPEN_QUOTE = re.compile(r"""\s*=\s*['"]""")
+TAG_END = re.compile(r"[\s/]*>")
+#: Elements whose content is text up to their end tag.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
+
+
+class SequenceParser:
     """Collects elements in document order. A caption belongs to every medium of its figure, before or after it.
 
-    Any text parses: an end tag closes whatever was left open inside its element, one without an open element is
-    ignored, and the end of the text closes the rest, so captions and figures end where what holds them ends.
+    Any text parses, in time linear in its length: an end tag closes whatever was left open inside its element, one
+    without an open element is ignored, and the end of the text closes the rest, so captions and figures end where what
+    holds them ends. A tag, a quoted value or a comment that the text doesn't end takes the rest of the text with it, as
+    browsers have it, so nothing is looked for twice.
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.text: list[str] = []
         self.open: list[str] = []
         self.count: Counter[str] = Counter()
         self.hidden = 0
         self.figures: list[dict] = []
-        #: Open captions, the innermost last: what is said goes to it.
+        #: Open captions, the innermost last, and what is said in those of figures that are shown.
         self.captions: list[tuple[dict, list[str]] | None] = []
-
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """``<![`` begins a comment that ends at the next ``>``, as browsers read it; the base class refuses some."""
-        return self.rawdata.find(">", i) + 1 or -1
+        self.told: list[list[str]] = []
+
+    def feed(self, html: str) -> None:
+        i, n = 0, len(html)
+        while i < n:
+            at = html.find("<", i)
+            at = n if at < 0 else at
+            if at > i:
+                self.handle_data(unescape(html[i:at]))
+            if at == n:
+                return
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 2)
+                i = end + 3 if end >= 0 else n
+            elif html.startswith(("<!", "<?"), at):
+                end = html.find(">", at)
+                i = end + 1 if end >= 0 else n
+            elif name := NAME.match(html, at + 2) if html.startswith("</", at) else None:
+                end = html.find(">", name.end())
+                if end < 0:
+                    return
+                self.handle_endtag(name[0].lower())
+                i = end + 1
+            elif name := NAME.match(html, at + 1):
+                i = self.tag(html, name)
+            else:
+                self.handle_data("<")
+                i = at + 1
+
+    def tag(self, html: str, name: re.Match) -> int:
+        """Where the text goes on after a start tag, and after what a script or a style holds."""
+        tag, i, attrs = name[0].lower(), name.end(), []
+        while not (end := TAG_END.match(html, i)):
+            found = ATTRIBUTE.match(html, i)
+            if not found or OPEN_QUOTE.match(html, found.end()):
+                return len(html)
+            value = next((v for v in found.groups()[1:] if v is not None), None)
+            attrs.append((found[1].lower(), value and unescape(value)))
+            i = found.end()
+        if end[0].endswith("/>"):
+            self.handle_startendtag(tag, attrs)
+            return end.end()
+        self.handle_starttag(tag, attrs)
+        if tag not in RAW:
+            return end.end()
+        closed = RAW[tag].search(html, end.end())
+        return closed.start() if closed else len(html)
 
     def said(self) -> list[str]:
-        return next((c[1] for c in reversed(self.captions) if c), self.text)
+        return self.told[-1] if self.told else self.text
 
     def flush(self) -> None:
         """A block begins or ends: words before and after it are apart."""
-        if any(self.captions):
+        if self.told:
             self.said().append(" ")
             return
         said = " ".join("".join(self.text).split())
@@ -89,6 +141,8 @@ class SequenceParser(HTMLParser):
             self.figures.append({"media": [], "caption": None})
         elif tag == "figcaption":
             self.captions.append((self.figures[-1], []) if self.figures and not self.hidden else None)
+            if self.captions[-1]:
+                self.told.append(self.captions[-1][1])
         elif tag in MEDIA and not self.hidden:
             named = dict(attrs)
             src = named.get("src")
@@ -120,6 +174,8 @@ class SequenceParser(HTMLParser):
             self.flush()
         if tag == "figcaption":
             caption = self.captions.pop()
+            if caption:
+                self.told.pop()
             if caption and caption[0]["caption"] is None:
                 caption[0]["caption"] = " ".join("".join(caption[1]).split())
         elif tag == "figure":
@@ -133,7 +189,6 @@ class SequenceParser(HTMLParser):
             self.said().append(data)
 
     def finish(self) -> list[dict]:
-        self.close()
         while self.open:
             self.end_innermost()
         self.flush()
@@ -219,6 +274,17 @@ def media_features(media: DataFrame) -> DataFrame:
     return map_rows(media.select("digest", "media"), rows, FEATURES)
 
 
+def media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of every page: how many elements, texts, media and captions, and a digest of them all in order."""
+    elements = F.col("elements")
+    n = lambda condition: F.size(F.filter(elements, condition)).cast("long")
+    told = F.transform(elements, lambda e: F.concat_ws("|", e["kind"], F.coalesce(e["text"], e["src"]), F.coalesce(e["caption"], F.lit(""))))
+    return parse_sequences(table(spark, sf_dir, "pages")).select(
+        F.col("doc_id").alias("page_id"), F.size(elements).cast("long").alias("n_elements"), n(lambda e: e["kind"] == "text").alias("n_texts"), n(lambda e: e["kind"] == "media").alias("n_media"), n(lambda e: e["caption"].isNotNull()).alias("n_captions"),
+        F.sha2(F.array_join(told, "\n").cast("binary"), 256).alias("sequence_sha256"),
+    )
+
+
 def op1_media(spark, sf_dir: str) -> DataFrame:
     held = stored(encode_texts(table(spark, sf_dir, "documents")), "media")
     shown = resolve(parse_sequences(held, "doc_id", "html"), media_features(held)).where("kind = 'media'")

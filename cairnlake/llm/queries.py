@@ -7,7 +7,7 @@ from .chat import OP3_SQL, op3_chat
 from .lexical import OP13_SQL, op13_lexical
 from .licenses import op2_licenses
 from .linededup import OP12_SQL, op12_lines
-from .media import op1_media
+from .media import media_sequences, op1_media
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import OP10_SQL, op10_minhash
 from .neighbours import op9_neighbours
@@ -30,6 +30,7 @@ QUERIES = {
     "op11_alignment": op11_alignment,
     "op12_lines": op12_lines,
     "op13_lexical": op13_lexical,
+    "media_sequences": media_sequences,
 }
 
 ORACLE_SQL = {

@@ -68,6 +68,27 @@ def test_long_nests_take_linear_time():
     assert time.process_time() - began < 60
 
 
+@pytest.mark.parametrize("html", [
+    "<figcaption>" * 80_000, "<figure>" + "<figcaption>" * 80_000, "<a" * 500_000, "<!--" * 250_000, "<a href='" * 110_000, '<a b="' * 170_000, "<a " * 330_000 + ">", "<!" * 500_000, "</" * 500_000, "</a" * 330_000,
+    "<script>" * 120_000, "<" * 1_000_000, "<a b=" * 200_000, "<p <p" * 200_000 + ">", "&" * 1_000_000, "&#x" * 330_000, "<a/" * 330_000, "<a\t=" * 250_000, "<style></style" * 70_000, "<![CDATA[" * 110_000, "<figure><img src=a><figcaption>x" * 30_000,
+], ids=range(21))
+def test_a_megabyte_of_anything_takes_seconds(html):
+    began = time.process_time()
+    media.sequence_of(html)
+    assert time.process_time() - began < 4
+
+
+UNFINISHED = {
+    "a<b": ["a"], "a< b": ["a< b"], "a<!-- b": ["a"], "a<img src='x": ["a"], "a<img src=x": ["a"], "a</p": ["a"], "a<!x": ["a"], "a<script>b": ["a"], "a<script>b</script >c": ["ac"], "<style>a</STYLE>b": ["b"], "<script>a</scripts>b</script>c": ["c"],
+    "<img alt='>' src='x&amp;y'>": [("x&y", ">")], "<IMG SRC=x/y ALT>": [("x/y", None)], "<img / src = x / alt=b/>": [("x", "b/")], "a<!-->b": ["ab"], "1 < 2 &lt; 3": ["1 < 2 < 3"], "<img src=''>a": ["a"],
+}
+
+
+@pytest.mark.parametrize("html", UNFINISHED)
+def test_tags(html):
+    assert [e["text"] or (e["src"], e["caption"]) for e in media.sequence_of(html)] == UNFINISHED[html]
+
+
 def visible(html):
     """The words outside tags by substitution: hidden elements go, block tags part words, others don't."""
     html = re.sub(r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>", "", html)
@@ -121,3 +142,15 @@ def test_payloads_round_trip(spark, docs, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert media.op1_media(spark, str(tmp_path)).count() == 0
+
+
+def test_every_page_has_its_sequence(spark, tmp_path):
+    rows = [(1, "<p>one<figure><img src=a alt=b><figcaption>cap</figcaption></figure>two"), (2, None), (3, ""), (None, "<img src=x>"), (4, "w " * 200_000), (1, "again")]
+    spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, html string, elements string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(str, map(tuple, media.media_sequences(spark, str(tmp_path)).collect())))
+    want = []
+    for i, html in rows:
+        es = media.sequence_of(html or "")
+        told = "\n".join(f"{e['kind']}|{e['text'] or e['src']}|{e['caption'] or ''}" for e in es)
+        want.append((i, len(es), sum(e["kind"] == "text" for e in es), sum(e["kind"] == "media" for e in es), sum(e["caption"] is not None for e in es), hashlib.sha256(told.encode()).hexdigest()))
+    assert got == sorted(map(str, want))
