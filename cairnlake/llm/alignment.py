@@ -87,8 +87,7 @@ class Pieces:
         """A segment that begins with a blank loses it to the model's own; before another, the model's own goes."""
         blank = [s.startswith(" ") for s in segments]
         got = self.model.encode([s[1:] if b else s for s, b in zip(segments, blank, strict=True)], num_threads=1)
-        # Nothing but a blank at all has no tokens in the model.
-        return [(ids or self.model.encode(s)) if b else ids[1:] for ids, s, b in zip(got, segments, blank, strict=True)]
+        return [ids if b else ids[1:] for ids, b in zip(got, blank, strict=True)]
 
 
 def _place(name: str) -> str:

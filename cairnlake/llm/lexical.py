@@ -3,7 +3,7 @@
 ``build_index`` turns documents into shards of about ``SHARD_BYTES`` of text. A shard is one row: the ids of its
 documents, its terms in order, where each term's postings begin, and the postings themselves - a document's ordinal in
 the shard and its integer impact, which holds all of a score but the term's weight. Impacts need the corpus's number of
-documents and of terms, which one pass of built-in functions counts first. The index is an ordinary table of all terms
+documents and of terms, which a pass before counts. The index is an ordinary table of all terms
 and serves any number of searches.
 
 ``search`` takes the queries in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_TERMS`` terms, so what a task gets
@@ -61,9 +61,20 @@ def terms_of(text: str | bytes | None) -> list[bytes]:
 
 def collection_size(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and their terms with repeats."""
-    n = F.regexp_count(F.col("text"), F.lit(TERM)).cast("long")
-    got = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-    return got[0], got[1] or 0
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs = n_terms = 0
+        for batch in batches:
+            for piece in pieces_of(batch):
+                lengths = [len(terms_of(text)) for text in piece.column(0).to_pylist()]
+                n_docs += sum(map(bool, lengths))
+                n_terms += sum(lengths)
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms])], names=["docs", "terms"])
+        released()
+
+    texts = docs.select(F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    got = texts.mapInArrow(counted, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return got[0] or 0, got[1] or 0
 
 
 def impacts_of(tf: np.ndarray, length_measure: np.ndarray) -> np.ndarray:
