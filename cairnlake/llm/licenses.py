@@ -22,6 +22,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,26 +75,36 @@ def words_in(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
+def costs(want: list[str], have: list[str]) -> np.ndarray:
+    """[i, j]: the fewest changed words that make the first ``i`` of ``want`` out of words that end with the first ``j`` of ``have``."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(want))}
+    codes, steps = np.array([number.get(w, -1) for w in have], np.int32), np.arange(len(have) + 1)
+    unlike = [(codes != k).astype(np.int32) for k in range(len(number))]
+    out = np.zeros((len(want) + 1, len(have) + 1), np.int32)
+    for i, w in enumerate(want):
+        above, row = out[i], out[i + 1]
+        row[0] = i + 1
+        np.minimum(above[:-1] + unlike[number[w]], above[1:] + 1, out=row[1:])
+        # A word of the text that is left out costs one more than the place before it.
+        np.add(np.minimum.accumulate(row - steps), steps, out=row)
+    return out
+
+
 def aligned(want: list[str], have: list[str]) -> tuple[int, int, int, list[tuple[int, int, int, int]]]:
     """(first, last, n, changes): the stretch of ``have`` that takes fewest changed words to become ``want``.
 
     ``changes`` are (a, b, c, d): ``want[a:b]`` stands where the text has ``have[c:d]``. Words are replaced rather than
     left out, also at the ends.
     """
-    cost = [[0] * (len(have) + 1)]
-    for i, w in enumerate(want):
-        above, row = cost[-1], [i + 1]
-        for j, h in enumerate(have):
-            row.append(min(above[j] + (w != h), above[j + 1] + 1, row[j] + 1))
-        cost.append(row)
-    n = min(cost[-1])
-    last = max(j for j, c in enumerate(cost[-1]) if c == n)
+    cost = costs(want, have)
+    n = int(cost[-1].min())
+    last = int(np.flatnonzero(cost[-1] == n)[-1])
     i, j, changes = len(want), last, []
     while i:
-        c = cost[i][j]
-        if j and c == cost[i - 1][j - 1] + (want[i - 1] != have[j - 1]):
+        c = cost[i, j]
+        if j and c == cost[i - 1, j - 1] + (want[i - 1] != have[j - 1]):
             a, b = i - 1, j - 1
-        elif c == cost[i - 1][j] + 1:
+        elif c == cost[i - 1, j] + 1:
             a, b = i - 1, j
         else:
             a, b = i, j - 1

@@ -1,11 +1,12 @@
 import random
+import time
 
 import pytest
 import zstandard
 
+from cairnlake.llm import licenses
 from cairnlake.llm.licenses import LEAST_GAIN, MOST_DIFFERENT, TEMPLATES, Scanner, scan_licenses, words_in
 
-
 #: Those that brute force can go through.
 SHORT = {name: text for name, text in TEMPLATES.items() if len(text.split()) < 30}
 
@@ -137,3 +138,25 @@ def test_whole_texts_are_found_with_words_changed():
         text = "# " + "\n# ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
         (hit,) = scan(f"Some header words\n{text}\nint main() {{ return 0; }}")
         assert hit[2] == name and hit[4] == len(range(7, len(words), 11))
+
+
+def test_costs_are_those_of_the_plain_recurrence():
+    draw = random.Random(4)
+    for _ in range(60):
+        want, have = draw.choices("abcd", k=draw.randint(1, 12)), draw.choices("abcde", k=draw.randint(0, 15))
+        plain = [[0] * (len(have) + 1)]
+        for i, w in enumerate(want):
+            row = [i + 1]
+            for j, h in enumerate(have):
+                row.append(min(plain[-1][j] + (w != h), plain[-1][j + 1] + 1, row[j] + 1))
+            plain.append(row)
+        assert licenses.costs(want, have).tolist() == plain
+
+
+def test_whole_licenses_take_moments():
+    mit = licenses.TEMPLATES[next(n for n, t in licenses.TEMPLATES.items() if t.startswith("Permission is hereby granted"))]
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    scanner.scan(mit)
+    began = time.process_time()
+    found = scanner.scan(" own words between ".join([mit] * 20))
+    assert len(found) >= 20 and time.process_time() - began < 6
