@@ -161,18 +161,71 @@ def provider_matches(providers: DataFrame, registry: DataFrame) -> DataFrame:
     return out.where(~((F.col("decision") == "REJECTED") & (F.col("scope") == "INCOMPLETE") & ~F.col("same_name"))).select("npi", "entity_id", "scope", F.round("exact_score", 4).alias("score"), "decision")
 
 
+#: Weights of parcel evidence by an owner's name and by an address, summed in these orders; kinds of edges; what a match is called.
+OWNER_WEIGHTS = {"exact_person_name": 0.16, "exact_business_name": 0.18, "multiple_sources": 0.12, "common_name": -0.16, "missing": -0.12}
+PLACE_WEIGHTS = {"exact_address": 0.34, "exact_unit": 0.12, "building_only": 0.08, "mailing_only": 0.04, "association_bonus": 0.22, "multiple_sources": 0.12, "po_box": -0.28, "missing": -0.12}
+SITUS, PARCEL_MAILING, OWNED = "PROPERTY_HAS_SITUS_ADDRESS", "PROPERTY_HAS_MAILING_ADDRESS", "PROPERTY_OWNED_BY"
+ACCEPTED, PLACED = ("ACCEPTED_EXACT", "REVIEW_STRONG"), ("EXACT_UNIT", "EXACT_BUILDING", "MAILING_ONLY")
+
+
+def registry_match_type(organization: Column, mailing: Column, entity_type: Column) -> Column:
+    """What a provider's match with a registry entity is called."""
+    return (
+        F.when((entity_type == "address") & ~mailing, "NPI_PRACTICE_ADDRESS_TO_SUNBIZ_PRINCIPAL_ADDRESS")
+        .when(entity_type == "address", "NPI_MAILING_ADDRESS_TO_SUNBIZ_MAILING_ADDRESS")
+        .when(organization & (entity_type == "business"), "NPI_ORGANIZATION_TO_SUNBIZ_BUSINESS")
+        .when(~organization & (entity_type == "officer"), "NPI_PROVIDER_NAME_TO_SUNBIZ_OFFICER")
+        .when(~organization & (entity_type == "registered_agent"), "NPI_AUTHORIZED_OFFICIAL_TO_SUNBIZ_OFFICER")
+        .otherwise("NPI_ORGANIZATION_ADDRESS_TO_REGISTERED_AGENT_ADDRESS")
+    )
+
+
 def parcel_matches(providers: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """(npi, property_id, via) of providers (npi, name, address): two hops, from an address or an owner that is the provider's to the properties at its edges.
+    """(npi, parcel_id, property_id, match_id, match_type, scope, confidence, decision) of providers (npi, name, address[, organization]) and parcels.
 
-    ``entities`` (entity_id, entity_type, display_name) and ``edges`` (src, dst) are the parcels'.
+    ``entities`` (entity_id, entity_type, display_name) and ``edges`` (relationship_id, src, dst, kind) are the parcels'.
+    Two hops, both equi-joins: from a parcel's address that is the provider's, or an owner of its name, to the edges there.
+    An owner's edge counts for the name alone; an address's for how the two addresses match.
     """
-    place, person = X.address_line(F.col("display_name")), X.person_name(F.col("display_name"))["full"]
-    known = entities.where(F.col("entity_type").isin("address", "owner")).select("entity_id", F.col("entity_type").alias("via"), F.nullif(F.when(F.col("entity_type") == "address", place).otherwise(person), F.lit("")).alias("value"))
-    asked = F.explode(F.array(F.struct(F.lit("address").alias("via"), X.address_line(F.col("address")).alias("value")), F.struct(F.lit("owner").alias("via"), X.person_name(F.col("name"))["full"].alias("value")))).alias("a")
-    ends = providers.select("npi", asked).select("npi", "a.*").join(known, ["via", "value"])
-    incident = edges.select(F.col("src").alias("entity_id"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("entity_id"), F.col("src").alias("other")))
-    properties = entities.where("entity_type = 'property'").select(F.col("entity_id").alias("other"))
-    return ends.join(incident, "entity_id").join(properties, "other", "left_semi").select("npi", F.col("other").alias("property_id"), "via").distinct()
+    firm = F.coalesce("organization", F.lit(True)) if "organization" in providers.columns else F.lit(True)
+    known_name = F.nullif(F.when(firm, X.business_name(F.col("name"))).otherwise(X.person_name(F.col("name"))["full"]), F.lit(""))
+    ours = providers.select("npi", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("address", F.lit("")).alias("address"), firm.alias("firm"), known_name.alias("own_name"))
+    common = providers.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg((F.count(F.lit(1)) > 1).alias("common"))
+    ours = ours.join(common, "name")
+    line, person = X.address_line(F.col("display_name")), X.person_name(F.col("display_name"))["full"]
+    known = entities.where(F.col("entity_type").isin("address", "owner")).select("entity_id", F.concat_ws(":", "entity_type", F.nullif(F.when(F.col("entity_type") == "address", line).otherwise(person), F.lit(""))).alias("key")).where("key LIKE '%:%'")
+    keys = F.array_compact(F.array(F.concat(F.lit("address:"), F.nullif(X.address_line(F.col("address")), F.lit(""))), F.concat(F.lit("owner:"), F.col("own_name"))))
+    ends = ours.withColumn("key", F.explode(keys)).join(known, "key").drop("key")
+    at = F.explode(F.array_distinct(F.array("src", "dst"))).alias("entity_id")
+    incident = edges.where(F.col("kind").isin(SITUS, PARCEL_MAILING, OWNED)).select(at, "relationship_id", "src", "dst", "kind")
+    met = ends.join(incident, "entity_id").drop("entity_id").distinct()
+    named = entities.select(F.col("entity_id").alias("dst"), F.col("display_name").alias("said"))
+    rows = met.join(named, "dst", "left").withColumn("said", F.coalesce("said", F.when(F.col("kind") == OWNED, F.col("dst")).otherwise("")))
+    blank_name, blank_place = F.col("name") == "", (F.col("address") == "") | (F.col("said") == "")
+    owned = rows.where(F.col("kind") == OWNED).where(F.col("own_name") == X.person_name(F.col("said"))["full"])
+    by_name = scores.weighted_flags({"exact_person_name": ~F.col("firm"), "exact_business_name": F.col("firm"), "multiple_sources": F.lit(True), "common_name": F.col("common"), "missing": blank_name}, OWNER_WEIGHTS)
+    owned = owned.withColumns({"scope": F.lit("INCOMPLETE"), "score": by_name, "lacking": blank_name, "match_type": F.when(F.col("firm"), "ORGANIZATION_NAME_TO_PARCEL_OWNER").otherwise("PROVIDER_NAME_TO_PARCEL_OWNER")})
+    situs = F.col("kind") == SITUS
+    placed = rows.where(F.col("kind") != OWNED).withColumn("scope", address_scope(place(F.col("address")), place(F.col("said")), ~situs))
+    exact = F.col("scope").isin("EXACT_UNIT", "EXACT_BUILDING") & situs
+    is_scope = lambda name: F.col("scope") == name
+    flags = {"exact_address": exact, "exact_unit": is_scope("EXACT_UNIT"), "building_only": is_scope("EXACT_BUILDING"), "mailing_only": is_scope("MAILING_ONLY"), "association_bonus": exact, "multiple_sources": F.lit(True), "po_box": is_scope("PO_BOX"), "missing": blank_place}
+    placed = placed.withColumns({"score": scores.weighted_flags(flags, PLACE_WEIGHTS), "lacking": blank_place, "match_type": F.when(situs, "PROVIDER_PRACTICE_ADDRESS_TO_PARCEL_SITUS").otherwise("PROVIDER_MAILING_ADDRESS_TO_PARCEL_MAILING")})
+    decided = F.when(F.col("lacking"), "INSUFFICIENT_DATA").otherwise(scores.banded(F.col("score"), scores.MATCH_BANDS, "REJECTED"))
+    out = owned.unionByName(placed).withColumn("decision", decided).where(~((F.col("kind") != OWNED) & (F.col("decision") == "REJECTED") & is_scope("INCOMPLETE")))
+    out = out.withColumn("parcel_id", F.regexp_replace("src", "property:", ""))
+    match_id = F.concat_ws(":", F.lit("nppes-parcel"), F.col("npi").cast("string"), "parcel_id", "match_type")
+    return out.select("npi", "parcel_id", F.col("src").alias("property_id"), match_id.alias("match_id"), "match_type", "scope", F.round("score", 4).alias("confidence"), "decision").distinct()
+
+
+def three_source_paths(registry: DataFrame, parcels: DataFrame) -> DataFrame:
+    """(path_id, npi, entity_id, property_id, confidence, decision) of both legs (npi, id, scope, score or confidence, decision): each has to be placed and accepted."""
+    sure = lambda rows, c: rows.where(F.col("decision").isin(*ACCEPTED) & F.col("scope").isin(*PLACED)).withColumnRenamed(c, "sure")
+    left = sure(registry, "score").groupBy("npi", "entity_id").agg(F.max("sure").alias("s1"))
+    right = sure(parcels, "confidence").groupBy("npi", "property_id").agg(F.max("sure").alias("s2"))
+    confidence = F.round(F.least("s1", "s2"), 4)
+    path_id = F.concat_ws(":", F.lit("nppes-path"), F.col("npi").cast("string"), F.col("entity_id").cast("string"), "property_id")
+    return left.join(right, "npi").select(path_id.alias("path_id"), "npi", "entity_id", "property_id", confidence.alias("confidence"), F.when(confidence >= 0.9, "ACCEPTED_EXACT").otherwise("REVIEW_STRONG").alias("decision"))
 
 
 def taxonomy_text(taxonomies: DataFrame, most: int = 3) -> DataFrame:
@@ -181,13 +234,6 @@ def taxonomy_text(taxonomies: DataFrame, most: int = 3) -> DataFrame:
     return first.select("npi", F.array_join(F.transform(F.slice("all", 1, most), lambda x: x["description"]), "|").alias("taxonomy"))
 
 
-def paths(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Two-leg paths over ``key`` from frames (key, ``left``/``right``, score): the confidence is that of the weaker leg."""
-    out = first.select(key, "left", F.col("score").alias("s1")).join(second.select(key, "right", F.col("score").alias("s2")), key)
-    confidence = F.least("s1", "s2")
-    return out.select(key, "left", "right", confidence.alias("confidence"), F.when(confidence >= 0.9, "ACCEPTED").otherwise("REVIEW_STRONG").alias("decision"))
-
-
 def agent_context(edges: DataFrame) -> DataFrame:
     """Per end of an edge of (src, dst, kind, record): agencies, agents' addresses, other edges, and record prefixes; five agencies make a likely service."""
     ends = edges.select(F.col("src").alias("entity_id"), "dst", "kind", "record").unionByName(edges.where("src <> dst").select(F.col("dst").alias("entity_id"), "dst", "kind", "record"))

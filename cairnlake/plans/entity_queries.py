@@ -304,7 +304,11 @@ SELECT match_id, scope, frequency::BIGINT AS frequency, decision, CASE WHEN reda
   WHEN scope = 'EXACT_UNIT' THEN CASE WHEN frequency >= 2 THEN 0.82 ELSE 0.97 END WHEN scope = 'EXACT_BUILDING' THEN CASE WHEN frequency >= 2 THEN 0.72 ELSE 0.8 END WHEN scope IN ('GENERALIZED', 'MAILING_ONLY') THEN CASE WHEN frequency >= 2 THEN 0.42 ELSE 0.5 END ELSE CASE WHEN frequency >= 2 THEN 0.3 ELSE 0.36 END END::DOUBLE AS confidence,
   person AND NOT redacted AND NOT incomplete AND frequency >= 2 AS downgraded FROM d""")
 def registry_decisions(spark, sf_dir):
+    return registry_matches(spark, sf_dir).select("match_id", "scope", "frequency", "decision", "confidence", "downgraded")
+
+
+def registry_matches(spark, sf_dir):
     rows = spark.sql(_REGISTRY, customer=table(spark, sf_dir, "customer"))
     matches = rows.select("match_id", "method", F.col("entity_id").alias("left_id"), F.col("parcel_id").alias("right_id"), F.lit("registry").alias("left_source"), F.lit("parcels").alias("right_source"))
     parcels = rows.select(F.col("parcel_id").alias("entity_id"), F.col("parcel_address").alias("address"))
-    return correlation.registry_matches(matches, rows.select("entity_id", "name", "address", "redacted", "incomplete"), parcels, "registry").select("match_id", "scope", "frequency", "decision", "confidence", "downgraded")
+    return correlation.registry_matches(matches, rows.select("entity_id", "name", "address", "redacted", "incomplete"), parcels, "registry")

@@ -76,6 +76,23 @@ def analyst_history(spark, sf_dir):
     return leads.history(before, orders, "o_orderkey", "o_orderstatus")
 
 
+#: An address and a name by a key, whose form goes by the key.
+def _line(k, a, b, c, d, e):
+    return f"CASE {k} % 8 WHEN 0 THEN {k} || '{a}' WHEN 3 THEN {k} || '{b}' WHEN 4 THEN 'P O Box ' || {k} WHEN 5 THEN {k} || '{c}' WHEN 7 THEN {k} || '{d}' ELSE {k} || '{e}' END"
+
+
+def _named(k, firm, person, other):
+    return F.expr(f"CASE WHEN {k} % 8 = 6 THEN '{other} ' || {k} || ' Inc' WHEN {k} % 2 = 0 THEN 'Clinic ' || {k} || '{firm}' ELSE 'Ann{' X' if person else ''} Lee' || {k} END")
+
+
+def providers(spark, sf_dir):
+    """Suppliers as providers; firms by even keys, persons by odd."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("npi"), _named("s_suppkey", " LLC", True, "Bolt").alias("name"), F.expr(_line("s_suppkey", " Main Street, Suite 5, Miami, FL", " Main Street, Suite 5, Miami", " Oak Road, Miami", " Elm Street Apartment 2, Miami", " North Main Street, Miami, FL 33101-1234")).alias("address"),
+        F.lit(True).alias("active"), (F.col("s_suppkey") % 2 == 0).alias("organization"), (F.col("s_suppkey") % 8 == 2).alias("mailing"),
+    )
+
+
 @R.query("""
 WITH p AS (SELECT s_suppkey AS npi, s_suppkey % 8 AS form, s_suppkey % 2 = 0 AS firm FROM supplier), r AS (SELECT c_custkey AS entity_id FROM customer),
 d AS (SELECT npi, entity_id, form, firm, CASE form WHEN 0 THEN 'EXACT_UNIT' WHEN 1 THEN 'EXACT_BUILDING' WHEN 2 THEN 'MAILING_ONLY' WHEN 3 THEN 'GENERALIZED' WHEN 4 THEN 'PO_BOX' WHEN 5 THEN 'INCOMPLETE' WHEN 6 THEN 'EXACT_BUILDING' ELSE 'EXACT_UNIT' END AS scope, form <> 6 AS same_name FROM p JOIN r ON npi = entity_id),
@@ -84,16 +101,10 @@ s AS (SELECT *, (CASE WHEN same_name AND firm THEN 0.18 ELSE 0 END + CASE WHEN s
 SELECT npi, entity_id, scope, round(score, 4)::DOUBLE AS score, CASE WHEN scope = 'PO_BOX' THEN 'REJECTED' WHEN score >= 0.72 THEN 'REVIEW_STRONG' WHEN score >= 0.45 THEN 'REVIEW_WEAK' ELSE 'REJECTED' END AS decision FROM s""")
 def provider_correlation(spark, sf_dir):
     """Providers and registry rows of one key, whose names and addresses agree in eight different ways; firms by even keys, persons by odd."""
-    line = lambda k, a, b, c, d, e: f"CASE {k} % 8 WHEN 0 THEN {k} || '{a}' WHEN 3 THEN {k} || '{b}' WHEN 4 THEN 'P O Box ' || {k} WHEN 5 THEN {k} || '{c}' WHEN 7 THEN {k} || '{d}' ELSE {k} || '{e}' END"
-    named = lambda k, firm, person, other: F.expr(f"CASE WHEN {k} % 8 = 6 THEN '{other} ' || {k} || ' Inc' WHEN {k} % 2 = 0 THEN 'Clinic ' || {k} || '{firm}' ELSE 'Ann{' X' if person else ''} Lee' || {k} END")
-    providers = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("npi"), named("s_suppkey", " LLC", True, "Bolt").alias("name"), F.expr(line("s_suppkey", " Main Street, Suite 5, Miami, FL", " Main Street, Suite 5, Miami", " Oak Road, Miami", " Elm Street Apartment 2, Miami", " North Main Street, Miami, FL 33101-1234")).alias("address"),
-        F.lit(True).alias("active"), (F.col("s_suppkey") % 2 == 0).alias("organization"), (F.col("s_suppkey") % 8 == 2).alias("mailing"),
-    )
     registry = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("entity_id"), named("c_custkey", ", Inc.", False, "Nut").alias("name"), F.expr(line("c_custkey", " MAIN ST, STE 5, MIAMI, FL", " MAIN ST, STE 6, MIAMI", " Pine Road, Miami", " ELM ST APT 2, MIAMI", " N MAIN ST, MIAMI, FL 33101")).alias("address")
+        F.col("c_custkey").alias("entity_id"), _named("c_custkey", ", Inc.", False, "Nut").alias("name"), F.expr(_line("c_custkey", " MAIN ST, STE 5, MIAMI, FL", " MAIN ST, STE 6, MIAMI", " Pine Road, Miami", " ELM ST APT 2, MIAMI", " N MAIN ST, MIAMI, FL 33101")).alias("address")
     )
-    return correlation.provider_matches(providers, registry)
+    return correlation.provider_matches(providers(spark, sf_dir), registry)
 
 
 @R.query("SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")

@@ -147,8 +147,22 @@ def test_provider_matching(spark):
     registry = spark.createDataFrame([("a", "ACME CLINIC", "12 Main Street Ste 5 Miami FL 33101"), ("b", "Zeta", "12 MAIN ST MIAMI FL 33101"), ("c", "OTHER", "PO BOX 7 MIAMI FL 33101")], "entity_id string, name string, address string")
     got = {(r["npi"], r["entity_id"]): (r["scope"], r["score"], r["decision"]) for r in correlation.provider_matches(providers, registry).collect()}
     assert got[(1, "a")] == ("EXACT_BUILDING", 0.72, "REVIEW_STRONG") and got[(1, "b")] == ("EXACT_BUILDING", 0.76, "REVIEW_STRONG") and got[(2, "c")][::2] == ("PO_BOX", "REJECTED")
-    legs = spark.createDataFrame([(1, "x", 0.95)], "npi int, left string, score double"), spark.createDataFrame([(1, "y", 0.8)], "npi int, right string, score double")
-    assert tuple(correlation.paths(*legs, "npi").first()) == (1, "x", "y", 0.8, "REVIEW_STRONG")
+
+
+def test_parcels_and_three_source_paths(spark):
+    providers = spark.createDataFrame([(1, "Bay Clinic", "12 Main St Apt 5, Miami, FL", True), (2, "Ann Lee", "9 Oak Rd, Miami", False), (3, "Bay Clinic", "", True), (4, "Ann Lee", "PO Box 7", False)], "npi int, name string, address string, organization boolean")
+    entities = spark.createDataFrame([("property:P1", "property", "P1"), ("property:P2", "property", "P2"), ("a1", "address", "12 MAIN ST APT 5, MIAMI, FL"), ("a2", "address", "9 OAK RD, MIAMI"), ("a3", "address", "PO BOX 7"), ("o1", "owner", "Ann Lee"), ("o2", "owner", "Bay Clinic")], "entity_id string, entity_type string, display_name string")
+    edges = spark.createDataFrame([("r1", "property:P1", "a1", correlation.SITUS), ("r2", "property:P1", "a2", correlation.PARCEL_MAILING), ("r3", "property:P2", "a3", correlation.SITUS), ("r4", "property:P2", "o1", correlation.OWNED), ("r5", "property:P2", "a1", "OTHER")], "relationship_id string, src string, dst string, kind string")
+    legs = correlation.parcel_matches(providers, entities, edges)
+    got = {(r["npi"], r["parcel_id"], r["match_type"]): (r["scope"], r["confidence"], r["decision"]) for r in legs.collect()}
+    assert got == {
+        (1, "P1", "PROVIDER_PRACTICE_ADDRESS_TO_PARCEL_SITUS"): ("EXACT_UNIT", 0.8, "REVIEW_STRONG"), (2, "P1", "PROVIDER_MAILING_ADDRESS_TO_PARCEL_MAILING"): ("MAILING_ONLY", 0.16, "REJECTED"),
+        (4, "P2", "PROVIDER_PRACTICE_ADDRESS_TO_PARCEL_SITUS"): ("PO_BOX", 0.0, "REJECTED"), (2, "P2", "PROVIDER_NAME_TO_PARCEL_OWNER"): ("INCOMPLETE", 0.12, "REJECTED"), (4, "P2", "PROVIDER_NAME_TO_PARCEL_OWNER"): ("INCOMPLETE", 0.12, "REJECTED"),
+    }
+    registry = spark.createDataFrame([(1, "b9", "EXACT_BUILDING", 0.95, "ACCEPTED_EXACT"), (1, "b8", "INCOMPLETE", 0.95, "ACCEPTED_EXACT"), (2, "b7", "EXACT_UNIT", 0.99, "ACCEPTED_EXACT")], "npi int, entity_id string, scope string, score double, decision string")
+    assert [tuple(r) for r in correlation.three_source_paths(registry, legs).collect()] == [("nppes-path:1:b9:property:P1", 1, "b9", "property:P1", 0.8, "REVIEW_STRONG")]
+    types = spark.createDataFrame([(True, False, "business"), (False, True, "officer"), (False, False, "registered_agent"), (True, False, "address"), (True, True, "address"), (False, False, "business")], "o boolean, m boolean, t string")
+    assert [r[0].split("_TO_")[0] for r in types.select(correlation.registry_match_type(F.col("o"), F.col("m"), F.col("t"))).collect()] == ["NPI_ORGANIZATION", "NPI_PROVIDER_NAME", "NPI_AUTHORIZED_OFFICIAL", "NPI_PRACTICE_ADDRESS", "NPI_MAILING_ADDRESS", "NPI_ORGANIZATION_ADDRESS"]
 
 
 def test_csv_sources_and_connectors(spark, tmp_path):
