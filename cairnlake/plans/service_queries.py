@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairnlake.functions import parsing
 from cairnlake.operators import stats
 from cairnlake.plans.registry import Registry
 from cairnlake.sources import bulk, paged
-from cairnlake.sources.scratch import scratch_path
+from cairnlake.sources.scratch import scratch_path, stored
 from cairnlake.sources.tables import table
 
 R = Registry()
@@ -84,3 +85,53 @@ UNION ALL SELECT 'provider:nppes:' || npi, 'address:nppes:' || npi || ':mailing:
 UNION ALL SELECT 'provider:nppes:' || npi, 'taxonomy:nppes:' || upper(substr(segment, 1, 4)), 'PROVIDER_HAS_TAXONOMY' FROM last""")
 def bulk_provider_edges(spark, sf_dir):
     return bulk.bulk_edges(bulk.read_bulk(spark, _bulk_file(spark, sf_dir)).providers).select("src", "dst", "kind")
+
+
+#: Filings by customer: every sixth lacks its number, every ninth is that of the customer before; two officers, of which every fourth filing has the same one twice.
+_FILING_SQL = """WITH m AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'L' || (c_custkey - CASE WHEN c_custkey % 9 = 1 AND c_custkey > 1 AND (c_custkey - 1) % 6 <> 0 THEN 1 ELSE 0 END) END AS number, c_name, c_custkey % 4 = 0 AS twice FROM customer),
+kept AS (SELECT * FROM m WHERE number = '' UNION ALL SELECT * FROM m WHERE number <> '' QUALIFY row_number() OVER (PARTITION BY number ORDER BY k) = 1)"""
+
+
+def _filings(spark, sf_dir):
+    """Written as JSON lines, as a service would send them, and read back with the schema of filings."""
+    key = F.col("c_custkey")
+    before = F.when((key % 9 == 1) & (key > 1) & ((key - 1) % 6 != 0), 1).otherwise(0)
+    number = F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("L"), (key - before).cast("string")))
+    person = lambda name, title: F.struct(name.alias("name"), F.lit(title).alias("title"), F.lit("").alias("officer_type"), F.lit("").alias("position"), F.lit("").alias("address"))
+    first, second = person(F.concat(F.lit("Ann Lee"), key.cast("string")), "MGR"), person(F.concat(F.lit("Bo Wu"), key.cast("string")), "CEO")
+    rows = table(spark, sf_dir, "customer").select(
+        number.alias("corporation_number"), F.col("c_name").alias("corporation_name"), F.lit("ACTIVE").alias("status"), F.lpad(key.cast("string"), 12, "0").alias("file_date"), F.concat(key.cast("string"), F.lit(" Main Street")).alias("principal_address"), F.lit("").alias("mailing_address"),
+        F.struct(F.concat(F.lit("Agent "), (key % 50).cast("string")).alias("name"), F.lit("PO Box 9").alias("address")).alias("registered_agent"), F.when(key % 4 == 0, F.array(second, first, first)).otherwise(F.array(first, second)).alias("officers"),
+    )
+    path = scratch_path(spark, "filings")
+    rows.write.json(path)
+    return parsing.filings(spark.read.schema(parsing.FILING).json(path))
+
+
+@R.query(f"""{_FILING_SQL} SELECT number AS corporation_number, c_name AS corporation_name, k || ' MAIN ST' AS principal_address, 'Agent ' || (k % 50) AS agent, CASE WHEN twice THEN 3 ELSE 2 END AS officers, number = '' AS incomplete, CASE WHEN number = '' THEN 'corporation_number' ELSE '' END AS missing FROM kept""")
+def filing_rows(spark, sf_dir):
+    return _filings(spark, sf_dir).select("corporation_number", "corporation_name", "principal_address", "agent", F.size("officers").alias("officers"), "incomplete", "missing")
+
+
+_FINGERPRINT = "substr(sha256({name} || '|{title}||||' || {said}), 1, 16)"
+_ANN = _FINGERPRINT.format(name="'ANN LEE' || k", title="MGR", said="'Ann Lee' || k")
+_BO = _FINGERPRINT.format(name="'BO WU' || k", title="CEO", said="'Bo Wu' || k")
+
+
+@R.query(f"""{_FILING_SQL}, numbered AS (SELECT * FROM kept WHERE number <> '')
+SELECT number AS corporation_number, 'person:sunbiz_daily:' || number || ':officer:' || {_ANN} || ':1' AS officer_id, 'Ann Lee' || k AS name, 1::BIGINT AS nth FROM numbered
+UNION ALL SELECT number, 'person:sunbiz_daily:' || number || ':officer:' || {_ANN} || ':2', 'Ann Lee' || k, 2 FROM numbered WHERE twice
+UNION ALL SELECT number, 'person:sunbiz_daily:' || number || ':officer:' || {_BO} || ':1', 'Bo Wu' || k, 1 FROM numbered""")
+def filing_officers(spark, sf_dir):
+    return parsing.officers(_filings(spark, sf_dir)).select("corporation_number", "officer_id", "name", "nth")
+
+
+@R.query(f"""{_FILING_SQL}, numbered AS (SELECT * FROM kept WHERE number <> ''), n AS (SELECT count(*) AS n, count(*) FILTER (twice) AS t FROM numbered)
+SELECT unnest(['BUSINESS_PRINCIPAL_ADDRESS', 'BUSINESS_LOCATED_AT', 'REGISTERED_AGENT_FOR', 'REGISTERED_AGENT_ASSOCIATED_WITH_ADDRESS', 'REGISTERED_AGENT_AT_ADDRESS', 'OFFICER_OF']) AS kind, unnest([n, n, n, n, n, 2 * n + t]) AS edges, unnest([n, n, n, n, n, 2 * n + t]) AS starts, unnest([n, n, n, 1, 1, n]) AS ends FROM n""")
+def filing_edge_kinds(spark, sf_dir):
+    """The edges of all filings by kind; every end is an entity."""
+    flat = stored(_filings(spark, sf_dir), "filings")
+    known = stored(parsing.filing_entities(flat).select("entity_id"), "filing-entities")
+    of = lambda end: known.withColumnRenamed("entity_id", end)
+    tied = parsing.filing_edges(flat).join(of("src"), "src", "left_semi").join(of("dst"), "dst", "left_semi")
+    return tied.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("starts"), F.countDistinct("dst").alias("ends"))
