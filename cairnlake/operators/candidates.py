@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from cairnlake.functions import scores
 from cairnlake.functions import text as X
 from cairnlake.functions.sets import tokens
+from cairnlake.operators.leads import lead_type
 from cairnlake.operators.markers import all_tokens
 from cairnlake.sources.provenance import is_real
 
 #: Fixed values.
-LEAD_TYPES = {"address": "ADDRESS_CLUSTER", "property": "PROPERTY_CLUSTER", "phone": "COMMUNICATION_CLUSTER", "email": "COMMUNICATION_CLUSTER", "website": "COMMUNICATION_CLUSTER", "business": "BUSINESS_CLUSTER"}
 LEAST_REAL = 2
 UNKNOWN_RESOLUTION = 0.9
 CONFIDENCE_BANDS = ((0.9, "VERY_HIGH"), (0.75, "HIGH"), (0.55, "MEDIUM"), (0.35, "LOW"))
@@ -65,7 +65,8 @@ def entity_candidates(risk: DataFrame, members: DataFrame | None = None, network
         said |= {"rarity": F.col("rarity"), "rarity_level": F.col("rarity_level")}
     if "events" in risk.columns:
         said["events"] = F.col("events")
-    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LEAD_TYPES.items() for x in pair]), F.col("entity_type")), F.lit("ENTITY"))
+    known = lambda c: F.col(c) if c in risk.columns else F.lit(0)
+    kind = lead_type(F.col("entity_type"), known("matches"), known("events"))
     return _candidates(
         out, **said, **_kinds(F.col("source_type")), lead_type=kind, primary_id=F.col("entity_id"), primary_type=F.col("entity_type"), risk_score=F.col("risk_score"), markers=F.col("markers"), sources=F.col("sources"), relationships=F.col("degree"),
         resolution_confidence=F.lit(1.0), marker_confidence=F.col("mean_confidence"), density=F.least(F.col("degree"), F.lit(1)), source_names=F.col("source_names"), explanation=F.col("rules"),
