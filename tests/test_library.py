@@ -110,7 +110,7 @@ def test_communities_and_metrics(spark):
     assert len({got[i] for i in range(4)}) == 1 and len({got[i] for i in range(11, 15)}) == 1 and got[0] == 0
     assert {(r["id"], r["groups"]) for r in graph.articulation_points(frame, comps).collect()} == {(4, 2), (10, 2)}
     (m,) = graph.network_metrics(comps, frame).collect()
-    assert (m["members"], m["relationships"], m["density"], m["size_label"]) == (10, 21, round(42 / 90, 4), "MEDIUM")
+    assert (m["members"], m["relationships"], m["density"], m["size_label"]) == (10, 21, round(42 / 90, 4), "Medium")
 
 
 def test_blocking_skips_large_blocks_and_decides(spark):
