@@ -153,6 +153,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHA
     lines = docs.select(*of_text, F.posexplode(line_hashes(F.col("text"), min_chars)).alias("at", "line")).where("line IS NOT NULL")
     lines = lines.select("text_hi", "text_lo", "at", *[F.col(f"line.{c}").alias(c) for c in HASH])
     gone = lines.join(frequent, list(HASH), "left_semi").groupBy("text_hi", "text_lo").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    gone = stored(gone, "gone-lines")  # a table of its own, so that the join below may split a text that very many rows have
     rows = docs.select(*of_text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     joined = rows.join(gone, ["text_hi", "text_lo"], "left").select("doc", F.coalesce(F.col("gone"), F.lit([]).cast("array<int>")).alias("gone"))
     # Positions become flags that lie beside the lines: how many lines stay before each one that goes.
