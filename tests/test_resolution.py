@@ -75,3 +75,31 @@ def test_few_pairs_are_compared(spark):
     frame = spark.createDataFrame([("b", n) for n in names], "block string, name string")
     share = similarity.candidates(frame, 0.86).count() / (len(names) * (len(names) - 1) / 2)
     assert share < 0.2  # names of random letters; rare tokens part real ones better
+
+
+def test_names_without_rare_characters_are_parted_by_segments(spark):
+    """Letters that all names share don't part them: the names that meet grow with the block, the pairs with its square."""
+    met = []
+    for n in (300, 1200):
+        draw = random.Random(3)
+        names = sorted({"".join(draw.choices("0123456789abcdef", k=12)) for _ in range(n)})
+        names += [x[:4] + "x" + x[5:] for x in names[:20]]
+        found = similarity.candidates(spark.createDataFrame([("b", x) for x in names], "block string, name string"), 0.86).collect()
+        assert {(min(x, x[:4] + "x" + x[5:]), max(x, x[:4] + "x" + x[5:])) for x in names[:20]} <= {(r["left"], r["right"]) for r in found}
+        met.append(len(found))
+    assert met[1] < 0.002 * 1220 * 1219 / 2, met
+
+
+@pytest.mark.parametrize("least", [0.5, 0.75, 0.86, 0.95])
+def test_segments_lose_no_pair(spark, least, monkeypatch):
+    monkeypatch.setattr(similarity, "MANY_MET", -1)
+    draw = random.Random(5)
+    names = {"".join(draw.choices("abcé", k=draw.randint(1, 14))) for _ in range(160)}
+    names = sorted(names | {x[:i] + draw.choice(["", "b", "bc"]) + x[i + draw.randint(0, 2):] for x in names for i in [draw.randint(0, len(x))]} - {""})
+    shorter, longer = similarity.segment_keys(spark.createDataFrame([("b", x) for x in names], "block string, name string"), least)
+    both = shorter.withColumnRenamed("name", "l").join(longer.withColumnRenamed("name", "r"), ["block", "key"]).select("l", "r").distinct().collect()
+    met = {tuple(sorted(p)) for p in both}
+    ratio = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+    assert {(a, b) for a, b in combinations(names, 2) if ratio(a, b) >= least} <= met
+    found = {(r["left"], r["right"]) for r in similarity.candidates(spark.createDataFrame([("b", x) for x in names], "block string, name string"), least).collect()}
+    assert {(a, b) for a, b in combinations(names, 2) if ratio(a, b) >= least} <= found
