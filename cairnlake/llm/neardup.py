@@ -155,20 +155,40 @@ def sketched(docs: DataFrame, n_words: int = N_WORDS, n_permutations: int = PERM
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each id in links (a, b) reaches.
 
-    Smallest labels go along links and each label is replaced by its own label, until none changes.
+    Each id goes to its smallest neighbour, and on to that one's, until it is at one that has none; then links are those
+    between where their ends are, once each. So a round reads what the one before left, which soon is little.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both, rounds = stored(both, "cc-links"), Rounds(links.sparkSession, "cc-labels")
-    labels = rounds.store(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("comp")))
-    while True:
-        heard = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("said")), "b").groupBy(F.col("a").alias("id")).agg(F.min("said").alias("said"))
-        nearer = labels.join(heard, "id").select("id", F.least("comp", "said").alias("next"), "comp")
-        heads = labels.select(F.col("id").alias("next"), F.col("comp").alias("beyond"))
-        jumped = nearer.join(heads, "next", "left").select("id", F.least("next", "beyond").alias("comp"), F.col("comp").alias("was"))
-        after = rounds.store(jumped)
-        if after.where("comp <> was").isEmpty():
-            return after.select("id", "comp")
-        labels = after.select("id", "comp")
+    spark = links.sparkSession
+    between, jumps, labels = Rounds(spark, "cc-links"), Rounds(spark, "cc-jumps"), Rounds(spark, "cc-labels")
+    apart = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    left, out = between.store(apart(links)), None
+    while out is None or not left.isEmpty():
+        ends = left.select(F.col("a").alias("id"), F.col("a").alias("up")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("up")))
+        after = jumps.store(ends.groupBy("id").agg(F.min("up").alias("up"), F.lit(True).alias("moved")))
+        while not after.where("moved").isEmpty():
+            here = after.select("id", "up")
+            above = here.select(F.col("id").alias("up"), F.col("up").alias("beyond"))
+            after = jumps.store(here.join(above, "up").select("id", F.col("beyond").alias("up"), (F.col("beyond") != F.col("up")).alias("moved")))
+        tops = after.select("id", F.col("up").alias("comp"))
+        out = labels.store(tops if out is None else _composed(out, tops))
+        at = lambda end: tops.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp"))
+        left = between.store(apart(left.join(at("a"), "a").join(at("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))))
+    return out
+
+
+def _composed(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (id, comp) whose components ``more`` (id, comp) labels anew, and the ids of ``more`` that had none."""
+    moved = labels.join(more.select(F.col("id").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
+    return moved.unionByName(more.join(labels.select("id"), "id", "left_anti").select("id", "comp"))
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels of ``components`` after more links: only those between different components count, once for each two of them."""
+    if labels is None:
+        return components(links)
+    at = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp"))
+    moved = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    return stored(_composed(labels, components(moved)), "cc-labels")
 
 
 def _fixed(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -313,26 +333,23 @@ def near_duplicates(
     sets = stored(map_rows(texts, whole, "cid long, shingles array<long>, brief binary", batch_rows=500).dropDuplicates(["cid"]), "sets")
     classes = classes.select("cid", "rep", "digest", "n", "sketch")
 
-    def with_comps(links: DataFrame | None) -> DataFrame:
-        if links is None:
+    def with_comps(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
             return members.withColumn("comp", F.col("cid"))
-        comps = components(links).withColumnRenamed("id", "cid")
-        return members.join(comps, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        return members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
 
-    links, turn, fruitful = None, 0, FRUITFUL * involved.count() + 1
+    labels, turn, fruitful = None, 0, FRUITFUL * involved.count() + 1
     while turn < star_rounds or (turn and fresh >= fruitful):
-        rows = with_comps(links)
+        rows = with_comps(labels)
         first = F.min_by(F.struct(F.col("cid").alias("p"), F.col("comp").alias("p_comp")), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("first")
         pivots = rows.groupBy("key").agg(first, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "first.*")
         pairs = rows.join(pivots, "key").where("comp <> p_comp").select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
         found = stored(confirmed(promising(pairs, classes, threshold), sets, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        turn, fresh = turn + 1, found.count()
-    rest = stored(remaining_pairs(with_comps(links), classes, sets, threshold, block), "pairs")
-    found = stored(confirmed(rest, sets, threshold), "links")
-    links = found if links is None else links.unionByName(found)
+        labels, turn, fresh = merged(labels, found), turn + 1, found.count()
+    rest = stored(remaining_pairs(with_comps(labels), classes, sets, threshold, block), "pairs")
+    labels = merged(labels, stored(confirmed(rest, sets, threshold), "links"))
 
-    comps = components(links).withColumnRenamed("id", "cid")
+    comps = labels.withColumnRenamed("id", "cid")
     named = classes.join(comps, "cid", "left").select("digest", "rep", F.coalesce("comp", "cid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_digest = named.join(smallest, "comp").select("digest", "component_id")

@@ -82,3 +82,23 @@ def test_sketches_drop_fewer_links_than_bands_miss():
         q = j * 255 / 256 + 1 / 256
         dropped = sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(least))
         assert dropped < 2.1e-8 < (1 - 0.8**neardup.BAND_ROWS) ** bands
+
+
+def test_components_read_no_link_again(spark, monkeypatch):
+    """Later rounds get the links between components that are left, not all links once more."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 300])) for i in range(0, 60)]
+    asked, labelled = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: (asked.append(links.count()), labelled(links))[1])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert asked[0] >= 59 and sum(asked[1:]) < asked[0], asked
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    links = [(i, i + 1) for i in range(10, 40)] + [(100, 60 + i) for i in range(20)] + [(201, 200), (202, 201), (200, 202), (7, 8), (8, 7)]
+    got = {r["id"]: r["comp"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 10 for i in range(10, 41)} | {i: 60 for i in [*range(60, 80), 100]} | {200: 200, 201: 200, 202: 200, 7: 7, 8: 7}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    more = neardup.merged(neardup.components(spark.createDataFrame([(5, 6), (9, 8)], "a long, b long")), spark.createDataFrame([(6, 9), (6, 5), (3, 2)], "a long, b long"))
+    assert {tuple(r) for r in more.collect()} == {(5, 5), (6, 5), (8, 5), (9, 5), (2, 2), (3, 2)}
