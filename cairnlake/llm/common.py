@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from cairnlake.sources.scratch import Rounds, scratch_path, shared_dir, stored
+from cairnlake.sources import scratch
+from cairnlake.sources.scratch import scratch_path, shared_dir, stored_at
 
 __all__ = ["WORD", "Rounds", "filter_rows", "is_held_out", "map_rows", "one_label", "pieces_of", "released", "scratch_path", "shared_dir", "stored", "table", "worker_cache"]
 
@@ -26,6 +27,15 @@ AT_A_TIME = 4 << 20
 _kept: dict[str, object] = {}
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``scratch.stored``; these tables hold numbers and texts that are about as large as their files, so joins may go by those."""
+    return stored_at(df, scratch_path(df.sparkSession, name))
+
+
+class Rounds(scratch.Rounds):
+    by_size = False
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

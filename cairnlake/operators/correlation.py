@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scores
 from cairnlake.functions import text as X
+from cairnlake.sources.scratch import shuffled
 
 #: Weights of provider evidence, summed in this order.
 PROVIDER_WEIGHTS = {
@@ -143,9 +144,9 @@ def provider_matches(providers: DataFrame, registry: DataFrame) -> DataFrame:
     l_keys = F.array(*places("l"), F.concat(F.when(F.col("firm"), "f:").otherwise("p:"), F.col("l_name")))
     r_keys = F.array(*places("r"), F.concat(F.lit("f:"), F.col("r_firm")), F.concat(F.lit("p:"), F.col("r_person")))
     keyed = lambda df, key, keys: df.select(key, F.explode(F.array_distinct(F.array_compact(keys))).alias("k"))
-    ids = keyed(left, "npi", l_keys).join(keyed(right, "entity_id", r_keys), "k").select("npi", "entity_id").distinct()
+    ids = keyed(left, "npi", l_keys).join(shuffled(keyed(right, "entity_id", r_keys)), "k").select("npi", "entity_id").distinct()
     common = providers.groupBy(F.col("name").alias("l_said")).agg((F.count(F.lit(1)) > 1).alias("common"))
-    pairs = ids.join(left, "npi").join(right, "entity_id").join(common, "l_said", "left")
+    pairs = ids.join(shuffled(left), "npi").join(shuffled(right), "entity_id").join(shuffled(common), "l_said", "left")
     pairs = pairs.withColumn("scope", address_scope(F.col("l"), F.col("r"), F.col("mailing")))
     pairs = pairs.withColumn("same_name", F.coalesce(F.col("l_name") == F.when(F.col("firm"), F.col("r_firm")).otherwise(F.col("r_person")), F.lit(False)))
     exact = F.col("scope").isin("EXACT_UNIT", "EXACT_BUILDING") & ~F.col("mailing")
@@ -191,16 +192,16 @@ def parcel_matches(providers: DataFrame, entities: DataFrame, edges: DataFrame)
     known_name = F.nullif(F.when(firm, X.business_name(F.col("name"))).otherwise(X.person_name(F.col("name"))["full"]), F.lit(""))
     ours = providers.select("npi", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("address", F.lit("")).alias("address"), firm.alias("firm"), known_name.alias("own_name"))
     common = providers.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg((F.count(F.lit(1)) > 1).alias("common"))
-    ours = ours.join(common, "name")
+    ours = ours.join(shuffled(common), "name")
     line, person = X.address_line(F.col("display_name")), X.person_name(F.col("display_name"))["full"]
     known = entities.where(F.col("entity_type").isin("address", "owner")).select("entity_id", F.concat_ws(":", "entity_type", F.nullif(F.when(F.col("entity_type") == "address", line).otherwise(person), F.lit(""))).alias("key")).where("key LIKE '%:%'")
     keys = F.array_compact(F.array(F.concat(F.lit("address:"), F.nullif(X.address_line(F.col("address")), F.lit(""))), F.concat(F.lit("owner:"), F.col("own_name"))))
-    ends = ours.withColumn("key", F.explode(keys)).join(known, "key").drop("key")
+    ends = ours.withColumn("key", F.explode(keys)).join(shuffled(known), "key").drop("key")
     at = F.explode(F.array_distinct(F.array("src", "dst"))).alias("entity_id")
     incident = edges.where(F.col("kind").isin(SITUS, PARCEL_MAILING, OWNED)).select(at, "relationship_id", "src", "dst", "kind")
-    met = ends.join(incident, "entity_id").drop("entity_id").distinct()
+    met = ends.join(shuffled(incident), "entity_id").drop("entity_id").distinct()
     named = entities.select(F.col("entity_id").alias("dst"), F.col("display_name").alias("said"))
-    rows = met.join(named, "dst", "left").withColumn("said", F.coalesce("said", F.when(F.col("kind") == OWNED, F.col("dst")).otherwise("")))
+    rows = met.join(shuffled(named), "dst", "left").withColumn("said", F.coalesce("said", F.when(F.col("kind") == OWNED, F.col("dst")).otherwise("")))
     blank_name, blank_place = F.col("name") == "", (F.col("address") == "") | (F.col("said") == "")
     owned = rows.where(F.col("kind") == OWNED).where(F.col("own_name") == X.person_name(F.col("said"))["full"])
     by_name = scores.weighted_flags({"exact_person_name": ~F.col("firm"), "exact_business_name": F.col("firm"), "multiple_sources": F.lit(True), "common_name": F.col("common"), "missing": blank_name}, OWNER_WEIGHTS)
@@ -225,7 +226,7 @@ def three_source_paths(registry: DataFrame, parcels: DataFrame) -> DataFrame:
     right = sure(parcels, "confidence").groupBy("npi", "property_id").agg(F.max("sure").alias("s2"))
     confidence = F.round(F.least("s1", "s2"), 4)
     path_id = F.concat_ws(":", F.lit("nppes-path"), F.col("npi").cast("string"), F.col("entity_id").cast("string"), "property_id")
-    return left.join(right, "npi").select(path_id.alias("path_id"), "npi", "entity_id", "property_id", confidence.alias("confidence"), F.when(confidence >= 0.9, "ACCEPTED_EXACT").otherwise("REVIEW_STRONG").alias("decision"))
+    return left.join(shuffled(right), "npi").select(path_id.alias("path_id"), "npi", "entity_id", "property_id", confidence.alias("confidence"), F.when(confidence >= 0.9, "ACCEPTED_EXACT").otherwise("REVIEW_STRONG").alias("decision"))
 
 
 def taxonomy_text(taxonomies: DataFrame, most: int = 3) -> DataFrame:

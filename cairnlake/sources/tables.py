@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnlake.operators.markers import Graph
+from cairnlake.sources.scratch import shuffled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +59,12 @@ def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, entity_type, display_name, normalized_value, source_name, source_type)."""
-    return _made(spark, sf_dir, _ENTITIES)
+    return shuffled(_made(spark, sf_dir, _ENTITIES))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(relationship_id, src, dst, kind, confidence, source_name, source_type, imported_at)."""
-    return _made(spark, sf_dir, _EDGES)
+    return shuffled(_made(spark, sf_dir, _EDGES))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:

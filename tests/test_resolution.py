@@ -103,3 +103,14 @@ def test_segments_lose_no_pair(spark, least, monkeypatch):
     assert {(a, b) for a, b in combinations(names, 2) if ratio(a, b) >= least} <= met
     found = {(r["left"], r["right"]) for r in similarity.candidates(spark.createDataFrame([("b", x) for x in names], "block string, name string"), least).collect()}
     assert {(a, b) for a, b in combinations(names, 2) if ratio(a, b) >= least} <= found
+
+
+def test_stored_tables_of_many_rows_are_not_broadcast(spark):
+    """Repeated texts compress a hundredfold: by the size of its files a table of 40 MB would go through the driver."""
+    from cairnlake.sources.scratch import Rounds, stored
+
+    rows = spark.range(400_000).selectExpr("id", "'the same long text of every row, which files hold once for all of them' AS said")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for made in (stored(rows, "t"), Rounds(spark, "r").store(rows)):
+        assert "Broadcast" not in plan(rows.join(made.select("id", "said"), "id")) and made.count() == 400_000
+    assert "Broadcast" in plan(rows.join(stored(rows.limit(20), "few"), "id"))
