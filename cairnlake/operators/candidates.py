@@ -13,6 +13,7 @@ from cairnlake.functions.sets import tokens
 from cairnlake.operators.leads import lead_type
 from cairnlake.operators.markers import all_tokens
 from cairnlake.sources.provenance import is_real
+from cairnlake.sources.scratch import stored
 
 #: Fixed values.
 LEAST_REAL = 2
@@ -89,12 +90,15 @@ def cross_source_candidates(matches: DataFrame, risk: DataFrame | None = None, l
     markers, relationships and confidence count.
     """
     kept = matches.where((F.col("decision") == "AUTO_MATCH") & (F.col("real_sources") >= LEAST_REAL))
+    # Of pairs that say the same of an entity, one row with their number.
+    says = ["canonical_id", "entity_type", "left_source", "right_source", "contains_synthetic", "confidence", "evidence"]
+    few = stored(kept.groupBy(*says).agg(F.count(F.lit(1)).alias("n")), "said")
     both = F.concat_ws("|", "left_source", "right_source")
     # Evidences may be many: only the first three of each entity are kept, before they meet in one row.
-    per = kept.groupBy("canonical_id").agg(
-        F.min("entity_type").alias("entity_type"), F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("sure"), all_tokens(both).alias("names"), F.bool_or("contains_synthetic").alias("synthetic"),
+    per = few.groupBy("canonical_id").agg(
+        F.min("entity_type").alias("entity_type"), F.sum("n").alias("n"), F.sum(F.col("confidence") * F.col("n")).alias("sure"), all_tokens(both).alias("names"), F.bool_or("contains_synthetic").alias("synthetic"),
     ).where(F.col("n") >= least_matches)
-    first = kept.where("evidence <> ''").groupBy("canonical_id", "evidence").agg(F.lit(1).alias("one"))
+    first = few.where("evidence <> ''").groupBy("canonical_id", "evidence").agg(F.lit(1).alias("one"))
     ranked = first.withColumn("nth", F.expr("row_number() OVER (PARTITION BY canonical_id ORDER BY evidence)")).where("nth <= 3")
     texts = ranked.groupBy("canonical_id").agg(F.array_join(F.array_sort(F.collect_list("evidence")), " | ").alias("evidence"))
     out = per.join(texts, "canonical_id", "left").withColumn("source_names", F.array_join("names", "|"))

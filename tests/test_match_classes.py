@@ -65,3 +65,22 @@ def test_a_hot_address_has_few_rows(spark):
     entities = entities.unionByName(spark.createDataFrame([("hot", "address", "x", "p", "api")], ENTITIES))
     (row,) = match_classes.address_classes(entities, edges).collect()
     assert (row["key"], row["links"], row["decision"], row["source_pair"]) == ("hot", 4_000_000, "AUTO_MATCH", "p|q")
+
+
+def test_pairs_come_once_however_their_keys_are_dealt(made, monkeypatch):
+    entities, edges, aliases = made
+    rows = lambda: sorted(tuple(r) for r in cross_source.cross_source_matches(entities, edges, aliases).select("canonical_id", "left_record", "right_record", "method", "match_id", "left_id", "right_id", "decision", "confidence", "evidence").collect())
+    whole = rows()
+    monkeypatch.setattr(cross_source, "CELL", 3)
+    assert rows() == whole and len({r[:4] for r in whole}) == len(whole) > 500
+
+
+def test_tasks_share_the_pairs_of_one_key(spark, monkeypatch):
+    monkeypatch.setattr(cross_source, "CELL", 100, raising=False)
+    entities = spark.range(1000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.when(F.col("id") % 2 == 0, "property").otherwise("business").alias("entity_type"), F.lit("n").alias("normalized_value"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("source_name"), F.lit("api").alias("source_type"))
+    edges = entities.select(F.col("entity_id").alias("src"), F.lit("hot").alias("dst"), F.lit("PROPERTY_HAS_SITUS_ADDRESS").alias("kind"), "source_name", "source_type", F.lit("").alias("record"))
+    aliases = entities.select(F.lit("k").alias("canonical_id"), F.lit("business").alias("entity_type"), "entity_id", "source_name", "source_type", F.lit("").alias("record"), F.lit("exact").alias("method"))
+    entities = entities.unionByName(spark.createDataFrame([("hot", "address", "x", "p", "api")], ENTITIES))
+    for pairs, n in ((cross_source.address_pairs(entities, edges), 250_000), (cross_source.alias_pairs(aliases), 499_500)):
+        per_task = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(per_task) == n and max(per_task) < 0.6 * n
