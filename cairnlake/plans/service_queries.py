@@ -14,6 +14,8 @@ from cairnlake.sources.tables import table
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 PAGE = 500
+#: Rows of a bulk file before another begins.
+FILE_ROWS = 10_000
 
 
 def _kept_pages(spark, sf_dir):
@@ -59,7 +61,9 @@ def _bulk_file(spark, sf_dir):
     for purpose in (bulk.MAILING, bulk.PRACTICE):
         columns |= {f"{purpose} {p}": v for p, v in zip(bulk.PARTS, (F.concat(said("c_custkey"), F.lit(" Main St")), blank, F.lit("Tampa"), F.col("state"), F.col("zip")), strict=True)}
     path = scratch_path(spark, "bulk")
-    made.orderBy("c_custkey").select(*[v.alias(k) for k, v in columns.items()]).coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)  # a bulk file is one file
+    # Files in the order of their names, as ``read_bulk`` takes them; a range of keys each, so no task holds the whole.
+    n = 1 + made.count() // FILE_ROWS
+    made.repartitionByRange(n, "c_custkey").sortWithinPartitions("c_custkey").select(*[v.alias(k) for k, v in columns.items()]).write.option("header", True).option("emptyValue", "").csv(path)
     return path
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cairnlake.functions import text as X
 from cairnlake.functions.parsing import address_record
 from cairnlake.operators import stats
-from cairnlake.sources.scratch import stored
+from cairnlake.sources.scratch import dealt, stored
 
 #: Headings of the file.
 NUMBER, KIND, CLOSED = "NPI", "Entity Type Code", "NPI Deactivation Date"
@@ -25,6 +25,7 @@ MAILING, PRACTICE = "Provider Business Mailing Address", "Provider Practice Loca
 PARTS = ("1", "2", "City Name", "State Name", "Postal Code")
 TAXONOMY, TAXONOMY_TEXT, LICENSE_STATE = "Healthcare Provider Taxonomy Code_1", "Healthcare Provider Taxonomy Description_1", "Provider License Number State Code_1"
 REQUIRED = (NUMBER, KIND, TAXONOMY, *(f"{p} {x}" for p in (MAILING, PRACTICE) for x in PARTS if x != "2"))
+OPTIONAL = (FIRM, FIRST, LAST, *OFFICIAL, TAXONOMY_TEXT, LICENSE_STATE, CLOSED, *(f"{p} 2" for p in (MAILING, PRACTICE)))
 FILTERS = ("state", "city", "postal_code", "postal_prefix", "taxonomy_code", "taxonomy_description", "enumeration_type", "active_only")
 
 
@@ -69,19 +70,20 @@ def read_bulk(spark: SparkSession, path: str, filters: Mapping[str, object] | No
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
     if missing := [c for c in REQUIRED if c not in rows.columns]:
         raise ValueError(f"the file lacks {', '.join(missing)}")
-    for c in (FIRM, FIRST, LAST, *OFFICIAL, TAXONOMY_TEXT, LICENSE_STATE, CLOSED, *(f"{p} 2" for p in (MAILING, PRACTICE))):
+    for c in OPTIONAL:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(""))
     for condition in wanted(filters or {}):
         rows = rows.where(condition)
-    # Splits of a file in order, rows in order within them.
-    flat = _providers(rows.withColumns({"_file": F.input_file_name(), "_block": F.input_file_block_start(), "_row": F.monotonically_increasing_id()}))
+    # Splits of a file in order, rows in order within them. Raw rows are kept: only what is read of a provider is parsed.
+    raw = [F.col(f"`{c}`") for c in (*REQUIRED, *OPTIONAL) if c != NUMBER]
+    flat = rows.select(F.trim(_said(NUMBER)).alias("npi"), *raw, F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_row"))
     if max_records is None:
         kept = stored(flat, "bulk")
     else:
         kept = stored(stats.numbered(flat, ["_file", "_block", "_row"], "_place").where(F.col("_place") <= max_records).drop("_place"), "bulk")
-    columns = [c for c in kept.columns if c not in ("npi", "_file", "_block", "_row")]
-    last = kept.groupBy("npi").agg(F.max_by(F.struct(*columns), F.struct("_file", "_block", "_row")).alias("r")).select("npi", "r.*")
+    last = dealt(kept, "npi").groupBy("npi").agg(F.max_by(F.struct(*raw), F.struct("_file", "_block", "_row")).alias("r")).select("npi", "r.*")
+    last = _providers(last)
     n = lambda condition, name: F.count_if(condition).alias(name)
     report = last.agg(
         F.count(F.lit(1)).alias("providers"), n(F.col("kind") == "1", "persons"), n(F.col("kind") == "2", "organizations"), n(F.col("practice.text") != "", "practice_addresses"), n(F.col("mailing.text") != "", "mailing_addresses"),
@@ -99,9 +101,9 @@ def _providers(rows: DataFrame) -> DataFrame:
     firm = t(KIND) == "2"
     name = F.when(firm & (t(FIRM) != ""), t(FIRM)).otherwise(F.concat_ws(" ", F.nullif(t(FIRST), F.lit("")), F.nullif(t(LAST), F.lit(""))))
     out = rows.select(
-        t(NUMBER).alias("npi"), t(KIND).alias("kind"), F.when(t(KIND).isin("1", "2"), F.concat(F.lit("NPI-"), t(KIND))).otherwise("").alias("enumeration_type"), name.alias("name"), firm.alias("organization"),
+        "npi", t(KIND).alias("kind"), F.when(t(KIND).isin("1", "2"), F.concat(F.lit("NPI-"), t(KIND))).otherwise("").alias("enumeration_type"), name.alias("name"), firm.alias("organization"),
         address_record(line(PRACTICE)).alias("practice"), address_record(line(MAILING), F.lit(True)).alias("mailing"), t(TAXONOMY).alias("taxonomy_code"), t(TAXONOMY_TEXT).alias("taxonomy"), t(LICENSE_STATE).alias("license_state"),
-        F.concat_ws(" ", *[F.nullif(t(c), F.lit("")) for c in OFFICIAL]).alias("official"), (t(CLOSED) == "").alias("active"), "_file", "_block", "_row",
+        F.concat_ws(" ", *[F.nullif(t(c), F.lit("")) for c in OFFICIAL]).alias("official"), (t(CLOSED) == "").alias("active"),
     )
     return out.withColumn("incomplete", ((F.col("practice.text") == "") & (F.col("mailing.text") == "")) | (F.col("taxonomy_code") == ""))
 

@@ -62,6 +62,11 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def dealt(df: DataFrame, key: str, per_task: int = 5_000) -> DataFrame:
+    """``df`` in tasks of about ``per_task`` rows, for work on each row that the bytes of a small table tell nothing of."""
+    return df.repartition(1 + df.count() // per_task, key)
+
+
 class Rounds:
     """Tables that replace each other round by round: when one is stored, the one before the last goes."""
 

@@ -166,3 +166,18 @@ def test_bulk_entities_and_edges(spark, file):
     assert {d for _, d, _ in edges} - set(entities) == {"state:FL"} and len(edges) == 5 + 2 + 2
     assert bulk.bulk_entities(providers.limit(0)).count() == 0 == bulk.bulk_edges(providers.limit(0)).count()
     assert providers.where(F.col("incomplete")).select("npi").collect()[0]["npi"] == "33"
+
+
+def test_tasks_share_a_bulk_file_and_its_last_rows_count(spark, tmp_path, monkeypatch):
+    from cairnlake.plans import service_queries
+    from cairnlake.sources import bulk, scratch
+
+    monkeypatch.setattr(service_queries, "FILE_ROWS", 100, raising=False)
+    spark.range(1, 1001).selectExpr("id AS c_custkey", "'n' || id AS c_name", "cast(id % 25 AS int) AS c_nationkey", "'SEGMENT' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    path = service_queries._bulk_file(spark, str(tmp_path))
+    assert spark.read.option("header", True).csv(path).select(bulk.F.input_file_name()).distinct().count() > 5
+    kept = {r["npi"]: r["name"] for r in bulk.read_bulk(spark, path).providers.collect()}
+    # Every seventh row is of the provider before.
+    assert len(kept) == 1000 - 142 and kept["1000000006"].endswith("n7") and "1000000007" not in kept
+    rows = spark.range(1000).withColumn("key", bulk.F.col("id"))
+    assert scratch.dealt(rows, "key", 100).rdd.getNumPartitions() == 11
