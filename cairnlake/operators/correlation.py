@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.functions import scores
 from cairnlake.functions import text as X
-from cairnlake.sources.scratch import shuffled
+from cairnlake.sources.scratch import dealt, shuffled, stored
 
 #: Weights of provider evidence, summed in this order.
 PROVIDER_WEIGHTS = {
@@ -138,8 +138,10 @@ def provider_matches(providers: DataFrame, registry: DataFrame) -> DataFrame:
     has = lambda c, otherwise: F.coalesce(c, F.lit(otherwise)) if c in providers.columns else F.lit(otherwise)
     left = providers.select("npi", F.col("name").alias("l_said"), F.col("address").alias("l_address"), F.coalesce("active", F.lit(True)).alias("active"), has("organization", True).alias("firm"), has("mailing", False).alias("mailing"))
     as_firm, as_person = lambda c: F.nullif(X.business_name(F.col(c)), F.lit("")), lambda c: F.nullif(X.person_name(F.col(c))["full"], F.lit(""))
-    left = left.withColumns({"l": place(F.col("l_address")), "l_name": F.when(F.col("firm"), as_firm("l_said")).otherwise(as_person("l_said"))})
-    right = registry.select("entity_id", F.col("name").alias("r_said"), place(F.col("address")).alias("r")).withColumns({"r_firm": as_firm("r_said"), "r_person": as_person("r_said")})
+    # Names and addresses are parsed once, in many tasks; what follows reads the parsed rows.
+    left = dealt(left, "npi").withColumns({"l": place(F.col("l_address")), "l_name": F.when(F.col("firm"), as_firm("l_said")).otherwise(as_person("l_said"))})
+    right = dealt(registry.select("entity_id", F.col("name").alias("r_said"), "address"), "entity_id").select("entity_id", "r_said", place(F.col("address")).alias("r")).withColumns({"r_firm": as_firm("r_said"), "r_person": as_person("r_said")})
+    left, right = stored(left, "providers"), stored(right, "registry")
     places = lambda p: [F.concat(F.lit("l:"), F.nullif(F.col(f"{p}.line"), F.lit(""))), F.concat(F.lit("b:"), F.nullif(F.col(f"{p}.building"), F.lit("")))]
     l_keys = F.array(*places("l"), F.concat(F.when(F.col("firm"), "f:").otherwise("p:"), F.col("l_name")))
     r_keys = F.array(*places("r"), F.concat(F.lit("f:"), F.col("r_firm")), F.concat(F.lit("p:"), F.col("r_person")))
