@@ -135,15 +135,20 @@ def all_classes(entities: DataFrame, edges: DataFrame, aliases: DataFrame | None
     return out if aliases is None else out.unionByName(alias_classes(aliases))
 
 
-def canonical_ids(entities: DataFrame, edges: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def canonical_ids(entities: DataFrame, edges: DataFrame, aliases: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     """The distinct canonical ids of the matches that count and have two real sources.
 
+    With ``classes``, what ``all_classes`` gave for the same tables, those of addresses and aliases are not made again.
+
     The match of two names is told by the lesser of both ids: an entity is that of one if a class that its own class
     matches has a greater id.
     """
     counts = (F.col("decision") == "AUTO_MATCH") & (F.col("real_sources") >= cross_source.LEAST_REAL)
-    keyed = address_classes(entities, edges)
-    keyed = keyed if aliases is None else keyed.unionByName(alias_classes(aliases))
+    if classes is None:
+        keyed = address_classes(entities, edges)
+        keyed = keyed if aliases is None else keyed.unionByName(alias_classes(aliases))
+    else:
+        keyed = classes.where(~F.col("method").isin(*cross_source.NAME_METHODS))
     out = keyed.where(counts).select(F.col("key").alias("canonical_id"))
     attributes, key = ["source", "source_type", "type"], ["normalized_value"]
     _, members = _named(entities, key, attributes)
