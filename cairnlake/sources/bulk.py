@@ -75,7 +75,7 @@ def read_bulk(spark: SparkSession, path: str, filters: Mapping[str, object] | No
             rows = rows.withColumn(c, F.lit(""))
     for condition in wanted(filters or {}):
         rows = rows.where(condition)
-    # Splits of a file in order, rows in order within them. Raw rows are kept: only what is read of a provider is parsed.
+    # Splits of a file in order, rows in order within them. Raw rows are kept: only the last of a provider is parsed.
     raw = [F.col(f"`{c}`") for c in (*REQUIRED, *OPTIONAL) if c != NUMBER]
     flat = rows.select(F.trim(_said(NUMBER)).alias("npi"), *raw, F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_row"))
     if max_records is None:
@@ -83,7 +83,7 @@ def read_bulk(spark: SparkSession, path: str, filters: Mapping[str, object] | No
     else:
         kept = stored(stats.numbered(flat, ["_file", "_block", "_row"], "_place").where(F.col("_place") <= max_records).drop("_place"), "bulk")
     last = dealt(kept, "npi").groupBy("npi").agg(F.max_by(F.struct(*raw), F.struct("_file", "_block", "_row")).alias("r")).select("npi", "r.*")
-    last = _providers(last)
+    last = stored(_providers(last), "providers")
     n = lambda condition, name: F.count_if(condition).alias(name)
     report = last.agg(
         F.count(F.lit(1)).alias("providers"), n(F.col("kind") == "1", "persons"), n(F.col("kind") == "2", "organizations"), n(F.col("practice.text") != "", "practice_addresses"), n(F.col("mailing.text") != "", "mailing_addresses"),
