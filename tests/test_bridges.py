@@ -98,3 +98,29 @@ def test_no_edges(spark):
         for f in (find, partial(find, local_edges=0)):
             assert f(none, alone).count() == 0
             assert f(spark.createDataFrame([("a", "a")], "src string, dst string"), alone).count() == 0
+
+
+def test_a_dense_component_is_searched_only_where_it_hangs_together_loosely(spark, monkeypatch):
+    # Sixty vertices that share neighbours, a ring and an ear of three edges on them, a tail, two triangles that meet in a vertex.
+    draw = random.Random(11)
+    edges = [(f"a{i:02d}", f"b{j:02d}") for i in range(20) for j in draw.sample(range(40), 20)]
+    edges += [("a00", "e1"), ("e1", "e2"), ("e2", "b05"), ("b01", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r4"), ("r4", "b02")]
+    edges += [("b03", "t1"), ("t1", "t2"), ("t2", "x"), ("x", "y"), ("y", "t2"), ("t2", "z1"), ("z1", "z2"), ("z2", "t2"), ("b03", "p1"), ("a19", "p2")]
+    frame, components, adjacent, least = tables(spark, edges)
+    searched, blocks = [], graph.biconnected.blocks
+    monkeypatch.setattr(graph.biconnected, "blocks", lambda ends, of: (searched.append(ends.count()), blocks(ends, of))[1])
+    got = {r["id"]: (r["groups"], r["score"]) for r in graph.articulation_points(frame, components, local_edges=0).collect()}
+    assert got == {v: (n, 10 * n + len(adjacent[v])) for v, n in groups_by_removal(adjacent).items()} and got["b03"][0] == 3
+    assert searched and searched[0] < 40 < len(set(edges))
+
+
+def test_a_round_hears_only_what_the_last_one_changed(spark, monkeypatch):
+    edges = random_graphs(60, 21, largest=14) + [(f"q{i:03d}", f"q{i + 1:03d}") for i in range(60)]
+    frame, components, adjacent, least = tables(spark, edges)
+    heard, hear = [], graph.propagation._heard
+    monkeypatch.setattr(graph.propagation, "_heard", lambda both, labels: (heard.append(both.count()), hear(both, labels))[1])
+    found = {r["id"]: r["community"] for r in graph.communities(frame, components, local_edges=0).collect()}
+    labels = graph.spread_labels(adjacent)
+    assert found == {v: min(w for w in adjacent if labels[w] == labels[v] and least[w] == least[v]) for v in adjacent}
+    every = sum(len(n) for n in adjacent.values())
+    assert heard[-1] < every / 4
