@@ -83,20 +83,28 @@ def network_candidates(networks: DataFrame) -> DataFrame:
     )
 
 
+def said(matches: DataFrame) -> DataFrame:
+    """Matches that count and have two real sources: of pairs that say the same of an entity, one row with their number."""
+    kept = matches.where((F.col("decision") == "AUTO_MATCH") & (F.col("real_sources") >= LEAST_REAL))
+    says = ["canonical_id", "entity_type", "sources", "contains_synthetic", "confidence", "evidence"]
+    return kept.withColumn("sources", F.concat_ws("|", "left_source", "right_source")).groupBy(*says).agg(F.count(F.lit(1)).alias("n"))
+
+
 def cross_source_candidates(matches: DataFrame, risk: DataFrame | None = None, least_matches: int = 1) -> DataFrame:
-    """A candidate of each canonical entity with enough matches that count and have two real sources.
+    """``said_candidates`` of pairs."""
+    return said_candidates(said(matches), risk, least_matches)
+
+
+def said_candidates(rows: DataFrame, risk: DataFrame | None = None, least_matches: int = 1) -> DataFrame:
+    """A candidate of each canonical entity with enough matches, of which ``rows`` has what ``said`` gives.
 
     Its explanation is the first three different evidences by their order. Where ``risk`` knows the entity, its risk,
     markers, relationships and confidence count.
     """
-    kept = matches.where((F.col("decision") == "AUTO_MATCH") & (F.col("real_sources") >= LEAST_REAL))
-    # Of pairs that say the same of an entity, one row with their number.
-    says = ["canonical_id", "entity_type", "left_source", "right_source", "contains_synthetic", "confidence", "evidence"]
-    few = stored(kept.groupBy(*says).agg(F.count(F.lit(1)).alias("n")), "said")
-    both = F.concat_ws("|", "left_source", "right_source")
+    few = stored(rows, "said")
     # Evidences may be many: only the first three of each entity are kept, before they meet in one row.
     per = few.groupBy("canonical_id").agg(
-        F.min("entity_type").alias("entity_type"), F.sum("n").alias("n"), F.sum(F.col("confidence") * F.col("n")).alias("sure"), all_tokens(both).alias("names"), F.bool_or("contains_synthetic").alias("synthetic"),
+        F.min("entity_type").alias("entity_type"), F.sum("n").alias("n"), F.sum(F.col("confidence") * F.col("n")).alias("sure"), all_tokens(F.col("sources")).alias("names"), F.bool_or("contains_synthetic").alias("synthetic"),
     ).where(F.col("n") >= least_matches)
     first = few.where("evidence <> ''").groupBy("canonical_id", "evidence").agg(F.lit(1).alias("one"))
     ranked = first.withColumn("nth", F.expr("row_number() OVER (PARTITION BY canonical_id ORDER BY evidence)")).where("nth <= 3")

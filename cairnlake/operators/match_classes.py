@@ -10,9 +10,10 @@ decides, records are classed by the evidence that others of their name have too,
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnlake.operators import cross_source
+from cairnlake.operators import candidates, cross_source
 from cairnlake.sources.scratch import stored
 
 COLUMNS = ("key", "method", "decision", "confidence", "source_pair", "real_sources", "links")
@@ -164,3 +165,67 @@ def canonical_ids(entities: DataFrame, edges: DataFrame, aliases: DataFrame | No
     grouped = grouped.withColumn("told", F.concat_ws("|", F.to_json("traits"), F.sha1(F.to_json("values").cast("binary"))))
     shared = grouped.join(reach(backed, "group"), [*key, "told"]).where("record < upto")
     return out.unionByName(simple.select(F.col("record").alias("canonical_id"))).unionByName(shared.select(F.col("record").alias("canonical_id"))).distinct()
+
+
+def _above(asks: DataFrame, tells: DataFrame, key: list[str]) -> DataFrame:
+    """``asks`` with ``n``, how many of ``tells`` of their key have a greater id. Ranges of ids are counted apart, so no task holds all rows of a key."""
+    both = asks.withColumn("tells", F.lit(0)).unionByName(tells.withColumn("tells", F.lit(1)), allowMissingColumns=True)
+    held = stored(both.repartitionByRange(*key, "id").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = held.groupBy("part", *key).agg(F.sum("tells").alias("told"))
+    later = F.sum("told").over(W.partitionBy(*key).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1))  # over parts, not rows
+    within = F.sum("tells").over(W.partitionBy("part", *key).orderBy(F.desc("id")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = held.withColumn("within", within).where("tells = 0").join(sums.select("part", *key, later.alias("later")), ["part", *key])
+    return out.withColumn("n", F.col("within") + F.coalesce("later", F.lit(0))).drop("part", "tells", "within", "later").where("n > 0")
+
+
+def said_by_names(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """What ``candidates.said`` gives of ``cross_source.name_pairs``.
+
+    A match is told by the lesser of both ids: an entity has as many as greater ids stand in the classes that its own
+    class matches, and where evidence decides, in the classes of those that share the same first piece with it. Of the
+    records that have several rows, pairs are made.
+    """
+    key, kind = ["normalized_value"], ["type", "source", "source_type"]
+    rows = cross_source._with_alone(cross_source.name_rows(entities), [], "name-rows")
+    once = rows.where("alone")
+    side = lambda rows, x, *more: rows.select(*key, *more, *[F.col(c).alias(f"{x}_{c}") for c in kind])
+    matched = lambda left, right, by: cross_source.name_methods(left.join(right, by)).where(F.col("real_sources") >= cross_source.LEAST_REAL)
+    says = [F.col("left_type").alias("entity_type"), F.concat_ws("|", "left_source", "right_source").alias("sources")]
+    kinds = once.select(*key, *kind).distinct()
+    met = stored(matched(side(kinds, "left"), side(kinds, "right"), key), "met")
+    asked = F.col("method").contains("secondary")
+    # Methods without evidence: whole classes meet.
+    named = lambda x: F.to_json(F.struct(*[F.col(f"{x}{c}").alias(c) for c in kind])).alias("group")
+    plain = met.where(~asked)
+    asks = plain.select(*key, *[F.col(f"left_{c}").alias(c) for c in kind], named("right_"), *says, F.lit("").alias("evidence")).join(once.select(*key, *kind, "id"), [*key, *kind]).drop(*kind)
+    tells = once.select(*key, named(""), "id").join(plain.select(*key, named("right_")).distinct(), [*key, "group"])
+    # Methods with evidence: classes of those that have the same of what others of their name have too.
+    needed = stored(once.select(*key, *kind, "id").join(met.where(asked).select(*key, *[F.col(f"left_{c}").alias(c) for c in kind]).distinct(), [*key, *kind]), "needed")
+    context = cross_source.secondary_context(entities, edges.join(needed.select(F.col("id").alias("src")), "src", "left_semi")).withColumnRenamed("entity_id", "id")
+    told = stored(needed.join(context, "id"), "told")
+    common = told.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    grouped = told.join(common, [*key, "value"]).groupBy(*key, *kind, "id").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    grouped = stored(grouped.withColumn("group", F.concat_ws("|", named(""), F.sha1(F.to_json("values").cast("binary")))), "groups")
+    by_value = stored(grouped.select(*key, *kind, "group", "values").distinct().withColumn("value", F.explode("values")).drop("values"), "values")
+    met = matched(side(by_value, "left", "value", F.col("group").alias("left_group")), side(by_value, "right", "value", F.col("group").alias("right_group")), [*key, "value"])
+    met = stored(met.where(asked).groupBy(*key, "left_group", "right_group", *says).agg(F.min("value").alias("evidence")), "met-groups")
+    members = grouped.select(*key, "group", "id")
+    asks = asks.unionByName(met.withColumnRenamed("left_group", "group").join(members, [*key, "group"]).drop("group").withColumnRenamed("right_group", "group"))
+    tells = tells.unionByName(members.join(met.select(*key, F.col("right_group").alias("group")).distinct(), [*key, "group"]))
+    counted = _above(asks, tells, [*key, "group"]).groupBy(F.col("id").alias("canonical_id"), "entity_type", "sources", "evidence").agg(F.sum("n").alias("n"))
+    out = counted.withColumns({"contains_synthetic": F.lit(False), "confidence": F.lit(cross_source.COMPOUND)})
+    if rows.where("NOT alone").isEmpty():
+        return out
+    return out.unionByName(candidates.said(cross_source.identified(cross_source.name_pairs(entities, edges, alone=False))))
+
+
+def said(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """What ``candidates.said`` gives of ``cross_source.cross_source_matches``, but that no pair of an address is made to be counted.
+
+    Of a record's rows that match alike, the class tells the first pair of sources, the pair that of the first ids.
+    """
+    counts = (F.col("decision") == "AUTO_MATCH") & (F.col("real_sources") >= cross_source.LEAST_REAL)
+    at = address_classes(entities, edges).where(counts).groupBy(F.col("key").alias("canonical_id"), F.col("source_pair").alias("sources"), "confidence").agg(F.sum("links").alias("n"))
+    # Both sources are real, so neither is synthetic.
+    at = at.withColumns({"entity_type": F.lit("address"), "evidence": F.col("canonical_id"), "contains_synthetic": F.lit(False)})
+    return at.unionByName(said_by_names(entities, edges))

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cairnlake.operators import cross_source, match_classes
+from cairnlake.operators import candidates, cross_source, match_classes
 
 ENTITIES = "entity_id string, entity_type string, normalized_value string, source_name string, source_type string"
 EDGES = "src string, dst string, kind string, source_name string, source_type string, record string"
@@ -84,3 +84,25 @@ def test_tasks_share_the_pairs_of_one_key(spark, monkeypatch):
     for pairs, n in ((cross_source.address_pairs(entities, edges), 250_000), (cross_source.alias_pairs(aliases), 499_500)):
         per_task = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
         assert sum(per_task) == n and max(per_task) < 0.6 * n
+
+
+def test_what_matches_say_is_that_of_all_pairs(made):
+    entities, edges, _ = made
+    # Some entities have a second row, of another source, type or name.
+    more = entities.where("substr(entity_id, 4, 1) = '7' AND normalized_value <> ''").withColumns({"source_name": F.lit("e"), "source_type": F.lit("api"), "entity_type": F.lit("owner"), "normalized_value": F.lit("name 1")})
+    says = ["canonical_id", "entity_type", "sources", "contains_synthetic", "confidence", "evidence"]
+    sources = F.array_join(F.array_sort(F.split("sources", "[|]")), "|")
+    rows = lambda df: sorted(tuple(r) for r in df.withColumn("sources", sources).groupBy(*says).agg(F.sum("n")).collect())
+    for every in (entities, entities.unionByName(more)):
+        got = rows(match_classes.said_by_names(every, edges))
+        assert got == rows(candidates.said(cross_source.identified(cross_source.name_pairs(every, edges)))) and len(got) > 20 and any(r[5] for r in got)
+
+
+def test_leads_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cross_source, "_met", None)
+    entities = spark.range(4000).select(F.concat(F.lit("e"), F.lpad("id", 4, "0")).alias("entity_id"), F.when(F.col("id") % 2 == 0, "owner").otherwise("business").alias("entity_type"), F.lit("hot").alias("normalized_value"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("source_name"), F.lit("api").alias("source_type"))
+    properties = entities.select(F.concat(F.lit("p"), "entity_id").alias("entity_id"), F.lit("property").alias("entity_type"), F.lit("").alias("normalized_value"), F.lit("r").alias("source_name"), "source_type")
+    at = lambda rows: rows.select(F.col("entity_id").alias("src"), F.lit("hot").alias("dst"), F.lit("PROPERTY_HAS_SITUS_ADDRESS").alias("kind"), "source_name", "source_type", F.lit("").alias("record"))
+    every = entities.unionByName(properties).unionByName(spark.createDataFrame([("hot", "address", "x", "p", "api")], ENTITIES))
+    found = {r["canonical_id"]: r["n"] for r in match_classes.said(every, at(entities).unionByName(at(properties))).collect()}
+    assert found.pop("hot") == 2000 * 4000 and sum(found.values()) == 2000 * 2000 and found["e0000"] == 2000 and found["e3998"] == 1 and "e3999" not in found
