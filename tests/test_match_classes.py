@@ -106,3 +106,13 @@ def test_leads_make_no_pairs(spark, monkeypatch):
     every = entities.unionByName(properties).unionByName(spark.createDataFrame([("hot", "address", "x", "p", "api")], ENTITIES))
     found = {r["canonical_id"]: r["n"] for r in match_classes.said(every, at(entities).unionByName(at(properties))).collect()}
     assert found.pop("hot") == 2000 * 4000 and sum(found.values()) == 2000 * 2000 and found["e0000"] == 2000 and found["e3998"] == 1 and "e3999" not in found
+
+
+def test_tasks_share_the_pairs_of_records_with_several_rows(spark):
+    entities = spark.range(1000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.when(F.col("id") % 2 == 0, "property").otherwise("business").alias("entity_type"), F.lit("n").alias("normalized_value"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("source_name"), F.lit("api").alias("source_type"))
+    kinds = F.explode(F.array(F.lit("PROPERTY_HAS_SITUS_ADDRESS"), F.lit("PROPERTY_HAS_MAILING_ADDRESS")))
+    edges = entities.where("entity_type = 'property'").select(F.col("entity_id").alias("src"), F.lit("hot").alias("dst"), kinds.alias("kind"), "source_name", "source_type", F.lit("").alias("record"))
+    edges = edges.unionByName(entities.where("entity_type = 'business'").select(F.col("entity_id").alias("src"), F.lit("hot").alias("dst"), F.lit("LOCATED_AT").alias("kind"), "source_name", "source_type", F.lit("").alias("record")))
+    entities = entities.unionByName(spark.createDataFrame([("hot", "address", "x", "p", "api")], ENTITIES))
+    per_task = [r["n"] for r in cross_source.address_pairs(entities, edges).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(per_task) == 500_000 and max(per_task) < 0.9 * 500_000
