@@ -124,3 +124,16 @@ def test_a_round_hears_only_what_the_last_one_changed(spark, monkeypatch):
     assert found == {v: min(w for w in adjacent if labels[w] == labels[v] and least[w] == least[v]) for v in adjacent}
     every = sum(len(n) for n in adjacent.values())
     assert heard[-1] < every / 4
+
+
+def test_hubs_hear_only_who_changed(spark, monkeypatch):
+    # The first and the last id are tied to all others: whoever changes, one of them hears again.
+    edges = random_graphs(30, 21, largest=8)
+    edges += [(v, hub) for v in sorted({v for e in edges for v in e}) for hub in ("!", "zz")]
+    frame, components, adjacent, least = tables(spark, edges)
+    heard, hear = [], graph.propagation._heard
+    monkeypatch.setattr(graph.propagation, "_heard", lambda both, labels: (heard.append(both.count()), hear(both, labels))[1])
+    found = {r["id"]: r["community"] for r in graph.communities(frame, components, local_edges=0).collect()}
+    labels = graph.spread_labels(adjacent)
+    assert found == {v: min(w for w in adjacent if labels[w] == labels[v] and least[w] == least[v]) for v in adjacent}
+    assert min(heard) < len(adjacent["zz"]) / 2
